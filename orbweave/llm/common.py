@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -24,7 +25,7 @@ def slices(batch: pa.RecordBatch, column: str | None) -> Iterator[pa.RecordBatch
     if column is None or batch.num_rows < 2:
         yield batch
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > SLICE_CHARS:
