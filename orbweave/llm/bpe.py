@@ -16,10 +16,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import map_columns, texts
+from orbweave.llm.common import distinct_parts, gather, map_columns, texts
 
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
@@ -32,15 +33,6 @@ _NONE = np.int64(1) << np.int64(40)
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
-class _Known(dict):
-    """Remembered chunks, and for one batch the rest of its chunks."""
-
-    rest: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.rest[chunk]
-
-
 class Vocabulary:
     """A rank file and its merges; `pattern` splits text into pieces."""
 
@@ -53,6 +45,8 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.token_bytes = np.array([len(t) for t in self.tokens], np.int64)
+        self.token_flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.token_starts = np.cumsum(self.token_bytes) - self.token_bytes
         self.pairs: dict[tuple[int, int], int] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -60,7 +54,7 @@ class Vocabulary:
                 if a is not None and b is not None:
                     self.pairs[a, b] = rank
         self._fill_table()
-        self.chunks = _Known()
+        self.chunks: dict[str, bytes] = {}
 
     def _fill_table(self) -> None:
         """An open hash table of the pairs, for lookups of many pairs at once."""
@@ -212,31 +206,24 @@ class Vocabulary:
         their spaces, and the ids of a chunk with its space are remembered. Texts
         with a space after white space are cut at the other spaces alone.
         """
-        cut = [t.split(" ") for t in batch]
-        for chunks in cut:
-            chunks[0] = " " + chunks[0]  # no chunk has a space: this one has none before it
-        known = self.chunks
-        new = set().union(*cut)
-        new.difference_update(known)
-        keys = list(new)
-        fresh = dict(zip(keys, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in keys]), strict=True))
-        for c in keys:
-            if not c or c[-1].isspace() and c != " ":
-                fresh[c] = None
+        bounds, at, chunks = distinct_parts(pc.split_pattern(pa.array(batch, pa.large_string()), " "))
+        if not batch:
+            return []
+        heads = bounds[:-1]  # a text's first chunk has no space before it; no chunk has one, so one marks it
+        first = [" " + chunks[i] for i in at[heads].tolist()]
+        at[heads] = len(chunks) + np.arange(len(first))
+        odd = np.array([not c or c[-1].isspace() for c in chunks] + [len(c) > 1 and c[-1].isspace() for c in first], bool)
+        keys, known = chunks + first, self.chunks
+        new = list(set(keys) - known.keys())
+        fresh = dict(zip(new, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in new]), strict=True))
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
-        else:
-            known.rest = fresh
-        out: list[bytes] = []
-        odd: list[int] = []
-        for i, chunks in enumerate(cut):
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            except TypeError:
-                odd.append(i)
-                out.append(b"")
-        known.rest = {}
-        for i in odd:
+        ids = [fresh[c] if c in fresh else known[c] for c in keys]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, ends = gather(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
+        stops = ends[bounds[1:] - 1].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        for i in np.flatnonzero(np.logical_or.reduceat(odd[at], heads)).tolist():
             out[i] = b"".join(self._encode_texts(_CUT.split(batch[i])))
         return out
 
@@ -247,7 +234,7 @@ class Vocabulary:
         return [b"".join([ids[p] for p in ps]) for ps in split]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return gather(self.token_flat, self.token_starts, self.token_bytes, np.frombuffer(ids, "<u4"))[0].tobytes()
 
 
 @functools.lru_cache(maxsize=4)

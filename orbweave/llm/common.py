@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,3 +73,26 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orbweave-"))
+    return df.checkpoint()
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches `at` of a flat array, one after the other, and where each ends."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)], ends
+
+
+def distinct_parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of lists of strings: where each list starts and the last ends, each part's place among the distinct parts, and those."""
+    parts = lists.flatten().dictionary_encode()
+    sizes = np.asarray(pc.list_value_length(lists), np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), np.asarray(parts.indices, np.int64), parts.dictionary.to_pylist()
