@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bpe, pii, secrets
+from orbweave.llm import bpe, langid, packing, pii, secrets
 from orbweave.llm.common import table
 
 
@@ -18,15 +18,26 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
+    return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return secrets.find_secrets(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_pii": op4_pii,
+    "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
