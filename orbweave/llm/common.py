@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -96,3 +97,14 @@ def distinct_parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[st
     parts = lists.flatten().dictionary_encode()
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
     return np.concatenate([[0], np.cumsum(sizes)]), np.asarray(parts.indices, np.int64), parts.dictionary.to_pylist()
+
+
+#: Ids that may be sent to every executor: 16 bytes each, so 16 MB at most.
+BROADCAST_IDS = 1_000_000
+
+
+def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """df's rows whose `column` is among the ids (one column of that name, distinct,
+    checkpointed). Up to BROADCAST_IDS of them are sent to all executors, so that
+    df isn't shuffled; more meet df by a shuffle."""
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import ann, bpe, langid, media, packing, pii, secrets, urls
+from orbweave.llm import ann, bpe, langid, media, packing, pii, secrets, substrings, urls
 from orbweave.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op8_substrings": op8_substrings,
     "op9_media": op9_media,
     "op10_langid": op10_langid,
 }
