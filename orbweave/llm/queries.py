@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import ann, bpe, langid, media, packing, pii, secrets, substrings, urls
+from orbweave.llm import ann, bpe, langid, media, nearjoin, packing, pii, secrets, substrings, urls
 from orbweave.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
     return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_urls": op2_urls,
     "op3_ann": op3_ann,
     "op4_pii": op4_pii,
+    "op5_nearjoin": op5_nearjoin,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_substrings": op8_substrings,
