@@ -7,7 +7,8 @@ segment's elements is a signature, and such sets share one. Empty segments and
 signatures that very many unlinked sets have ("common") are passed over; X is the
 slack for that. Sets that pass over more than X segments match each other in
 their cheapest other segments with at most one element deleted; a document whose
-other segments don't suffice is compared with all that share a common signature.
+other segments don't suffice is compared with those that share one of its rarest
+elements, so that no bucket of many unlinked sets is ever paired off.
 
 In each signature's bucket all sets are first verified against one of them, which
 joins groups of copies in linear time; only pairs that are still in different
@@ -18,13 +19,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from orbweave.llm.common import ascii_lower, checkpointed, map_columns, matching, splitmix, texts
 from orbweave.llm.graph import components
@@ -37,6 +38,8 @@ PERCENT = 80
 SMALL = 16
 #: A signature of more unlinked components than this is common.
 COMMON = 24
+#: Hashes are counted in 2**SKETCH_BITS buckets to tell which are frequent.
+SKETCH_BITS = 20
 _GROWTH = 1.25
 
 
@@ -174,63 +177,147 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_columns(both.select("a", "b", "ta", "tb"), make, f"a {kind}, b {kind}", "tb")
 
 
-def _deletions(docs: DataFrame) -> DataFrame:
-    """Of sets (id, text, common) that pass over more segments than slack: a row for
-    each other segment's signature (z = 0) and, if it has two elements or more, each
-    of its signatures with one element deleted (z = 1); need is how many segments
-    must match so. A set of the first band, or without such a segment, has one row
-    with number null."""
+def _bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _frequent(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], common: int) -> np.ndarray:
+    """Counts of hashes by bucket, of the buckets that have clearly more than most
+    (at most 2**SKETCH_BITS come to the driver); 0 for all others."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            bucket, n = np.unique(_bucket_of(hashes_of(batch)), return_counts=True)
+            return {"bucket": bucket, "n": n}
+
+        return step
+
+    counts = checkpointed(map_columns(docs, make, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    mean = (counts.agg(F.sum("n")).head()[0] or 0) / (1 << SKETCH_BITS)
+    many = counts.where(F.col("n") > common + 2 * mean).toPandas()
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out[many["bucket"].to_numpy(np.int64)] = many["n"].to_numpy(np.int64)
+    return out
+
+
+def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
+    """(how many segments must match with one element deleted, segments, and of each
+    signature its segment, z and hash) of a set's bands in which it passes over more
+    segments than slack. z = 0: the whole segment, z = 1: without one element, of
+    those that have several and aren't passed over. The first band has no signatures."""
+    out = []
+    passed = np.array(common or [], np.int64).view(np.uint64)
+    for band, m, slack in bands_of(len(s)):
+        starts, number, sums, mixed = _segments(s, band, m)
+        sig = _signature(sums, number, band)
+        over = np.isin(sig, passed)
+        least = -(-len(s) * PERCENT // 100) - 1  # of a partner's shared elements, less one
+        need = int(m - len(number) + over.sum() - slack) if m else int(over.sum()) - least
+        if need < 1:
+            continue
+        sizes = np.diff(np.append(starts, len(s)))
+        owner = np.repeat(np.arange(len(number)), sizes)
+        part = np.flatnonzero(((sizes > 1) & ~over)[owner]) if m else owner[:0]
+        less = _signature(sums[owner[part]] - mixed[part], number[owner[part]], band)
+        whole = np.arange(len(number)) if m else owner[:0]
+        out.append((need, len(number), np.concatenate([whole, owner[part]]), np.repeat([0, 1], [len(whole), len(part)]), np.concatenate([sig[whole], less])))
+    return out
+
+
+def _deletions(docs: DataFrame, common: int) -> DataFrame:
+    """Rows (id, sig, z, chosen) of sets (id, text, common): their signatures with at
+    most one element deleted. Of each band a set chooses as many segments as must
+    match, those of least cost: of few signatures, none of them frequent. A set
+    without enough such segments has one more row, with sig null. Segments
+    with a frequent signature are no one's choice, so such signatures are left out."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
+        found = [x[4] for s, c in zip(_sets(batch, "text"), batch.column("common").to_pylist(), strict=True) for x in _neighbourhoods(s, c)]
+        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+    counts = _frequent(docs, hashes_of, common)
+
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {c: [] for c in ("id", "band", "need", "number", "z", "sig")}
-            for doc, s, common in zip(batch.column("id").to_pylist(), _sets(batch, "text"), batch.column("common").to_pylist(), strict=True):
-                passed = np.array(common or [], np.int64).view(np.uint64)
-                for band, m, slack in bands_of(len(s)):
-                    starts, number, sums, mixed = _segments(s, band, m)
-                    sig = _signature(sums, number, band)
-                    over = np.isin(sig, passed)
-                    least = -(-len(s) * PERCENT // 100) - 1  # of a partner's shared elements, less one
-                    need = int(m - len(number) + over.sum() - slack) if m else int(over.sum()) - least
-                    if need < 1:
-                        continue
-                    rows = []
-                    if m:
-                        sizes = np.diff(np.append(starts, len(s)))
-                        for i in np.flatnonzero(~over).tolist():
-                            rows.append((int(number[i]), 0, sig[i]))
-                            if sizes[i] > 1:
-                                less = _signature(sums[i] - mixed[starts[i] : starts[i] + sizes[i]], number[i : i + 1], band)
-                                rows += [(int(number[i]), 1, x) for x in less]
-                    for n, z, x in rows or [(None, 0, np.uint64(0))]:
-                        for c, v in zip(out, (doc, band, need, n, z, int(np.uint64(x).astype(np.int64))), strict=True):
-                            out[c].append(v)
-            return out
+            rows, sigs, zs, choices, short = [], [], [], [], []
+            for i, (s, c) in enumerate(zip(_sets(batch, "text"), batch.column("common").to_pylist(), strict=True)):
+                enough = True
+                for need, segments, segment, z, sig in _neighbourhoods(s, c):
+                    often = counts[_bucket_of(sig)]
+                    cost = np.bincount(segment, minlength=segments)
+                    open_ = (np.bincount(segment[z == 1], minlength=segments) > 0) & (np.bincount(segment[often > 0], minlength=segments) == 0)
+                    best = np.flatnonzero(open_)
+                    best = best[np.argsort(cost[best], kind="stable")][:need]
+                    enough &= len(best) == need
+                    keep = often == 0
+                    sigs.append(sig[keep])
+                    zs.append(z[keep])
+                    choices.append(np.isin(segment[keep], best))
+                    rows.append(np.full(int(keep.sum()), i))
+                if not enough:
+                    short.append(i)
+            row = np.concatenate([*rows, np.array(short, np.int64)]).astype(np.int64)
+            n, rest = len(row) - len(short), [None] * len(short)
+            sig = np.concatenate(sigs).view(np.int64).tolist() if n else []
+            return {
+                "id": batch.column("id").take(pa.array(row)), "sig": sig + rest,
+                "z": (np.concatenate(zs).tolist() if n else []) + rest, "chosen": (np.concatenate(choices).tolist() if n else []) + rest,
+            }
 
         return step
 
-    return map_columns(docs, make, f"id {kind}, band int, need int, number long, z int, sig long")
-
-
-def _compensated(rows: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets that match in a chosen segment with one element deleted, and
-    the ids whose segments don't suffice. Each set chooses its cheapest segments by
-    how many sets have their signatures; one with a common signature, or of a single
-    element, can't be chosen."""
-    rows = checkpointed(rows)
-    each = rows.where(F.col("number").isNotNull())
-    often = each.groupBy("sig").agg(F.count("*").alias("often"))
-    priced = each.join(often, "sig").join(common.select("sig", F.lit(1).alias("barred")), "sig", "left")
-    segment = priced.groupBy("id", "band", "need", "number").agg(F.sum("often").alias("cost"), F.max("barred").alias("barred"), F.max("z").alias("open"))
-    segment = segment.where(F.col("barred").isNull() & (F.col("open") == 1))
-    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy("cost", "number"))
-    chosen = segment.withColumn("k", rank).where(F.col("k") <= F.col("need"))
-    enough = chosen.groupBy("id", "band").agg(F.count("*").alias("k"))
-    rest = rows.select("id", "band", "need").distinct().join(enough, ["id", "band"], "left").where(F.coalesce("k", F.lit(0)) < F.col("need")).select("id").distinct()
-    probes = each.join(chosen.select("id", "band", "number"), ["id", "band", "number"], "left_semi").select("sig", F.col("id").alias("a"), F.col("z").alias("za"))
+    return map_columns(docs, make, f"id {kind}, sig long, z int, chosen boolean")
+
+
+def _compensated(docs: DataFrame, common: int) -> DataFrame:
+    """Pairs (a, b) of sets (id, text, common) that pass over more segments than
+    slack: those that match in a chosen segment with one element deleted; and, for
+    sets whose segments don't suffice, those that share one of their rarest elements."""
+    rows = checkpointed(_deletions(docs, common))
+    each = rows.where(F.col("sig").isNotNull())
+    probes = each.where("chosen").select("sig", F.col("id").alias("a"), F.col("z").alias("za"))
     met = probes.join(each.select("sig", F.col("id").alias("b"), F.col("z").alias("zb")), "sig").where((F.col("a") != F.col("b")) & (F.col("za") + F.col("zb") == 1))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rest
+    found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = checkpointed(rows.where(F.col("sig").isNull()).select("id").distinct())
+    if not rest.isEmpty():
+        found = found.unionByName(_sharing_rare(docs, rest, common))
+    return found.distinct()
+
+
+def _sharing_rare(docs: DataFrame, rest: DataFrame, common: int) -> DataFrame:
+    """Pairs of a set of `rest` and any other that share a rare element. In an order
+    from rare to frequent that is the same for all sets, the first element that two
+    similar sets share has as many after it, in both, as they must share. So what
+    very many sets have in common comes too late to pair them."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([splitmix(s) for s in _sets(batch, "text")])
+
+    counts = _frequent(docs, hashes_of, common)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            rows, elements, sizes, places = [], [], [], []
+            for i, s in enumerate(_sets(batch, "text")):
+                n, mixed = len(s), splitmix(s)
+                mixed = mixed[np.lexsort((mixed, counts[_bucket_of(mixed)]))]
+                first = n + (-n * PERCENT // 100) + 1 if n else 0
+                elements.append(mixed[:first])
+                rows.append(np.full(first, i))
+                sizes.append(np.full(first, n))
+                places.append(np.arange(first))
+            row = np.concatenate(rows).astype(np.int64)
+            return {"element": np.concatenate(elements).view(np.int64), "id": batch.column("id").take(pa.array(row)), "n": np.concatenate(sizes), "place": np.concatenate(places)}
+
+        return step
+
+    rare = checkpointed(map_columns(docs.select("id", "text"), make, f"element long, id {kind}, n long, place long"))
+    asked = matching(rare, rest, "id").withColumnsRenamed({"id": "x", "n": "nx", "place": "px"})
+    shared = F.ceil((F.col("nx") + F.col("n")) * PERCENT / F.lit(100 + PERCENT) - 1e-9)
+    fits = (F.col("x") != F.col("id")) & (F.col("px") + shared <= F.col("nx")) & (F.col("place") + shared <= F.col("n"))
+    return asked.join(rare, "element").where(fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
@@ -276,9 +363,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passed = left.join(often, "sig").groupBy("id").agg(F.collect_set("sig").alias("common"))
     bare = same.where("bare").select(F.col("lead").alias("id"))
     asked = checkpointed(passed.join(bare.withColumn("bare", F.lit(True)), "id", "full_outer").select("id", "common"))
-    deleted, rest = _compensated(_deletions(matching(own, asked.select("id"), "id").dropDuplicates(["id"]).join(asked, "id").select("id", "text", "common")), often)
-    pairs = pairs.unionByName(deleted).unionByName(across(left.join(often, "sig").join(rest, "id", "left_semi"), left))
-    pairs = checkpointed(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
+    texts_asked = matching(own, asked.select("id"), "id").dropDuplicates(["id"]).join(asked, "id").select("id", "text", "common")
+    made_good = _compensated(texts_asked, common)
+    for end in ("a", "b"):
+        made_good = made_good.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    made_good = made_good.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    pairs = checkpointed(pairs.unionByName(made_good).distinct().join(stars, ["a", "b"], "left_anti"))
     more = _verified(pairs, sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
     final = components(links.unionByName(more)).withColumnRenamed("node", "lead")
 
