@@ -10,7 +10,6 @@ merged many at a time, one numpy row a piece; long ones one by one.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -20,12 +19,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import distinct_parts, gather, map_columns, texts
+from orbweave.llm.common import distinct_parts, gather, map_columns, resident, texts
 
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
 #: A worker remembers the ids of so many chunks at most (about 150 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -237,10 +236,9 @@ class Vocabulary:
         return gather(self.token_flat, self.token_starts, self.token_bytes, np.frombuffer(ids, "<u4"))[0].tobytes()
 
 
-@functools.lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One vocabulary for each Python worker."""
-    return Vocabulary(path, pattern)
+    return resident(("vocabulary", path, pattern), lambda: Vocabulary(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,37 @@ def slices(batch: pa.RecordBatch, column: str | None) -> Iterator[pa.RecordBatch
     yield batch.slice(start)
 
 
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from one task to the next: the last such thing alone, so
+    that stages with models of their own don't add up in a worker that serves them all."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+@functools.lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to give large blocks back when they are freed; None where it isn't glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]],
@@ -49,12 +82,15 @@ def map_columns(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _libc()
         step = make()
         for batch in batches:
             for part in slices(batch, text):
                 if part.num_rows:
                     got = step(part)
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        del step
+        give_back()
 
     return df.mapInArrow(run, out)
 

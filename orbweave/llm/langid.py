@@ -8,7 +8,6 @@ Single bytes are pieces, so that every word has a segmentation.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import distinct_parts, map_columns, texts
+from orbweave.llm.common import distinct_parts, map_columns, resident, texts
 
 #: Labelled texts of each language that the probabilities are fitted on, about.
 SAMPLE_PER_LANGUAGE = 1000
@@ -63,9 +62,8 @@ class Pieces:
         return np.bincount(found[found >= 0], minlength=len(self.index))
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return resident(("pieces", path), lambda: Pieces(path))
 
 
 @dataclass

@@ -17,7 +17,7 @@ _PART = 1 << 20
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -26,7 +26,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def _stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes, modulo 2**64, of stretches of an array of hashes."""
-    n = 1 << max(20, int(len(values)).bit_length())
+    n = 1 << max(12, int(len(values)).bit_length())
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _powers(base, n)[: len(values)], out=sums[1:])
     return splitmix((sums[ends] - sums[starts]) * _powers(pow(base, -1, 1 << 64), n)[starts])
