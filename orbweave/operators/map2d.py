@@ -94,7 +94,7 @@ def fit_curve(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]
 def layout(edges: DataFrame, start: DataFrame, epochs: int = 12, rate: float = 1.0, negatives: int = 5, min_dist: float = 0.1) -> DataFrame:
     """Positions (track_id, x, y) after attraction along weighted edges (a, b, w)
     and repulsion from random rows. An epoch moves all points at once: joins and
-    sums by point, so that no task or driver holds the graph."""
+    means by point, so that no task or driver holds the graph."""
     a, b = fit_curve(min_dist)
     both = checkpointed(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     here = checkpointed(start.select("track_id", "x", "y"))
@@ -116,6 +116,7 @@ def layout(edges: DataFrame, start: DataFrame, epochs: int = 12, rate: float = 1
             push = drawn.join(placed, "i").where(F.col("track_id") != F.col("b"))
             away = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, b)))
             moves = moves.unionByName(push.select("track_id", clip(away * dx).alias("mx"), clip(away * dy).alias("my")))
-        total = moves.groupBy("track_id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
+        # All moves are made from the same places, so their mean is taken: the sum would overshoot.
+        total = moves.groupBy("track_id").agg(F.avg("mx").alias("mx"), F.avg("my").alias("my"))
         here = checkpointed(here.join(total, "track_id", "left").select("track_id", (F.col("x") + step * F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + step * F.coalesce("my", F.lit(0.0))).alias("y")))
     return here
