@@ -17,6 +17,7 @@ from orbweave.functions import expr, signal, vectors
 from orbweave.operators import knn, map2d, merge, relational, walks
 from orbweave.plans.space import BLOCKED, WIDTH, space
 from orbweave.session import checkpointed, table
+from orbweave.sources import tables
 from orbweave.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,3 +512,25 @@ WITH o AS (SELECT user_id, value FROM events WHERE value > 5), m AS (SELECT user
 SELECT user_id, CASE WHEN count(*) >= 2 THEN round(avg(abs(value - mean)), 6) END AS dynamic_complexity FROM o JOIN m USING (user_id) GROUP BY user_id""")
 def dynamic_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.dynamic_complexity(table(spark, sf_dir, "events"), "user_id", "value", 5.0).withColumn("dynamic_complexity", F.round("dynamic_complexity", 6))
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT user_id, ts, event_id, coalesce(greatest(value - lag(value) OVER w, 0), 0) AS flux FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t,
+  round(greatest(flux - avg(flux) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 0), 9) AS v FROM f),
+s AS (SELECT user_id, avg(v) + stddev_pop(v) AS level, count(*) AS n FROM e GROUP BY user_id),
+m AS (SELECT user_id, t, v, max(v) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM e),
+p AS (SELECT user_id, t FROM m JOIN s USING (user_id) WHERE v > level AND v >= top),
+walk AS (SELECT user_id, min(t) AS t FROM p GROUP BY user_id
+  UNION ALL SELECT w.user_id, min(p.t) FROM walk w JOIN p ON p.user_id = w.user_id AND p.t >= w.t + 5 GROUP BY w.user_id, w.t)
+SELECT s.user_id, s.n, CASE WHEN s.n >= 3 THEN round(count(walk.t) * 100.0 / s.n, 6) ELSE 0 END AS onset_rate
+FROM s LEFT JOIN walk ON walk.user_id = s.user_id GROUP BY s.user_id, s.n""")
+def onset_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    envelope = signal.onset_envelope(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").withColumn("onset", F.round("onset", 9))
+    rates = signal.onset_rate(envelope, "user_id", ["ts", "event_id"], "onset")
+    return rates.withColumn("onset_rate", F.round("onset_rate", 6))
+
+
+@query("""SELECT event_id, '{"k":' || coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE)::varchar, 'null') || '}' AS props FROM events""")
+def slim_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", tables.only_field(F.col("props"), "k").alias("props"))

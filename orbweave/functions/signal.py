@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,3 +30,18 @@ def dynamic_complexity(levels: DataFrame, key: str, level: str, gate: float = -7
     mean = open_.groupBy(key).agg(F.avg(level).alias("mean"))
     each = open_.join(mean, key)
     return each.groupBy(key).agg(F.when(F.count("*") >= 2, F.avg(F.abs(F.col(level) - F.col("mean")))).alias("dynamic_complexity"))
+
+
+def onset_rate(envelope: DataFrame, key: str, order: list[str], value: str, fps: float = 100.0, around: int = 3, apart: float = 0.05) -> DataFrame:
+    """Peaks a second of an envelope: values over its mean and deviation that none of
+    `around` rows on either side exceeds, each at least `apart` seconds after the last
+    one taken; 0 under three rows. A key is one excerpt, so its peaks fit a row; nulls count as 0."""
+    by, whole = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key)
+    v = F.coalesce(F.col(value), F.lit(0.0)).alias("v")
+    placed = envelope.select(key, v, F.row_number().over(by).alias("place"), F.max(v).over(by.rowsBetween(-around, around)).alias("top"), (F.avg(v).over(whole) + F.stddev_pop(v).over(whole)).alias("level"))
+    peak = F.when((F.col("v") > F.col("level")) & (F.col("v") >= F.col("top")), F.col("place"))
+    peaks = placed.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(peak)).alias("at"))
+    gap = math.ceil(apart * fps)
+    start = F.struct(F.lit(0).alias("taken"), F.lit(-gap).alias("last"))
+    taken = F.aggregate("at", start, lambda s, t: F.when(t - s["last"] >= gap, F.struct((s["taken"] + 1).alias("taken"), t.alias("last"))).otherwise(s))
+    return peaks.select(key, "n", F.when(F.col("n") >= 3, taken["taken"] * F.lit(fps) / F.col("n")).otherwise(F.lit(0.0)).alias("onset_rate"))

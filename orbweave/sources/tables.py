@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "space-2"
@@ -37,3 +37,39 @@ def in_order(ids: DataFrame, rows: DataFrame, defaults: dict) -> DataFrame:
     met = ids.join(rows.withColumn("known", F.lit(True)), "track_id", "left")
     met = met.withColumn("title", F.when(F.col("known"), F.col("title")).otherwise(F.concat(F.lit("<missing "), F.col("track_id").cast("string"), F.lit(">"))))
     return met.withColumns({c: F.when(F.col("known"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}).drop("known")
+
+
+#: The tables and columns of a slim catalogue.
+SLIM = {
+    "artists": ["id", "name"],
+    "albums": ["id", "artist_id", "title", "release_date", "label", "genre"],
+    "tracks": ["id", "album_id", "artist_id", "title", "duration", "isrc", "seed_distance"],
+    "layout": ["track_id", "x", "y"],
+    "blocked_artists": ["artist_id", "name", "reason", "blocked_at"],
+    "features": ["track_id", "extractor_version", "descriptors_json", "clap_f32", "analysed_at"],
+}
+
+
+def only_field(json: Column, field: str) -> Column:
+    """A JSON text with one numeric field alone, null where it isn't a number; a null text stays null."""
+    number = F.get_json_object(json, f"$.{field}").try_cast("double").alias(field)
+    return F.when(json.isNotNull(), F.to_json(F.struct(number), {"ignoreNullFields": "false"}))
+
+
+def slim(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without payloads, and descriptors with their tempo alone."""
+    kept = {name: tables[name].select(*columns) for name, columns in SLIM.items() if name in tables}
+    if "features" in kept:
+        kept["features"] = kept["features"].withColumn("descriptors_json", only_field(F.col("descriptors_json"), "bpm"))
+    return kept
+
+
+def publish_catalogue(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write a slim catalogue: its tables, then a manifest of their rows that readers wait for."""
+    counts = []
+    for name, df in slim(tables).items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts.append((name, df.sparkSession.read.parquet(f"{folder}/{name}").count()))
+    if counts:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame(counts, "name string, n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.functions import expr, vectors
+from orbweave.functions import expr, signal, vectors
 from orbweave.operators import knn, map2d, merge, relational, walks
 from orbweave.sources import tables
 
@@ -166,3 +166,25 @@ def test_in_order(spark):
     rows = spark.createDataFrame([(2, "Two", 8)], "track_id long, title string, artist_id long")
     got = tables.in_order(ids, rows, {"artist_id": 0}).orderBy("row_idx").collect()
     assert [(r["title"], r["artist_id"]) for r in got] == [("<missing 99>", 0), ("Two", 8)]
+
+
+def test_onset_rate(spark):
+    values = [0.0] * 40
+    for place, v in ((5, 3.0), (9, 3.0), (10, 3.0), (20, 2.0), (21, 3.0)):  # 9 is too soon after 5, 20 isn't a peak
+        values[place] = v
+    rows = [("a", t, v) for t, v in enumerate(values)] + [("b", t, 1.0) for t in range(5)] + [("c", 0, 9.0), ("d", 0, None)]
+    got = signal.onset_rate(spark.createDataFrame(rows, "key string, t int, v double"), "key", ["t"], "v").collect()
+    assert {r["key"]: round(r["onset_rate"], 9) for r in got} == {"a": 7.5, "b": 0.0, "c": 0.0, "d": 0.0}
+
+
+def test_slim_catalogue(spark, tmp_path):
+    features = spark.createDataFrame(
+        [(1, "v", '{"bpm": 120.0, "key": "C"}', bytearray(b"x"), "now"), (2, "v", None, None, "now"), (3, "v", "{}", None, "now"), (4, "v", "odd", None, "now")],
+        "track_id long, extractor_version string, descriptors_json string, clap_f32 binary, analysed_at string",
+    )
+    artists = spark.createDataFrame([(7, "Seven", "{}")], "id long, name string, payload string")
+    tables.publish_catalogue({"artists": artists, "features": features}, str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/features")
+    assert {r["track_id"]: r["descriptors_json"] for r in got.collect()} == {1: '{"bpm":120.0}', 2: None, 3: '{"bpm":null}', 4: '{"bpm":null}'}
+    assert spark.read.parquet(f"{tmp_path}/artists").columns == ["id", "name"]
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/manifest").collect()} == {("artists", 1), ("features", 4)}
