@@ -10,6 +10,8 @@ look up their own places by their rank among those of their length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from orbweave.llm.bpe import vocabulary
+from orbweave.llm.bpe import Vocabulary, vocabulary
 from orbweave.llm.common import checkpointed, map_columns, texts
 
 
@@ -98,8 +100,30 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def tokenized_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str, tokens: bool) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens beside the merges of a tokenizer's json, which it finds in a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    added = whole.get("added_tokens") or []
+    for t in added:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and whole.get("normalizer")):
+            raise ValueError(f"the added token {t['content']!r} isn't matched as it stands")
+    return {t["content"]: t["id"] for t in added if t["content"]}
+
+
+def encode_with_added(vocab: Vocabulary, batch: list[str], added: dict[str, int]) -> list[bytes]:
+    """Ids of each text: the leftmost, then longest added tokens as they stand, what is between them by the merges."""
+    if not any(t in text for text in batch for t in added):
+        return vocab.encode(batch)
+    found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    split = [found.split(text) for text in batch]  # every other part is an added token
+    between = iter(vocab.encode([part for parts in split for part in parts[::2]]))
+    return [b"".join(added[part].to_bytes(4, "little") if i % 2 else next(between) for i, part in enumerate(parts)) for parts in split]
+
+
+def tokenized_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str, tokens: bool, json_path: str | None = None) -> DataFrame:
     """Pieces of each document, with their partition and their rank there among those of their length."""
+    added = added_tokens(json_path) if json_path else {}
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * tokens
     ends = end_id.to_bytes(4, "little")
@@ -109,7 +133,7 @@ def tokenized_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, en
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {c: [] for c in (id_col, "piece", "start", "length", "ids_crc32", "part", "nth", "ids")}
-            for doc, ids in zip(batch.column(id_col).to_pylist(), vocab.encode(texts(batch, text_col)), strict=True):
+            for doc, ids in zip(batch.column(id_col).to_pylist(), encode_with_added(vocab, texts(batch, text_col), added), strict=True):
                 ids += ends
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
@@ -123,17 +147,19 @@ def tokenized_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, en
     return map_columns(docs.select(id_col, text_col), make, schema, text_col)
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, json_path: str | None = None) -> DataFrame:
     """Pack documents into sequences of at most `capacity` tokens.
 
     Each input row, repeated ones too, is its text's ids and then `end_id`; a
-    null or empty text is `end_id` alone, a null id stays null. Only documents
+    null or empty text is `end_id` alone, a null id stays null. `path` is a rank
+    file; the added tokens of the tokenizer's json at `json_path`, if given, are
+    found in the texts and get their own ids. Only documents
     longer than a sequence are cut. Returns one row for each piece: the id
     column, piece, start, length, ids_crc32, sequence_id, offset (gapless within
     a sequence), and with `tokens` the piece's ids (binary, little-endian
     unsigned 32-bit). An empty table gives no rows; other columns are ignored.
     """
-    pieces = checkpointed(tokenized_pieces(docs, path, pattern, capacity, end_id, id_col, text_col, tokens))
+    pieces = checkpointed(tokenized_pieces(docs, path, pattern, capacity, end_id, id_col, text_col, tokens, json_path))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

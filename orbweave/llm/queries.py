@@ -42,8 +42,8 @@ def op5_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
-    return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the merges of byte_bpe_50k.json as ranks, without its added tokens
+    return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

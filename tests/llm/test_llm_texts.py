@@ -14,7 +14,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbweave.llm import bpe, langid, media, packing, pii, secrets
+import corpus_pipeline
+from orbweave.llm import bpe, langid, media, packing, pii, queries, secrets
 from orbweave.llm.secrets import encoding
 
 MULTI, BYTE = (public_tokenizers.path(f"byte_bpe_{x}50k.tiktoken") for x in ("multi_", ""))
@@ -106,6 +107,28 @@ def test_packing(docs, texts):
     assert len(by_seq) <= len(room)
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [END, END * 2, f"{END}start", f"end {END}", f"in the {END} middle", f"a{END}b{END}{END} c", f"x  {END}  y", f"\n{END}\n", f"{END} {END}", "<|endoftext| >", f"<{END}>", "plain", "", f"{'long ' * 3000}{END}{' tail' * 10}"]
+
+
+@pytest.mark.parametrize("through", ["op6_packing", "best_fit_packing"])
+def test_packing_added_tokens(spark, tmp_path, through):
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    df = spark.createDataFrame(list(enumerate(WITH_ADDED)), "doc_id long, text string")
+    if through == "op6_packing":
+        df.write.parquet(str(tmp_path / "documents.parquet"))
+        got = queries.op6_packing(spark, str(tmp_path))
+    else:
+        got = corpus_pipeline.best_fit_packing(spark, df, str(tmp_path))
+    pieces = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect())
+    want = []
+    for doc, text in enumerate(WITH_ADDED):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        assert (50256 in ids) == (END in text)
+        want += [(doc, n, a, k, zlib.crc32(np.array(ids[a : a + k], "<u4").tobytes())) for n, (a, k) in enumerate(packing.cut(len(ids), 2048))]
+    assert pieces == want
+
+
 def test_best_fit_runs():
     rng = random.Random(2)
     for _ in range(30):
