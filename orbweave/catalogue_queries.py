@@ -367,14 +367,24 @@ def liked_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.not_blocked(relational.not_blocked(rows, artists, "o_custkey"), albums, "o_orderkey").select("o_orderkey")
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    names = (("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"))
+    return [table(spark, sf_dir, name).select(F.col(key).alias("id"), F.col(label).alias("label")) for name, key, label in names]
+
+
 @query("""
 SELECT kind, id, label, row_number() OVER (ORDER BY kind, id)::int AS place FROM (
   SELECT 0 AS kind, c_custkey AS id, c_name AS label FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 1, p_partkey, p_name FROM part WHERE p_partkey <= 50 UNION ALL SELECT 2, s_suppkey, s_name FROM supplier)""")
 def mixed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artists, albums, tracks in one list."""
-    pick = lambda name, kind, key, label, most: table(spark, sf_dir, name).where(F.col(key) <= most).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
-    every = pick("customer", 0, "c_custkey", "c_name", 50).unionByName(pick("part", 1, "p_partkey", "p_name", 50)).unionByName(pick("supplier", 2, "s_suppkey", "s_name", 1 << 40))
-    return every.withColumn("place", F.row_number().over(Window.orderBy("kind", "id")))
+    """Artists, albums, tracks in one list; as in the SQL of ids up to 50 alone (mixed_list_whole has all)."""
+    kinds = _kinds(spark, sf_dir)
+    return relational.mixed_list([kinds[0].where("id <= 50"), kinds[1].where("id <= 50"), kinds[2]]).withColumn("place", F.col("place").cast("int"))
+
+
+@query()
+def mixed_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All artists, albums, tracks in one list."""
+    return relational.mixed_list(_kinds(spark, sf_dir))
 
 
 # --- map -----------------------------------------------------------------

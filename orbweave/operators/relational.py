@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orbweave.session import checkpointed
+
 
 def not_blocked(rows: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't blocked; a null key stays. AQE broadcasts a small list."""
@@ -43,6 +45,29 @@ def resolve(artists: DataFrame, tracks: DataFrame, text: str, limit: int = 25) -
     return counts.orderBy(F.desc("tracks"), "name", "id").limit(limit)
 
 
+def numbered(df: DataFrame, order: list[Column | str], place: str) -> DataFrame:
+    """A number from 1 for each row in an order: sorted ranges, and the counts of
+    the ranges before, of which the driver gets one for each partition."""
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    parts = parts.withColumn("_part", F.shiftright("_at", 33))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, parts.groupBy("_part").count().collect())):
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.join(F.broadcast(offsets), "_part").withColumn(place, number).drop("_part", "_at", "_before")
+
+
+def mixed_list(kinds: list[DataFrame]) -> DataFrame:
+    """Rows (id, label) of several kinds in one list: kind by kind, by id."""
+    every = None
+    for kind, rows in enumerate(kinds):
+        one = rows.select(F.lit(kind).alias("kind"), "id", "label")
+        every = one if every is None else every.unionByName(one)
+    return numbered(every, ["kind", "id"], "place")
+
+
 def sorted_list(df: DataFrame, key: Column, descending: bool, place: str) -> DataFrame:
     """A place for each row by a key: nulls last either way, ties in the given order."""
     order = key.desc_nulls_last() if descending else key.asc_nulls_last()

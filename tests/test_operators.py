@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orbweave import catalogue_queries as catalogue
 from orbweave.functions import expr, signal, vectors
 from orbweave.operators import knn, map2d, merge, relational, walks
 from orbweave.sources import tables
@@ -152,6 +153,26 @@ def test_layout_keeps_clusters_apart(spark):
     assert min(gaps) > 2 * spread
 
 
+def test_mixed_list_is_whole(spark, tmp_path):
+    sizes = {"customer": ("c_custkey", "c_name", 130), "part": ("p_partkey", "p_name", 90), "supplier": ("s_suppkey", "s_name", 70)}
+    for name, (key, label, n) in sizes.items():
+        spark.range(n, 0, -1, 3).select(F.col("id").alias(key), F.concat(F.lit(name), "id").alias(label)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(tuple(r[c] for c in ("place", "kind", "id", "label")) for r in catalogue.QUERIES["mixed_list_whole"](spark, str(tmp_path)).collect())
+    want = [(kind, i, f"{name}{i}") for kind, (name, (_, _, n)) in enumerate(sizes.items()) for i in range(1, n + 1)]
+    assert got == [(place, *row) for place, row in enumerate(want, 1)]
+
+
+def test_numbered_over_many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = relational.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")), [F.desc("id")], "n")
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted((r["n"], r["id"]) for r in got.collect()) == [(n, 1000 - n) for n in range(1, 1001)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert relational.numbered(spark.range(0), ["id"], "n").count() == 0
+
+
 def test_publish_and_load(spark, tmp_path):
     rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "track_id long, vec array<double>")
     tables.publish(rows, str(tmp_path), [("a", 0, 1, 1.0), ("b", 1, 2, 0.5)])
