@@ -2,7 +2,8 @@
 
 A vocabulary of common text spends few tokens on words and many on random
 characters. A run of key-like characters whose ratio of characters to tokens is
-low is taken for a secret, unless it has the form of a digest or an identifier.
+low is taken for a secret, unless it has the form of a digest or an identifier;
+so is a part of it, since a readable name or path before a secret lifts the ratio.
 """
 
 from __future__ import annotations
@@ -31,8 +32,15 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
+_SEPARATORS = re.compile(r"[+/_=-]+")
+_PART = re.compile(r"[^+/_=-]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}")
 
+#: Letters are words from this share of the ratio on: random letters are mostly below, long compounds above.
+WORD_SHARE = 0.9
+#: Parts of so many characters must be words by themselves.
+LONG_PART = 12
+
 
 @functools.lru_cache(maxsize=2)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -56,26 +64,53 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int]:
     return span[1], KINDS.index(span[0])
 
 
-def is_identifier(run: str) -> bool:
-    """A digest of a known length, a UUID, a number, or words and short numbers joined as in names and paths."""
+def is_identifier(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    """A digest of a known length, a UUID, a number, or words and short numbers joined as in names and paths.
+
+    Letters are words only where their own ratio is high: long parts each for itself, short ones
+    together and in lower case, since names in capitals take more tokens.
+    """
     if _UUID.fullmatch(run) or _NUMBER.fullmatch(run) or (len(run) in _DIGEST_LENGTHS and _DIGEST.fullmatch(run)):
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
+    parts = [p for p in _SEPARATORS.split(run) if p]
     words = [_WORDS.findall(p) for p in parts]
     whole = all("".join(w) == p for w, p in zip(words, parts, strict=True))
     n = sum(map(len, words))
-    return whole and sum(len(p) for p in parts) >= 3.5 * n
+    if not whole or sum(len(p) for p in parts) < 3.5 * n:
+        return False
+    lettered = [p for p in parts if not p.isdigit()]
+    short = [p.lower() for p in lettered if len(p) < LONG_PART]
+    groups = [[p] for p in lettered if len(p) >= LONG_PART] + [short] * bool(short)
+    return all(sum(map(len, g)) >= WORD_SHARE * ratio * sum(len(enc.encode_ordinary(p)) for p in g) for g in groups)
+
+
+def stretches(run: str, enc: tiktoken.Encoding, ratio: float) -> list[list[tuple[int, int]]]:
+    """Stretches of a run that may hold a secret, from wide to narrow: all of it, what is left
+    without the readable parts at its ends, its stretches without readable parts, its parts."""
+    parts = [m.span() for m in _PART.finditer(run)]
+    groups: list[list[tuple[int, int]]] = [[]]
+    for a, b in parts:
+        if is_identifier(run[a:b], enc, ratio):
+            groups.append([])
+        else:
+            groups[-1].append((a, b))
+    between = [(g[0][0], g[-1][1]) for g in groups if g]
+    return [[(0, len(run))], [(between[0][0], between[-1][1])] if between else [], between, parts]
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, ratio: float, shortest: int) -> list[tuple[str, int, int]]:
+    def is_random(part: str) -> bool:
+        return len(part) >= shortest and len(part) < ratio * len(enc.encode_ordinary(part)) and not is_identifier(part, enc, ratio)
+
     found = []
     for m in _RUN.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) < shortest or run.islower() and run.isalpha() or is_identifier(run):
+        if len(run) < shortest or is_identifier(run, enc, ratio):
             continue
-        if len(run) < ratio * len(enc.encode_ordinary(run)):
-            start = m.start() + m[0].index(run)
-            found.append(("random", start, start + len(run)))
+        start, taken = m.start() + m[0].index(run), []
+        for spans in stretches(run, enc, ratio):
+            taken += [(a, b) for a, b in spans if all(b <= c or d <= a for c, d in taken) and is_random(run[a:b])]
+        found += [("random", start + a, start + b) for a, b in sorted(taken)]
     return found
 
 
@@ -108,7 +143,9 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     formats' spans) and spans (those and `random` ones). Offsets are code
     points, ends exclusive. A null text counts as empty: no spans, spans "".
     A null id stays null; other columns are ignored. `ratio` is the number of
-    characters a token below which a run of at least `shortest` is random.
+    characters a token below which a run of at least `shortest`, or a part of it
+    of that length, is random. Random strings of one case whose letters happen to
+    be as dense as words are missed.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

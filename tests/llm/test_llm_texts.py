@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -180,6 +181,30 @@ def test_secrets(spark, docs, texts):
     assert got[-3]["spans"] == ""
 
 
+READABLE = ["", "com/download/attachments/public/shared/", "database_connection_string=", "production/service_account/credentials="]
+CLEAN = [
+    "com/download/attachments/public/shared/internationalization", "DATABASE_CONNECTION_STRING=AUTHENTICATION_CONFIGURATION", "precipitevolissimevolmente",
+    "Rechtsschutzversicherungsgesellschaften", "donaudampfschifffahrtsgesellschaft", "getUserAccountByNameAndAddress", "REVIEWERS_OUSTED_ANXIETY_FABRICS",
+    "production/service_account/credentials", "org/apache/hadoop/hdfs/server/namenode/FSNamesystem",
+]
+
+
+@pytest.mark.parametrize("letters, least", [(string.ascii_letters + string.digits, 1.0), (string.ascii_lowercase, 0.8), (string.ascii_uppercase, 0.9)])
+def test_secrets_after_names_and_of_one_case(spark, letters, least):
+    rng = random.Random(7)
+    rows = [(i, READABLE[i % 4], "".join(rng.choice(letters) for _ in range(20 + i % 3 * 2))) for i in range(240)]
+    df = spark.createDataFrame([(i, f"see {name}{secret} now") for i, name, secret in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, BYTE, PATTERN).collect()}
+    for start in range(4):
+        some = [secret not in got[i] for i, _, secret in rows if i % 4 == start]
+        assert sum(some) >= least * len(some)
+
+
+def test_clean_names_stay(spark):
+    df = spark.createDataFrame(list(enumerate(CLEAN)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, BYTE, PATTERN).collect()} == dict(enumerate(CLEAN))
+
+
 def test_redacted_secrets(spark):
     rows = [(1, HIDDEN), (2, None), (3, "clean words only"), (4, "")]
     got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, PATTERN).collect()}
