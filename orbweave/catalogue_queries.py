@@ -438,8 +438,8 @@ def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = space(spark, sf_dir, blocked=False)
     mean, axes = vectors.fit_pca(rows, "vec", WIDTH, 2)
-    start = rows.select("track_id", vectors.project(F.col("vec"), mean, axes).alias("p")).select("track_id", (10 * F.col("p")[0]).alias("x"), (10 * F.col("p")[1]).alias("y"))
-    return map2d.layout(map2d.fuzzy_union(map2d.fuzzy_weights(knn.knn_graph(rows, 15), 15)), start, epochs=6)
+    start = rows.select("track_id", vectors.project(F.col("vec"), mean, axes).alias("p")).select("track_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    return map2d.layout(map2d.fuzzy_union(map2d.fuzzy_weights(knn.knn_graph(rows, 15), 15)), map2d.spread_start(start))
 
 
 # --- walks ---------------------------------------------------------------

@@ -153,6 +153,23 @@ def test_layout_keeps_clusters_apart(spark):
     assert min(gaps) > 2 * spread
 
 
+def test_layout_repels_at_every_size(spark):
+    start = spark.range(1_000_001).select(F.col("id").alias("track_id"), (F.col("id") % 100 / 100).alias("x"), (F.col("id") % 97 / 97).alias("y"))
+    none = spark.createDataFrame([], "a long, b long, w double")
+    moved = map2d.layout(none, start, epochs=1).join(start.withColumnsRenamed({"x": "sx", "y": "sy"}), "track_id").where("x <> sx or y <> sy").count()
+    assert moved > 990_000
+
+
+def test_layout_start_and_epochs(spark):
+    points = spark.createDataFrame([(1, 0.0, 5.0), (2, 1.0, 5.0), (3, 1.0, 5.0), (4, 0.5, 7.0)], "track_id long, x double, y double")
+    at = {r["track_id"]: (r["x"], r["y"]) for r in map2d.spread_start(points).collect()}
+    want = {1: (-10, -10), 2: (10, -10), 3: (10, -10), 4: (0, 10)}
+    assert all(at[i] == pytest.approx(want[i], abs=1e-4) for i in want) and len(set(at.values())) == 4
+    assert [map2d.epochs_for(n) for n in (3, 10_000, 10_001, 1_000_001)] == [500, 500, 200, 200]
+    ends = {r["track_id"]: (r["x"], r["y"]) for r in map2d.layout(spark.createDataFrame([(1, 2, 1.0)], "a long, b long, w double"), map2d.spread_start(points), epochs=3).collect()}
+    assert ends[2] != ends[3]
+
+
 def test_mixed_list_is_whole(spark, tmp_path):
     sizes = {"customer": ("c_custkey", "c_name", 130), "part": ("p_partkey", "p_name", 90), "supplier": ("s_suppkey", "s_name", 70)}
     for name, (key, label, n) in sizes.items():
