@@ -4,26 +4,33 @@ The hash universe is cut into segments, by bands of set sizes. Two sets of
 Jaccard similarity 0.8 or more differ in at most H elements, so with H + 1 + X
 segments at least 1 + X of them hold the same elements of both: the hash of a
 segment's elements is a signature, and such sets share one. Empty segments and
-signatures that very many unlinked sets have ("common") are passed over; X is the
-slack for that. Sets that pass over more than X segments match each other in
-their cheapest other segments with at most one element deleted; a document whose
-other segments don't suffice is compared with those that share one of its rarest
-elements, so that no bucket of many unlinked sets is ever paired off.
+signatures whose buckets hold too many pairs of unlinked sets ("common") are
+passed over; X is the slack for that. Sets that pass over more than X segments
+match each other in their cheapest other segments with at most one element
+deleted.
 
 In each signature's bucket all sets are first verified against one of them, which
 joins groups of copies in linear time; only pairs that are still in different
-components are then verified one by one.
+components are then verified one by one, if there are few of them for the bucket's size.
+
+Sets whose other segments don't suffice ("short") are taken relative to a pivot,
+the set that is in most common buckets: what all share with the pivot vanishes,
+and sets alike must be alike in their differences d from it. |x - y| counted both
+ways is |dx - dy| so counted, so x and y of sizes nx and ny are linked if
+18 * |dx & dy| >= wx + wy with w = 9 * |d| - n. Sets with no common difference are
+then linked only if both are linked with the pivot; the others meet in one of
+their cheapest differences, each a segment of its own, as many as must hold a shared one.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +39,19 @@ from orbweave.llm.graph import components
 from orbweave.llm.words import shingle_sets
 
 SHINGLE = 5
-#: A link: PERCENT * union <= 100 * intersection.
+#: A link: PERCENT * union <= 100 * intersection. The pivots' bounds hold for this figure.
 PERCENT = 80
 #: Sets of up to so many elements, and their partners, have each element as a segment.
 SMALL = 16
-#: A signature of more unlinked components than this is common.
+#: A bucket with more pairs of unlinked sets for each of its sets than this is common.
 COMMON = 24
 #: Hashes are counted in 2**SKETCH_BITS buckets to tell which are frequent.
 SKETCH_BITS = 20
+#: Pairs with the same first set that one task verifies, about.
+SHARE = 1_000
 _GROWTH = 1.25
+#: Classes of weights relative to a pivot grow by this factor.
+_CLASS = 1.125
 
 
 @functools.lru_cache(maxsize=1)
@@ -93,6 +104,11 @@ def _sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return shingle_sets([ascii_lower(t) for t in texts(batch, column)], SHINGLE)
 
 
+def _stored(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The sets of a batch's `elements`."""
+    return (np.frombuffer(e, np.uint64) for e in batch.column("elements").to_pylist())
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -121,69 +137,112 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
     return map_columns(docs, make, f"sig long, id {kind}")
 
 
+def _set_rows(docs: DataFrame) -> DataFrame:
+    """(id, elements): each set's sorted hashes, 64 bits each."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def make():
+        return lambda batch: {"id": batch.column("id"), "elements": [s.tobytes() for s in _sets(batch, "text")]}
+
+    return map_columns(docs, make, f"id {kind}, elements binary")
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(sig, lead, id) of signatures that several sets have; lead is the least id.
+    """(sig, lead, id) of signatures that several ids have; lead is the least id.
     Rows come sorted, so a bucket of any size passes through in batches."""
-    schema = f"sig long, lead {dict(rows.dtypes)['id']}, id {dict(rows.dtypes)['id']}"
+    kind = dict(rows.dtypes)["id"]
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "id")
 
     def make():
-        last: list = [None, None, False]  # the open bucket's signature and lead, and whether they were handed on
+        last: list = [None, None, None, True]  # signature, lead and id of the last row, and whether its lead was handed on
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             sig, ids = np.asarray(batch.column("sig")), np.asarray(batch.column("id"))
-            if last[0] is not None and not last[2]:  # its only row so far comes again
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+            fresh[0] = last[0] is None or sig[0] != last[0] or ids[0] != last[2]
+            sig, ids = sig[fresh], ids[fresh]
+            if not len(sig):
+                return {"sig": [], "lead": [], "id": []}
+            carried = last[0] is not None and sig[0] == last[0]
+            if carried and not last[3]:
                 sig, ids = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], ids])
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
-            carried = bool(last[2]) and sig[0] == last[0]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-            lead = ids[first]
-            several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            run = np.cumsum(new) - 1
+            first = np.flatnonzero(new)[run]
+            lead, several = ids[first], np.bincount(run)[run] > 1
             if carried:
-                head = first == 0
+                head = run == 0
                 lead, several = np.where(head, last[1], lead), several | head
-            last[:] = [sig[-1], lead[-1], bool(several[-1])]
+            last[:] = [sig[-1], lead[-1], ids[-1], bool(several[-1])]
             return {"sig": sig[several], "lead": lead[several], "id": ids[several]}
 
         return step
 
-    return map_columns(sorted_rows, make, schema, None)
+    return map_columns(sorted_rows, make, f"sig long, lead {kind}, id {kind}", None)
+
+
+def _facing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, salt, b, elements): b's set in rows of pairs (a, b), sorted so that a's own set
+    comes first, with b null. Pairs of an a that very many have are dealt over salts."""
+    kind = dict(pairs.dtypes)["b"]
+    many = pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > 2 * SHARE)
+    salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
+    dealt = pairs.join(many, "a", "left").select("a", "b", salt.cast("int").alias("salt"))
+    rows = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "elements")
+    heads = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a")
+    heads = heads.select("a", "salt", F.lit(None).cast(kind).alias("b"), "elements")
+    return rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+
+def _faced(batch: pa.RecordBatch, head: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, a's set, b's set) of a batch of _facing(); head keeps a's set from batch to batch."""
+    for i, (b, s) in enumerate(zip(batch.column("b").to_pylist(), _stored(batch), strict=True)):
+        if b is None:
+            head[:] = [s]
+        else:
+            yield i, head[0], s
+
+
+def _inside(s: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of a sorted set's elements another has."""
+    if not len(other):
+        return np.zeros(len(s), bool)
+    return other[np.minimum(np.searchsorted(other, s), len(other) - 1)] == s
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough; sets: id, n and text."""
-    sized = sets.select("id", "n")
-    asked = pairs.join(sized.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sized.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-    asked = asked.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("na") > 0)).select("a", "b")
-    text = sets.select("id", "text")
-    both = asked.join(text.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(text.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
+    """The pairs (a, b) whose sets are alike enough."""
     kind = dict(pairs.dtypes)["a"]
 
     def make():
+        head: list = []
+
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            a, b = batch.column("a"), batch.column("b")
-            left, right = batch.column("ta").dictionary_encode(), batch.column("tb").dictionary_encode()
-            sa, sb = (shingle_sets([ascii_lower(t) for t in x.dictionary.to_pylist()], SHINGLE) for x in (left, right))
             on = []
-            for i, j in zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True):
-                same = len(np.intersect1d(sa[i], sb[j], assume_unique=True))
-                on.append(100 * same >= PERCENT * (len(sa[i]) + len(sb[j]) - same))
-            keep = pa.array(on, pa.bool_())
-            return {"a": pc.filter(a, keep), "b": pc.filter(b, keep)}
+            for i, a, b in _faced(batch, head):
+                small, large = sorted((a, b), key=len)
+                if len(small) * 100 >= len(large) * PERCENT:
+                    same = int(_inside(small, large).sum())
+                    if 100 * same >= PERCENT * (len(a) + len(b) - same):
+                        on.append(i)
+            at = pa.array(on, pa.int64())
+            return {"a": batch.column("a").take(at), "b": batch.column("b").take(at)}
 
         return step
 
-    return map_columns(both.select("a", "b", "ta", "tb"), make, f"a {kind}, b {kind}", "tb")
+    return map_columns(_facing(pairs, sets), make, f"a {kind}, b {kind}", "elements")
 
 
 def _bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _frequent(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], common: int) -> np.ndarray:
+def _frequent(hard: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], common: int) -> np.ndarray:
     """Counts of hashes by bucket, of the buckets that have clearly more than most
-    (at most 2**SKETCH_BITS come to the driver); 0 for all others."""
+    (at most 2**SKETCH_BITS come to the driver); 0 for all others. They only tell
+    what is cheap: results don't depend on them."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
@@ -192,7 +251,7 @@ def _frequent(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray]
 
         return step
 
-    counts = checkpointed(map_columns(docs, make, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    counts = checkpointed(map_columns(hard, make, "bucket long, n long", "elements").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = (counts.agg(F.sum("n")).head()[0] or 0) / (1 << SKETCH_BITS)
     many = counts.where(F.col("n") > common + 2 * mean).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -224,26 +283,29 @@ def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
     return out
 
 
-def _deletions(docs: DataFrame, common: int) -> DataFrame:
-    """Rows (id, sig, z, chosen) of sets (id, text, common): their signatures with at
+def _deletions(hard: DataFrame, common: int) -> DataFrame:
+    """Rows (id, sig, z, chosen) of sets (id, elements, common): their signatures with at
     most one element deleted. Of each band a set chooses as many segments as must
     match, those of least cost: of few signatures, none of them frequent. A set
-    without enough such segments has one more row, with sig null. Segments
+    without enough such segments ("short") has one more row, with sig null. Segments
     with a frequent signature are no one's choice, so such signatures are left out."""
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = hard.schema["id"].dataType.simpleString()
+
+    def each(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        return (_neighbourhoods(s, c) for s, c in zip(_stored(batch), batch.column("common").to_pylist(), strict=True))
 
     def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
-        found = [x[4] for s, c in zip(_sets(batch, "text"), batch.column("common").to_pylist(), strict=True) for x in _neighbourhoods(s, c)]
+        found = [x[4] for bands in each(batch) for x in bands]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    counts = _frequent(docs, hashes_of, common)
+    counts = _frequent(hard, hashes_of, common)
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             rows, sigs, zs, choices, short = [], [], [], [], []
-            for i, (s, c) in enumerate(zip(_sets(batch, "text"), batch.column("common").to_pylist(), strict=True)):
+            for i, bands in enumerate(each(batch)):
                 enough = True
-                for need, segments, segment, z, sig in _neighbourhoods(s, c):
+                for need, segments, segment, z, sig in bands:
                     often = counts[_bucket_of(sig)]
                     cost = np.bincount(segment, minlength=segments)
                     open_ = (np.bincount(segment[z == 1], minlength=segments) > 0) & (np.bincount(segment[often > 0], minlength=segments) == 0)
@@ -257,69 +319,135 @@ def _deletions(docs: DataFrame, common: int) -> DataFrame:
                     rows.append(np.full(int(keep.sum()), i))
                 if not enough:
                     short.append(i)
+            none = np.zeros(len(short), np.int64)
             row = np.concatenate([*rows, np.array(short, np.int64)]).astype(np.int64)
-            n, rest = len(row) - len(short), [None] * len(short)
-            sig = np.concatenate(sigs).view(np.int64).tolist() if n else []
+            missing = np.arange(len(row)) >= len(row) - len(short)
             return {
-                "id": batch.column("id").take(pa.array(row)), "sig": sig + rest,
-                "z": (np.concatenate(zs).tolist() if n else []) + rest, "chosen": (np.concatenate(choices).tolist() if n else []) + rest,
+                "id": batch.column("id").take(pa.array(row)), "sig": pa.array(np.concatenate([*(s.view(np.int64) for s in sigs), none]), mask=missing),
+                "z": np.concatenate([*zs, none]).astype(np.int32), "chosen": np.concatenate([*choices, none]).astype(bool),
             }
 
         return step
 
-    return map_columns(docs, make, f"id {kind}, sig long, z int, chosen boolean")
+    return map_columns(hard, make, f"id {kind}, sig long, z int, chosen boolean", "elements")
+
+
+class _Differences:
+    """What sets show of their differences from a pivot: rows (probe, class, element,
+    w, what is left from that element on)."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def rows(self, pivot: np.ndarray, s: np.ndarray) -> tuple[bool, list[np.ndarray]]:
+        """Whether the pivot is linked with the set, and the columns of its rows.
+
+        Of two sets the one of greater w probes, those of its class of w or a lower
+        one are indexed under that class. Elements go from rare to frequent, those
+        that the pivot lacks first, so the first that two sets share is among the
+        first |d| - t + 1 of each, where t is the least number that they must share.
+        """
+        own, lost = s[~_inside(s, pivot)], pivot[~_inside(pivot, s)]
+        mixed = [splitmix(x) for x in (own, lost)]
+        often = [self.counts[_bucket_of(x)] for x in mixed]
+        d = np.concatenate([mixed[0][np.lexsort((mixed[0], often[0]))], mixed[1][np.lexsort((mixed[1], -often[1]))]])
+        n, w = len(d), 9 * len(d) - len(s)
+        linked = w <= len(pivot)
+        shown = []
+        if not linked:
+            shown.append((True, self._class(w + len(pivot)), n - max(1, n - len(s) // 4) + 1))
+        low = max(w + len(pivot), 2 * len(pivot) + 1)  # a probe isn't linked with the pivot
+        at = self._class(low)
+        while n and (bound := max(low, _CLASS**at * (1 - 1e-9)) - len(pivot)) <= w + 2 * len(s):  # |wx - wy| <= nx + ny + |nx - ny|
+            need = max(1, math.ceil((bound + w) / 18 - 1e-9))
+            if need > n:
+                break
+            shown.append((False, at, n - need + 1))
+            at += 1
+        sizes = np.array([k for *_, k in shown], np.int64)
+        place = np.concatenate([np.arange(0), *map(np.arange, sizes)])
+        columns = [np.repeat(np.array([x[i] for x in shown], np.int64), sizes) for i in (0, 1)]
+        return linked, [*columns, d[place], np.full(len(place), w), n - place]
+
+    @staticmethod
+    def _class(v: int) -> int:
+        return int(math.log(max(v, 1)) / math.log(_CLASS) + 1e-9)
+
+
+def _pivoted(hard: DataFrame, short: DataFrame, members: DataFrame, sets: DataFrame, common: int) -> DataFrame:
+    """Candidate pairs (a, b) of a short set and another hard one (id, elements, bare)
+    that share a common signature, by their differences from its pivot, or that
+    both are bare, by their elements; and pivots with the sets linked with them.
+    members: (sig, id) of common signatures."""
+    kind = hard.schema["id"].dataType.simpleString()
+    asked = members.join(members.join(short.select("id"), "id", "left_semi").select("sig").distinct(), "sig", "left_semi")
+    asked = checkpointed(asked.join(hard.select("id"), "id", "left_semi"))
+    popular = asked.groupBy("id").agg(F.count("*").alias("n"))
+    pivots = asked.join(popular, "id").groupBy("sig").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("a"))
+    pairs = checkpointed(asked.join(pivots, "sig").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct())
+
+    def elements(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([splitmix(s) for s in _stored(batch)])
+
+    counts = _frequent(hard.select("elements"), elements, common)
+
+    def make():
+        head, shown = [np.zeros(0, np.uint64)], _Differences(counts)
+
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            faced = _faced(batch, head) if "b" in batch.schema.names else ((i, head[0], s) for i, s in enumerate(_stored(batch)))
+            group = np.asarray(batch.column("salted"))
+            on, at, out = [], [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
+            for i, pivot, s in faced:
+                linked, (probe, number, element, w, left) = shown.rows(pivot, s)
+                if linked:
+                    on.append(i)
+                at.append(np.full(len(left), i))
+                key = splitmix(element + splitmix(number.astype(np.uint64) + group[i : i + 1].view(np.uint64)))
+                for column, v in zip(out, (key.view(np.int64), probe, w, left), strict=True):
+                    column.append(v)
+            key, probe, w, left = (np.concatenate(c) for c in out)
+            row, k = np.concatenate([np.concatenate(at), on]).astype(np.int64), len(key)
+            fill = np.zeros(len(on), np.int64)
+            lead = batch.column("a").take(pa.array(row)) if "a" in batch.schema.names else pa.nulls(len(row), batch.schema.field("id").type)
+            ids = batch.column("b" if "b" in batch.schema.names else "id").take(pa.array(row))
+            return {
+                "key": pa.array(np.concatenate([key, fill]), mask=np.arange(len(row)) >= k), "probe": np.concatenate([probe, fill]).astype(bool), "id": ids,
+                "w": np.concatenate([w, fill]), "rest": np.concatenate([left, fill]), "lead": lead,
+            }
 
+        return step
 
-def _compensated(docs: DataFrame, common: int) -> DataFrame:
-    """Pairs (a, b) of sets (id, text, common) that pass over more segments than
-    slack: those that match in a chosen segment with one element deleted; and, for
-    sets whose segments don't suffice, those that share one of their rarest elements."""
-    rows = checkpointed(_deletions(docs, common))
+    schema = f"key long, probe boolean, id {kind}, w long, rest long, lead {kind}"
+    shown = map_columns(_facing(pairs, sets).withColumn("salted", F.xxhash64("a")), make, schema, "elements")
+    alone = hard.where("bare").select("id", "elements", F.lit(0).cast("long").alias("salted"))
+    shown = checkpointed(shown.unionByName(map_columns(alone, make, schema, "elements")))
+    flagged = shown.where(F.col("key").isNotNull()).drop("lead").join(short.select("id", F.lit(True).alias("short")), "id", "left")
+    probes = flagged.where("probe").select("key", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"), F.col("short").alias("sx"))
+    index = flagged.where(~F.col("probe"))
+    enough = F.least("rx", "rest") * 18 >= F.col("wx") + F.col("w")
+    met = probes.join(index, "key").where((F.col("x") != F.col("id")) & enough & F.coalesce("sx", "short", F.lit(False)))
+    found = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    linked = shown.where(F.col("key").isNull()).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    return found.unionByName(linked).distinct()
+
+
+def _compensated(hard: DataFrame, members: DataFrame, sets: DataFrame, common: int) -> DataFrame:
+    """Candidate pairs (a, b) of sets (id, elements, common, bare) that pass over more
+    segments than slack: those that match in a chosen segment with one element
+    deleted; and for short ones those that are alike in their differences from a pivot."""
+    rows = checkpointed(_deletions(hard, common))
     each = rows.where(F.col("sig").isNotNull())
     probes = each.where("chosen").select("sig", F.col("id").alias("a"), F.col("z").alias("za"))
     met = probes.join(each.select("sig", F.col("id").alias("b"), F.col("z").alias("zb")), "sig").where((F.col("a") != F.col("b")) & (F.col("za") + F.col("zb") == 1))
     found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(rows.where(F.col("sig").isNull()).select("id").distinct())
-    if not rest.isEmpty():
-        found = found.unionByName(_sharing_rare(docs, rest, common))
+    short = checkpointed(rows.where(F.col("sig").isNull()).select("id").distinct())
+    if not short.isEmpty():
+        passing = hard.join(rows.select("id").distinct(), "id", "left_semi")
+        found = found.unionByName(_pivoted(checkpointed(passing), short, members, sets, common))
     return found.distinct()
 
 
-def _sharing_rare(docs: DataFrame, rest: DataFrame, common: int) -> DataFrame:
-    """Pairs of a set of `rest` and any other that share a rare element. In an order
-    from rare to frequent that is the same for all sets, the first element that two
-    similar sets share has as many after it, in both, as they must share. So what
-    very many sets have in common comes too late to pair them."""
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([splitmix(s) for s in _sets(batch, "text")])
-
-    counts = _frequent(docs, hashes_of, common)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, list]:
-            rows, elements, sizes, places = [], [], [], []
-            for i, s in enumerate(_sets(batch, "text")):
-                n, mixed = len(s), splitmix(s)
-                mixed = mixed[np.lexsort((mixed, counts[_bucket_of(mixed)]))]
-                first = n + (-n * PERCENT // 100) + 1 if n else 0
-                elements.append(mixed[:first])
-                rows.append(np.full(first, i))
-                sizes.append(np.full(first, n))
-                places.append(np.arange(first))
-            row = np.concatenate(rows).astype(np.int64)
-            return {"element": np.concatenate(elements).view(np.int64), "id": batch.column("id").take(pa.array(row)), "n": np.concatenate(sizes), "place": np.concatenate(places)}
-
-        return step
-
-    rare = checkpointed(map_columns(docs.select("id", "text"), make, f"element long, id {kind}, n long, place long"))
-    asked = matching(rare, rest, "id").withColumnsRenamed({"id": "x", "n": "nx", "place": "px"})
-    shared = F.ceil((F.col("nx") + F.col("n")) * PERCENT / F.lit(100 + PERCENT) - 1e-9)
-    fits = (F.col("x") != F.col("id")) & (F.col("px") + shared <= F.col("nx")) & (F.col("place") + shared <= F.col("n"))
-    return asked.join(rare, "element").where(fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
@@ -333,44 +461,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = checkpointed(_profile(docs, id_col, text_col))
     known = profile.where(F.col("id").isNotNull())
     # Documents of the same set are one; the least id stands for them.
-    same = checkpointed(known.where("n > 0").groupBy("digest").agg(F.min("id").alias("lead"), F.min("n").alias("n"), F.max("bare").alias("bare"), F.count("*").alias("copies")))
+    same = checkpointed(known.where("n > 0").groupBy("digest").agg(F.min("id").alias("lead"), F.max("bare").alias("bare")))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     copies = known.join(same, "digest").where(F.col("id") != F.col("lead")).select("id").distinct()
     source = matching(own, checkpointed(copies), "id", "left_anti")
     buckets = checkpointed(_buckets(_signature_rows(source)))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = checkpointed(ids.distinct())
-        return matching(own, ids, "id").join(same.select(F.col("lead").alias("id"), "n"), "id").dropDuplicates(["id"])
-
     stars = checkpointed(buckets.where(F.col("lead") != F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    sets = checkpointed(sets_of(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id")))))
+    bare = same.where("bare").select(F.col("lead").alias("id"))
+    ids = checkpointed(stars.select(F.col("a").alias("id")).union(stars.select("b")).union(bare).distinct())
+    sets = checkpointed(_set_rows(matching(own, ids, "id")).dropDuplicates(["id"]))
     links = checkpointed(_verified(stars, sets))
     reached = components(links)
 
     joined = buckets.select("sig", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = joined.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("sig")
+    size = joined.groupBy("sig", "component").agg(F.count("*").alias("c"))
+    spread = size.groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max_by("component", "c").alias("largest"), F.count("*").alias("several")).where("several > 1")
+    spread = spread.select("sig", "largest", ((F.col("n") * F.col("n") - F.col("within")) > 2 * common * F.col("n")).alias("often"))
     left = checkpointed(joined.join(spread, "sig"))  # buckets that still hold several components
-    number = left.select("sig", "component").distinct().groupBy("sig").agg(F.count("*").alias("components"))
-    often = checkpointed(number.where(F.col("components") > common).select("sig"))
 
-    def across(rows: DataFrame, others: DataFrame) -> DataFrame:
-        met = rows.select("sig", F.col("id").alias("x"), F.col("component").alias("cx")).join(others.select("sig", F.col("id").alias("y"), F.col("component").alias("cy")), "sig").where(F.col("cx") != F.col("cy"))
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    pairs = across(left.join(often, "sig", "left_anti"), left)
+    few = left.where(~F.col("often"))
+    met = few.where(F.col("component") != F.col("largest")).select("sig", F.col("id").alias("x"), F.col("component").alias("cx"))
+    met = met.join(few.select("sig", F.col("id").alias("y"), F.col("component").alias("cy")), "sig").where(F.col("cx") != F.col("cy"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # Common signatures are passed over; what that may lose is made good.
-    passed = left.join(often, "sig").groupBy("id").agg(F.collect_set("sig").alias("common"))
-    bare = same.where("bare").select(F.col("lead").alias("id"))
-    asked = checkpointed(passed.join(bare.withColumn("bare", F.lit(True)), "id", "full_outer").select("id", "common"))
-    texts_asked = matching(own, asked.select("id"), "id").dropDuplicates(["id"]).join(asked, "id").select("id", "text", "common")
-    made_good = _compensated(texts_asked, common)
+    members = left.where("often").select("sig", "id")
+    passed = members.groupBy("id").agg(F.collect_set("sig").alias("common"))
+    asked = passed.join(bare.withColumn("bare", F.lit(True)), "id", "full_outer").select("id", "common", F.coalesce("bare", F.lit(False)).alias("bare"))
+    hard = checkpointed(sets.join(asked, "id"))
+    made_good = _compensated(hard, members, sets, common)
     for end in ("a", "b"):
         made_good = made_good.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
     made_good = made_good.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     pairs = checkpointed(pairs.unionByName(made_good).distinct().join(stars, ["a", "b"], "left_anti"))
-    more = _verified(pairs, sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))))
-    final = components(links.unionByName(more)).withColumnRenamed("node", "lead")
+    final = components(links.unionByName(_verified(pairs, sets))).withColumnRenamed("node", "lead")
 
     groups = same.select("digest", "lead").join(final, "lead", "left").select("digest", F.coalesce("component", "lead").alias("component"))
     out = profile.join(groups, "digest", "left")
