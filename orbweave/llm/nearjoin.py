@@ -44,7 +44,7 @@ PERCENT = 80
 #: Sets of up to so many elements, and their partners, have each element as a segment.
 SMALL = 16
 #: A bucket with more pairs of unlinked sets for each of its sets than this is common.
-COMMON = 24
+COMMON = 4
 #: Hashes are counted in 2**SKETCH_BITS buckets to tell which are frequent.
 SKETCH_BITS = 20
 #: Pairs with the same first set that one task verifies, about.
