@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import ctypes
 import functools
+import itertools
 import tempfile
 from collections.abc import Callable, Hashable, Iterator
 
@@ -40,11 +42,14 @@ def slices(batch: pa.RecordBatch, column: str | None) -> Iterator[pa.RecordBatch
 
 
 _resident: dict[Hashable, object] = {}
+_asked: set[Hashable] = set()
 
 
 def resident(key: Hashable, make: Callable[[], object]):
-    """What a worker keeps from one task to the next: the last such thing alone, so
-    that stages with models of their own don't add up in a worker that serves them all."""
+    """What a worker keeps from one task to the next: the last such thing alone, and only
+    as long as tasks ask for it, so that stages with models of their own don't add up
+    in a worker that serves them all."""
+    _asked.add(key)
     if key not in _resident:
         _resident.clear()
         _resident[key] = make()
@@ -83,7 +88,10 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _libc()
+        _asked.clear()
         step = make()
+        if not _asked:
+            _resident.clear()
         for batch in batches:
             for part in slices(batch, text):
                 if part.num_rows:
@@ -100,6 +108,21 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def clear_of(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans (start, end) that overlap none of those taken."""
+    if not spans or not taken:
+        return spans
+    order = sorted(taken)
+    starts = [a for a, _ in order]
+    reach = list(itertools.accumulate((b for _, b in order), max))  # the greatest end up to each
+    out = []
+    for a, b in spans:
+        before = bisect.bisect_left(starts, b)  # those that start before the span ends
+        if not before or reach[before - 1] <= a:
+            out.append((a, b))
+    return out
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 of a text with A-Z lower-cased and nothing else."""
     return text.encode().lower()
@@ -113,13 +136,34 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orbweave-"))
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is set and all runs on this machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="orbweave-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The table, written as Parquet and read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches `at` of a flat array, one after the other, and where each ends."""
     n = sizes[at]

@@ -9,7 +9,6 @@ so is a part of it, since a readable name or path before a secret lifts the rati
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -18,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import map_columns, texts
+from orbweave.llm.common import clear_of, map_columns, resident, texts
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -42,11 +41,13 @@ WORD_SHARE = 0.9
 LONG_PART = 12
 
 
-@functools.lru_cache(maxsize=2)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def make() -> tiktoken.Encoding:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return resident(("secrets", path, pattern), make)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -109,7 +110,7 @@ def random_spans(text: str, enc: tiktoken.Encoding, ratio: float, shortest: int)
             continue
         start, taken = m.start() + m[0].index(run), []
         for spans in stretches(run, enc, ratio):
-            taken += [(a, b) for a, b in spans if all(b <= c or d <= a for c, d in taken) and is_random(run[a:b])]
+            taken += [(a, b) for a, b in clear_of(spans, taken) if is_random(run[a:b])]
         found += [("random", start + a, start + b) for a, b in sorted(taken)]
     return found
 
@@ -117,7 +118,9 @@ def random_spans(text: str, enc: tiktoken.Encoding, ratio: float, shortest: int)
 def scan(text: str, enc: tiktoken.Encoding, ratio: float, shortest: int) -> tuple[list, list]:
     """The fixed formats' spans, and those with the random strings that overlap none of them."""
     base = base_spans(text)
-    more = [s for s in random_spans(text, enc, ratio, shortest) if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
+    found = random_spans(text, enc, ratio, shortest)
+    free = set(clear_of([s[1:] for s in found], [b[1:] for b in base]))
+    more = [s for s in found if s[1:] in free]
     return base, sorted([*base, *more], key=_order)
 
 

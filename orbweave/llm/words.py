@@ -17,8 +17,17 @@ _PART = 1 << 20
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
-@functools.lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of a base; those for parts of the usual size are kept."""
+    return _kept_powers(base, n) if n <= 2 * _PART else _made_powers(base, n)
+
+
+@functools.lru_cache(maxsize=8)
+def _kept_powers(base: int, n: int) -> np.ndarray:
+    return _made_powers(base, n)
+
+
+def _made_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
