@@ -7,12 +7,14 @@ a null doc_id passes the stages that remove by doc_id as it is.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import langid, nearjoin, packing, secrets, substrings
-from orbweave.llm.common import checkpointed, matching
+from orbweave.llm.common import checkpointed, matching, removed, shared_folder, stored
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.5
@@ -67,7 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over `documents`. What each keeps is written to the shared folder and
+    read as the next one's docs; the table before it is then removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"{home}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{home}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)
