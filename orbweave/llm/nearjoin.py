@@ -12,6 +12,8 @@ deleted.
 In each signature's bucket all sets are first verified against one of them, which
 joins groups of copies in linear time; only pairs that are still in different
 components are then verified one by one, if there are few of them for the bucket's size.
+Before sets meet, their parities do: bits that each element flips, which differ in no
+more places than the sets in elements. Only pairs that these don't rule out need sets.
 
 Sets whose other segments don't suffice ("short") are taken relative to a pivot,
 the set that is in most common buckets: what all share with the pivot vanishes,
@@ -44,7 +46,7 @@ PERCENT = 80
 #: Sets of up to so many elements, and their partners, have each element as a segment.
 SMALL = 16
 #: A bucket with more pairs of unlinked sets for each of its sets than this is common.
-COMMON = 4
+COMMON = 8
 #: Hashes are counted in 2**SKETCH_BITS buckets to tell which are frequent.
 SKETCH_BITS = 20
 #: Pairs with the same first set that one task verifies, about.
@@ -109,17 +111,31 @@ def _stored(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(e, np.uint64) for e in batch.column("elements").to_pylist())
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Bits, one or two for each element, of which each element flips one."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at the least, by their parities; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             sets = _sets(batch, text_col)
-            return {"id": batch.column(id_col), "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "bare": [signatures(s)[1] for s in sets]}
+            return {"id": batch.column(id_col), "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "bare": [signatures(s)[1] for s in sets], "parity": [_parity(s) for s in sets]}
 
         return step
 
-    return map_columns(docs.select(id_col, text_col), make, f"id {kind}, n long, digest string, bare boolean", text_col)
+    return map_columns(docs.select(id_col, text_col), make, f"id {kind}, n long, digest string, bare boolean, parity binary", text_col)
 
 
 def _signature_rows(docs: DataFrame) -> DataFrame:
@@ -183,16 +199,38 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return map_columns(sorted_rows, make, f"sig long, lead {kind}, id {kind}", None)
 
 
-def _facing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, salt, b, elements): b's set in rows of pairs (a, b), sorted so that a's own set
-    comes first, with b null. Pairs of an a that very many have are dealt over salts."""
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out; sketches: id, n, parity."""
+    kind = dict(pairs.dtypes)["a"]
+    rows = pairs
+    for end in ("a", "b"):
+        rows = rows.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+    rows = rows.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            na, nb, a, b = (batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb"))
+            on = [(100 + PERCENT) * _apart(x, y) <= (100 - PERCENT) * (n + m) for n, m, x, y in zip(na, nb, a, b, strict=True)]
+            return {c: batch.column(c).filter(pa.array(on, pa.bool_())) for c in ("a", "b")}
+
+        return step
+
+    return map_columns(rows, make, f"a {kind}, b {kind}", "pb")
+
+
+def _facing(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """(a, salt, b, elements and more columns of pairs): b's set in rows of pairs (a, b), sorted so that a's
+    own set comes first, with b null. Pairs of an a that very many have are dealt over salts."""
     kind = dict(pairs.dtypes)["b"]
-    many = pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > 2 * SHARE)
-    salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
-    dealt = pairs.join(many, "a", "left").select("a", "b", salt.cast("int").alias("salt"))
-    rows = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "elements")
-    heads = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a")
-    heads = heads.select("a", "salt", F.lit(None).cast(kind).alias("b"), "elements")
+    many = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > 2 * SHARE))
+    if many.isEmpty():
+        dealt = pairs.withColumn("salt", F.lit(0))
+    else:
+        salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
+        dealt = pairs.join(many, "a", "left").withColumn("salt", salt.cast("int"))
+    rows = dealt.join(sets.select(F.col("id").alias("b"), "elements"), "b").select("a", "salt", "b", "elements", *more)
+    heads = dealt.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "elements"), "a")
+    heads = heads.select("a", "salt", F.lit(None).cast(kind).alias("b"), "elements", *[F.lit(None).cast(dict(pairs.dtypes)[c]).alias(c) for c in more])
     return rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
@@ -374,28 +412,25 @@ class _Differences:
         return int(math.log(max(v, 1)) / math.log(_CLASS) + 1e-9)
 
 
-def _pivoted(hard: DataFrame, short: DataFrame, members: DataFrame, sets: DataFrame, common: int) -> DataFrame:
-    """Candidate pairs (a, b) of a short set and another hard one (id, elements, bare)
-    that share a common signature, by their differences from its pivot, or that
+def _pivoted(hard: DataFrame, members: DataFrame, common: int) -> DataFrame:
+    """Candidate pairs (a, b) of a short set and another hard one (id, elements, bare,
+    short) that share a common signature, by their differences from its pivot, or that
     both are bare, by their elements; and pivots with the sets linked with them.
     members: (sig, id) of common signatures."""
     kind = hard.schema["id"].dataType.simpleString()
-    asked = members.join(members.join(short.select("id"), "id", "left_semi").select("sig").distinct(), "sig", "left_semi")
-    asked = checkpointed(asked.join(hard.select("id"), "id", "left_semi"))
+    asked = members.join(hard.select("id", "short"), "id")
+    asked = checkpointed(asked.join(asked.where("short").select("sig").distinct(), "sig", "left_semi"))
     popular = asked.groupBy("id").agg(F.count("*").alias("n"))
     pivots = asked.join(popular, "id").groupBy("sig").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("a"))
-    pairs = checkpointed(asked.join(pivots, "sig").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct())
-
-    def elements(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([splitmix(s) for s in _stored(batch)])
-
-    counts = _frequent(hard.select("elements"), elements, common)
+    pairs = checkpointed(asked.join(pivots, "sig").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"), "short").distinct())
+    counts = _frequent(hard.select("elements"), lambda batch: np.concatenate([splitmix(s) for s in _stored(batch)]), common)
 
     def make():
         head, shown = [np.zeros(0, np.uint64)], _Differences(counts)
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            faced = _faced(batch, head) if "b" in batch.schema.names else ((i, head[0], s) for i, s in enumerate(_stored(batch)))
+            paired = "b" in batch.schema.names
+            faced = _faced(batch, head) if paired else ((i, head[0], s) for i, s in enumerate(_stored(batch)))
             group = np.asarray(batch.column("salted"))
             on, at, out = [], [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
             for i, pivot, s in faced:
@@ -407,32 +442,30 @@ def _pivoted(hard: DataFrame, short: DataFrame, members: DataFrame, sets: DataFr
                 for column, v in zip(out, (key.view(np.int64), probe, w, left), strict=True):
                     column.append(v)
             key, probe, w, left = (np.concatenate(c) for c in out)
-            row, k = np.concatenate([np.concatenate(at), on]).astype(np.int64), len(key)
-            fill = np.zeros(len(on), np.int64)
-            lead = batch.column("a").take(pa.array(row)) if "a" in batch.schema.names else pa.nulls(len(row), batch.schema.field("id").type)
-            ids = batch.column("b" if "b" in batch.schema.names else "id").take(pa.array(row))
+            row, fill = np.concatenate([np.concatenate(at), on]).astype(np.int64), np.zeros(len(on), np.int64)
+            where = pa.array(row)
             return {
-                "key": pa.array(np.concatenate([key, fill]), mask=np.arange(len(row)) >= k), "probe": np.concatenate([probe, fill]).astype(bool), "id": ids,
-                "w": np.concatenate([w, fill]), "rest": np.concatenate([left, fill]), "lead": lead,
+                "key": pa.array(np.concatenate([key, fill]), mask=np.arange(len(row)) >= len(key)), "probe": np.concatenate([probe, fill]).astype(bool), "id": batch.column("b" if paired else "id").take(where),
+                "w": np.concatenate([w, fill]), "rest": np.concatenate([left, fill]), "short": batch.column("short").take(where),
+                "lead": batch.column("a").take(where) if paired else pa.nulls(len(row), batch.schema.field("id").type),
             }
 
         return step
 
-    schema = f"key long, probe boolean, id {kind}, w long, rest long, lead {kind}"
-    shown = map_columns(_facing(pairs, sets).withColumn("salted", F.xxhash64("a")), make, schema, "elements")
-    alone = hard.where("bare").select("id", "elements", F.lit(0).cast("long").alias("salted"))
+    schema = f"key long, probe boolean, id {kind}, w int, rest int, short boolean, lead {kind}"
+    shown = map_columns(_facing(pairs, hard, "short").withColumn("salted", F.xxhash64("a")), make, schema, "elements")
+    alone = hard.where("bare").select("id", "elements", "short", F.lit(0).cast("long").alias("salted"))
     shown = checkpointed(shown.unionByName(map_columns(alone, make, schema, "elements")))
-    flagged = shown.where(F.col("key").isNotNull()).drop("lead").join(short.select("id", F.lit(True).alias("short")), "id", "left")
-    probes = flagged.where("probe").select("key", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"), F.col("short").alias("sx"))
-    index = flagged.where(~F.col("probe"))
+    probes = shown.where("key IS NOT NULL AND probe").select("key", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"), F.col("short").alias("sx"))
+    index = shown.where("key IS NOT NULL AND NOT probe").drop("lead", "probe")
     enough = F.least("rx", "rest") * 18 >= F.col("wx") + F.col("w")
-    met = probes.join(index, "key").where((F.col("x") != F.col("id")) & enough & F.coalesce("sx", "short", F.lit(False)))
+    met = probes.join(index, "key").where((F.col("x") != F.col("id")) & enough & (F.col("sx") | F.col("short")))
     found = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    linked = shown.where(F.col("key").isNull()).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    linked = shown.where("key IS NULL").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
     return found.unionByName(linked).distinct()
 
 
-def _compensated(hard: DataFrame, members: DataFrame, sets: DataFrame, common: int) -> DataFrame:
+def _compensated(hard: DataFrame, members: DataFrame, common: int) -> DataFrame:
     """Candidate pairs (a, b) of sets (id, elements, common, bare) that pass over more
     segments than slack: those that match in a chosen segment with one element
     deleted; and for short ones those that are alike in their differences from a pivot."""
@@ -441,10 +474,9 @@ def _compensated(hard: DataFrame, members: DataFrame, sets: DataFrame, common: i
     probes = each.where("chosen").select("sig", F.col("id").alias("a"), F.col("z").alias("za"))
     met = probes.join(each.select("sig", F.col("id").alias("b"), F.col("z").alias("zb")), "sig").where((F.col("a") != F.col("b")) & (F.col("za") + F.col("zb") == 1))
     found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    short = checkpointed(rows.where(F.col("sig").isNull()).select("id").distinct())
-    if not short.isEmpty():
-        passing = hard.join(rows.select("id").distinct(), "id", "left_semi")
-        found = found.unionByName(_pivoted(checkpointed(passing), short, members, sets, common))
+    passing = checkpointed(hard.join(rows.groupBy("id").agg(F.max(F.col("sig").isNull()).alias("short")), "id"))
+    if not passing.where("short").isEmpty():
+        found = found.unionByName(_pivoted(passing, members, common))
     return found.distinct()
 
 
@@ -461,20 +493,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = checkpointed(_profile(docs, id_col, text_col))
     known = profile.where(F.col("id").isNotNull())
     # Documents of the same set are one; the least id stands for them.
-    same = checkpointed(known.where("n > 0").groupBy("digest").agg(F.min("id").alias("lead"), F.max("bare").alias("bare")))
+    same = checkpointed(known.where("n > 0").groupBy("digest").agg(F.min("id").alias("lead"), F.max("bare").alias("bare"), F.max("n").alias("n"), F.max("parity").alias("parity")))
+    sketches = same.select(F.col("lead").alias("id"), "n", "parity")
+    repeated = known.count() > known.select("id").distinct().count()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     copies = known.join(same, "digest").where(F.col("id") != F.col("lead")).select("id").distinct()
     source = matching(own, checkpointed(copies), "id", "left_anti")
     buckets = checkpointed(_buckets(_signature_rows(source)))
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        sets = _set_rows(matching(own, checkpointed(ids.distinct()), "id"))
+        return checkpointed(sets.dropDuplicates(["id"]) if repeated else sets)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = checkpointed(_likely(pairs, sketches))
+        return checkpointed(_verified(likely, sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")))))
+
     stars = checkpointed(buckets.where(F.col("lead") != F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    bare = same.where("bare").select(F.col("lead").alias("id"))
-    ids = checkpointed(stars.select(F.col("a").alias("id")).union(stars.select("b")).union(bare).distinct())
-    sets = checkpointed(_set_rows(matching(own, ids, "id")).dropDuplicates(["id"]))
-    links = checkpointed(_verified(stars, sets))
+    links = linked(stars)
     reached = components(links)
 
-    joined = buckets.select("sig", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    joined = checkpointed(buckets.select("sig", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     size = joined.groupBy("sig", "component").agg(F.count("*").alias("c"))
     spread = size.groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max_by("component", "c").alias("largest"), F.count("*").alias("several")).where("several > 1")
     spread = spread.select("sig", "largest", ((F.col("n") * F.col("n") - F.col("within")) > 2 * common * F.col("n")).alias("often"))
@@ -487,14 +526,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Common signatures are passed over; what that may lose is made good.
     members = left.where("often").select("sig", "id")
     passed = members.groupBy("id").agg(F.collect_set("sig").alias("common"))
-    asked = passed.join(bare.withColumn("bare", F.lit(True)), "id", "full_outer").select("id", "common", F.coalesce("bare", F.lit(False)).alias("bare"))
-    hard = checkpointed(sets.join(asked, "id"))
-    made_good = _compensated(hard, members, sets, common)
+    bare = same.where("bare").select(F.col("lead").alias("id"), F.lit(True).alias("bare"))
+    asked = checkpointed(passed.join(bare, "id", "full_outer").select("id", "common", F.coalesce("bare", F.lit(False)).alias("bare")))
+    made_good = _compensated(checkpointed(sets_of(asked.select("id")).join(asked, "id")), members, common)
     for end in ("a", "b"):
         made_good = made_good.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
     made_good = made_good.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     pairs = checkpointed(pairs.unionByName(made_good).distinct().join(stars, ["a", "b"], "left_anti"))
-    final = components(links.unionByName(_verified(pairs, sets))).withColumnRenamed("node", "lead")
+    final = components(links.unionByName(linked(pairs))).withColumnRenamed("node", "lead")
 
     groups = same.select("digest", "lead").join(final, "lead", "left").select("digest", F.coalesce("component", "lead").alias("component"))
     out = profile.join(groups, "digest", "left")
