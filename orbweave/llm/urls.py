@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Ranges of keys, and sampled keys for each bound between them.
-RANGES = 64
+#: Urls of one range, about; the least and the greatest number of ranges; and sampled
+#: keys for each bound between them. A range streams through its task, however many urls it has.
+URLS_PER_RANGE, RANGES = 20_000, (64, 4096)
 SAMPLED_PER_RANGE = 50
 #: An upper end of all keys with a prefix: no host or path has this character.
 _END = "\U0010ffff"
@@ -39,7 +40,7 @@ def host_key(host: Column) -> Column:
 
 def judge(
     pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The verdict on each url: that of the longest fitting rule, else `default`.
 
@@ -57,6 +58,7 @@ def judge(
     asked = asked.withColumn("key", F.concat(host_key(F.col("host")), "path", F.lit("\0"), F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
     named = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
     size = asked.count()
+    ranges = ranges or min(max(size // URLS_PER_RANGE, RANGES[0]), RANGES[1])
     share = min(1.0, ranges * SAMPLED_PER_RANGE / max(size, 1))
     # About ranges * SAMPLED_PER_RANGE keys come to the driver; they only bound the ranges.
     drawn = sorted(r["key"] for r in asked.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("key").collect())
@@ -71,7 +73,7 @@ def judge(
     events = stops.select("range", "key", F.lit(0).alias("is_url"), none.cast(kind).alias("id"), "host", "path", "verdict").unionByName(
         asked.select(place(F.col("key")).alias("range"), "key", F.lit(1).alias("is_url"), "id", "host", "path", none.cast("string").alias("verdict"))
     )
-    dealt = events.repartition("range").sortWithinPartitions("range", "key", "is_url")
+    dealt = events.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "key", "is_url")
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
