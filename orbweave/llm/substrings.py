@@ -12,6 +12,7 @@ compacted into one. Windows of anchors that occur twice are then verified by
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 
 import numpy as np
@@ -25,10 +26,14 @@ from orbweave.llm.common import checkpointed, map_columns, matching, texts
 from orbweave.llm.words import run_hashes, word_hashes
 
 WINDOW, ANCHOR = 20, 8
-#: Runs that an index may have before they are compacted, and buckets of a run.
-MOST_RUNS, BUCKETS = 4, 48
-#: Batches that deduplicate() cuts its table into.
-BATCHES = 2
+#: Runs that an index may have before they are compacted.
+MOST_RUNS = 2
+#: Words of one bucket of a run, about, and the least number of buckets.
+WORDS_PER_BUCKET, BUCKETS = 1_500_000, 48
+#: deduplicate() cuts its table into 3 batches, and one more each time that it has twice as many rows as this.
+BATCH_ROWS = 50_000
+#: Sampled ids for each bound between batches.
+SAMPLED_PER_BATCH = 100
 #: A row's part in a run: an anchor's first place in its slice of texts, alone or
 #: with others; and those others, whose key is their own, so that a frequent
 #: anchor's rows don't meet in one bucket.
@@ -133,8 +138,8 @@ class FingerprintIndex:
     """Anchors of all texts so far, in sorted runs. Tables of the session's
     warehouse; drop() removes them."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, id_col: str = "doc_id", text_col: str = "text"):
-        self.spark, self.id_col, self.text_col = spark, id_col, text_col
+    def __init__(self, spark: SparkSession, name: str | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS):
+        self.spark, self.id_col, self.text_col, self.buckets = spark, id_col, text_col, buckets
         self.name = name or f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.made = 0
@@ -142,7 +147,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         run = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(BUCKETS, "key").sortWithinPartitions("key").write.bucketBy(BUCKETS, "key").sortBy("key").saveAsTable(run)
+        rows.repartition(self.buckets, "key").sortWithinPartitions("key").write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(run)
         return run
 
     def add(self, docs: DataFrame, archive: DataFrame | None = None) -> DataFrame:
@@ -157,7 +162,9 @@ class FingerprintIndex:
         old = []
         for other in map(self.spark.table, self.runs):
             met = other.where(F.col("part") < _OTHER).join(leads, "key", "left_semi")
-            old += [met, other.where(F.col("part") == _OTHER).join(leads.select(F.col("key").alias("h")), "h", "left_semi")]
+            # The others of a met anchor's rows: few anchors have any, so those are found first.
+            several = checkpointed(other.where(F.col("part") == _FIRST).join(leads, "key", "left_semi").select(F.col("key").alias("h")).distinct())
+            old += [met, matching(other.where(F.col("part") == _OTHER), several, "h")]
             hits.append(leads.join(other.where(F.col("part") < _OTHER), "key", "left_semi"))
         matched = self._matched(docs, hits, 1)
         if old and archive is not None:
@@ -232,7 +239,16 @@ def _kept(docs: DataFrame) -> DataFrame:
     return map_columns(docs, make, f"id {kind}, n_removed long, kept_sha256 string, kept string")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def _bounds(profile: DataFrame, rows: int, batches: int) -> list:
+    """Ids between batches of about the same number of rows, from a sample of about
+    SAMPLED_PER_BATCH ids for each; they only bound the batches."""
+    share = min(1.0, batches * SAMPLED_PER_BATCH / max(rows, 1))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    drawn = sorted(r["id"] for r in profile.where(F.col("id").isNotNull() & (hashed < share * (1 << 20))).select("id").collect())
+    return sorted({drawn[i * len(drawn) // batches] for i in range(1, batches)}) if drawn else []
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None) -> DataFrame:
     """What stays of each text when repeated windows go.
 
     Words are runs of anything but space, tab and line ends. A word goes if a
@@ -240,7 +256,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document of smaller id, or earlier in the same. Returns one row for each
     input row: the id column, n_words, n_removed, kept_sha256 (of the kept words,
     joined by a space) and kept (that text where words went, else null). The
-    table goes through the index in `batches` by ascending id. A null text has
+    table goes through the index in `batches` by ascending id (by default a few,
+    more with its size). Ids are of any type that has an order. A null text has
     no words; rows of a null id lose nothing and are no one's source; rows of
     one id should have one text, and don't count as earlier than each other.
     """
@@ -252,19 +269,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = judged.where("copy").select(F.col("id").alias(id_col)).distinct()
     source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
     source = matching(source, checkpointed(copies), id_col, "left_anti")
-    cuts = profile.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).head()[0] if batches > 1 else None
-    bounds = sorted(set(cuts or []))
-    index = FingerprintIndex(spark, None, id_col, text_col)
+    rows, words = profile.agg(F.count("*"), F.sum("n_words")).head()
+    batches = batches or 3 + max(0, math.floor(math.log2(max(rows, 1) / BATCH_ROWS)))
+    bounds = _bounds(profile, rows, batches)
+    index = FingerprintIndex(spark, None, id_col, text_col, max(BUCKETS, (words or 0) // WORDS_PER_BUCKET))
     changed = None
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = source if low is None else source.where(F.col(id_col) > low)
-        part = part if high is None else part.where(F.col(id_col) <= high)
-        found = index.add(part, None if low is None else source.where(F.col(id_col) <= low))
-        own = part.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        ids = found.select("id")
-        kept = _kept(matching(own, ids, "id").join(found, "id").select("id", "text", "starts"))
-        changed = kept if changed is None else changed.unionByName(kept)
-    index.drop()
+    try:
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            part = source if low is None else source.where(F.col(id_col) > low)
+            part = part if high is None else part.where(F.col(id_col) <= high)
+            found = index.add(part, None if low is None else source.where(F.col(id_col) <= low))
+            own = part.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            ids = found.select("id")
+            kept = _kept(matching(own, ids, "id").join(found, "id").select("id", "text", "starts"))
+            changed = kept if changed is None else changed.unionByName(kept)
+    finally:
+        index.drop()
     changed = changed.dropDuplicates(["id"])
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("copy"), F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "digest"))
