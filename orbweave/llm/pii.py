@@ -3,7 +3,9 @@
 Generators of high recall propose spans that may overlap; trees score each from
 its format and the words around it; a calibrated threshold for each kind picks
 those to redact. The trees are fitted on the driver to candidates drawn from
-fixed templates (TRAINING_ROWS of them, seeded), not to the corpus.
+fixed templates (TRAINING_ROWS of them, seeded), not to the corpus. Templates come
+in families of formats and phrases: trees learn from some, thresholds from another,
+and one is left for tests.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from orbweave.llm.common import clear_of, map_columns, texts
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order in which spans are listed; the last two come from candidates alone.
 KINDS = (*BASE_KINDS, "ssn", "iban")
-TRAINING_ROWS = 4000
+TRAINING_ROWS = 8000
+#: Families of templates: for the trees, for the thresholds, for tests.
+LEARNT, CALIBRATED, UNSEEN = (0, 1), (2,), 3
 #: Candidates of one text that are scored at once.
 SCORED = 10_000
-#: Each kind's threshold is the lowest with this precision on held-out templates.
+#: Each kind's threshold is the lowest with this precision on the family for thresholds.
 PRECISION = 0.98
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,12 +47,15 @@ _GENERATORS = (
     ("email", re.compile(r"[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+")),
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[(\[](?:at|AT)[)\]]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[(\[](?:dot|DOT)[)\]])\s?[A-Za-z0-9-]{2,63}){1,4}")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._-]?[0-9]{4}){2}[ ._-]?[0-9]{1,7}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+.])0?[0-9]{9,11}(?![0-9.])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")),
 )
+#: Dates and times as they stand in texts.
+_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2})(?![0-9])")
 #: Words near a span that speak for its kind, or for something else.
 _WORDS = {
     "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
@@ -61,6 +68,9 @@ _WORDS = {
 }
 
 
+_WORD_LIKE = re.compile(r"[A-Za-z]{2,}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -104,7 +114,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping spans from all generators that can apply to the text."""
-    if _DIGIT.search(text) is None and "@" not in text and "(at)" not in (low := text.lower()) and "[at]" not in low:
+    if _DIGIT.search(text) is None and "@" not in text and "::" not in text and "(at)" not in (low := text.lower()) and "[at]" not in low:
         return []
     return [(kind, m.start(), m.end()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
 
@@ -132,67 +142,94 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(c in "ghijklmnopqrstuvwxyz" for c in span.lower())),
         float(any(w in before for w in _WORDS[kind])), float(any(w in after for w in _WORDS[kind])), float(any(w in before for w in _WORDS["other"])),
         float(len(groups) > 1 and len(groups[0]) == 4 and groups[0][:2] in ("19", "20")),
+        float(_DATE.match(span) is not None), float("::" in span), len(_WORD_LIKE.findall(span)),
     ]
 
 
-def _templates(rng: random.Random) -> tuple[str, str, int, int, int]:
+# What stands around a span (s) in each family; n is a word of its kind or another, w any word.
+_FRAMES = (
+    ("{w} {n}: {s} {w} {w}.", "{w} {w} {n} {s}, {w}", "{w} {s} {w}"),
+    ("{w} ({n} {s}) {w}", "{n} is {s} {w}", "{w} {w} {s}. {w}"),
+    ("{n}={s}; {w}", "{w} {w} {n} - {s} {w}", "{w} {n} {w} {s}"),
+    ("{n}\n{s}\n{w}", "{w} {w}, {n} no. {s}, {w}", "{w}: {s} {w}"),
+)
+# Formats of each family, # for a digit. Personal numbers, numbers that other words stand by, and dates and times, which a word of any kind may stand by.
+_PHONES = (("(###) ###-####", "###-###-####"), ("0# ## ## ## ##", "0#########", "### ### ####"), ("0## #######", "###.###.####", "0### ######"), ("(0##) ### ####", "###/###-####", "0####-#####"))
+_NUMBERS = (("#########", "###-##", "## ##"), ("#### ####", "##########", "##/##"), ("###-###", "###########", "### ##"), ("## ### ##", "#####-##", "### ### ###"))
+_DATES = (("20##-0#-1#", "1#/0#/20##", "20##-1#-0# 1#"), ("19##-20##", "1#.0#.20##", "1#.0#.20## 0#"), ("20##.1#.0#", "2#-0#-19##"), ("0# 1# 20##", "20##/0#/2# 1#"))
+
+
+def _templates(rng: random.Random, family: int) -> tuple[str, str, int, int, int]:
     """A text with one candidate: (text, kind, start, end, whether it's personal)."""
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    fill = lambda form: "".join(rng.choice("0123456789") if c == "#" else c for c in form)
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9)))
-    kind = rng.choice(KINDS)
-    own = rng.random() < 0.5
+    groups = lambda n: [f"{rng.randrange(1 << 16):x}" for _ in range(n)]
+    kind, own = rng.choice(KINDS), rng.random() < 0.5
     near, far = rng.choice(_WORDS[kind]), rng.choice((*_WORDS["other"], word(), word()))
+    by_format = True  # whether the format tells, whatever stands by
     if kind == "email":
-        span = f"{word()}.{word()}@{word()}.{rng.choice(('com', 'org', 'de', 'fr'))}" if rng.random() < 0.5 else f"{word()} (at) {word()} {rng.choice(('.', '(dot)'))} {rng.choice(('com', 'net'))}"
+        dot = (".", " . ", " (dot) ", "(dot)")[family]
+        span = f"{word()}.{word()}@{word()}.{rng.choice(('com', 'org', 'de', 'fr'))}" if rng.random() < 0.4 else f"{word()} {('(at)', '[at]')[family % 2]} {word()}{dot}{rng.choice(('com', 'net', 'es'))}"
         if not own:
-            span = rng.choice((f"{word()}@{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", f"{word()} (at) {word()}.{number(2)}", f"{word()}@{word()}.{number(3)}"))
+            span = rng.choice((fill(f"{word()}@#.#.#"), fill(f"{word()} (at) {word()}.##"), fill(f"{word()}@{word()}.###"), fill(f"{word()}@###.#")))
     elif kind == "ip":
-        span = ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8 if own else rng.randint(4, 5))) if own else ":".join(number(2) for _ in range(rng.randint(4, 6)))
+        if own:
+            span = rng.choice((":".join(groups(8)), ":".join(groups(2)) + "::" + ":".join(groups(1 + family)), "fe80::" + ":".join(groups(1 + family))))
+        else:
+            span = rng.choice((":".join(fill("##") for _ in range(rng.randint(4, 6))), f"{rng.choice(('ad', 'be', 'face', 'a', 'c'))}::{rng.choice(('add', 'b', 'bad', 'f'))}", fill("1#:##:##:##"), "::"))
     elif kind == "card":
-        while True:
-            span = rng.choice("3456") + number(15)
-            if luhn(span) == own:
-                break
-        span = rng.choice((" ", "-", ".", "_")).join(span[i : i + 4] for i in range(0, 16, 4)) if rng.random() < 0.7 else span
+        while luhn(digits := rng.choice("3456") + fill("#" * 15)) != own:
+            pass
+        sep = (" ", "-", ".", "")[family]
+        span = sep.join(digits[i : i + 4] for i in range(0, 16, 4))
     elif kind == "phone":
-        span = rng.choice((f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"0{number(9)}", f"{number(3)}.{number(3)}.{number(4)}"))
-        if not own:
-            span = rng.choice((f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", number(rng.randint(9, 11)), f"{number(3)}-{number(2)}", f"{number(2)} {number(2)}", f"{number(4)} {number(4)}"))
+        dated = not own and rng.random() < 0.4
+        span = fill(rng.choice(_PHONES[family] if own else _DATES[family] if dated else _NUMBERS[family]))
+        by_format = dated
     elif kind == "ssn":
-        span = f"{number(3)}-{number(2)}-{number(4)}"
+        span, by_format = fill("###-##-####"), False
     else:
         while True:
-            country, body = rng.choice(("DE", "FR", "ES", "GB")), number(18)
+            country, body = rng.choice(("DE", "FR", "ES", "GB")), fill("#" * 18)
             check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
             span = f"{country}{check if own else (check + rng.randint(1, 90)) % 97:02d}{body}"
             if _iban(span) == own:
                 break
-        span = " ".join(span[i : i + 4] for i in range(0, len(span), 4)) if rng.random() < 0.5 else span
-    told = kind in ("phone", "ssn") or rng.random() < 0.5
-    lead = f"{word()} {near if told and own else far if told or rng.random() < 0.5 else word()}{rng.choice((': ', ' ', ' is '))}"
-    if not own and kind not in ("phone", "ssn") and rng.random() < 0.3:
-        lead = f"{word()} {near} "
-    text = f"{word()} {lead}{span} {word()} {word()}."
-    return text, kind, len(text) - len(text[text.index(span, len(lead)) :]), text.index(span, len(lead)) + len(span), int(own)
+        span = " ".join(span[i : i + 4] for i in range(0, len(span), 4)) if family % 2 else span
+    said = near if own or (by_format and rng.random() < 0.5) else far
+    frame = rng.choice(_FRAMES[family][:2] if not by_format else _FRAMES[family])
+    if own and by_format and rng.random() < 0.5:
+        said = far
+    head, tail = re.sub(r"\{w\}", lambda _: word(), frame).replace("{n}", said).split("{s}")
+    return head + span + tail, kind, len(head), len(head) + len(span), int(own)
+
+
+def _drawn(rng: random.Random, families: tuple[int, ...], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and kinds of templates."""
+    found = [_templates(rng, families[i % len(families)]) for i in range(rows)]
+    return np.array([features(t, k, a, b) for t, k, a, b, _ in found]), np.array([own for *_, own in found], float), np.array([f[1] for f in found])
 
 
 @functools.lru_cache(maxsize=1)
 def trained(rows: int = TRAINING_ROWS, seed: int = 20) -> tuple[boosting.Boosted, dict[str, float]]:
-    """Trees, and each kind's least margin. Every third template is held out to calibrate."""
+    """Trees from half of the rows; each kind's least margin from the other half, of a family that the trees haven't met."""
     rng = random.Random(seed)
-    drawn = [_templates(rng) for _ in range(rows)]
-    x = np.array([features(t, k, a, b) for t, k, a, b, _ in drawn])
-    y = np.array([own for *_, own in drawn], float)
-    held = np.arange(rows) % 3 == 0
-    model = boosting.fit(x[~held], y[~held])
-    margin, kinds = model.margin(x[held]), np.array([d[1] for d in drawn])[held]
-    least = {}
-    for kind in KINDS:
-        m, own = margin[kinds == kind], y[held][kinds == kind]
-        order = np.argsort(-m, kind="stable")
-        precise = np.flatnonzero(np.cumsum(own[order]) / np.arange(1, len(own) + 1) >= PRECISION)
-        least[kind] = max(float(m[order][precise[-1]]), 0.0) if len(precise) else np.inf
-    return model, least
+    x, y, _ = _drawn(rng, LEARNT, rows // 2)
+    model = boosting.fit(x, y)
+    x, y, kinds = _drawn(rng, CALIBRATED, rows // 2)
+    return model, {kind: threshold(model.margin(x[kinds == kind]), y[kinds == kind]) for kind in KINDS}
+
+
+def threshold(margin: np.ndarray, own: np.ndarray) -> float:
+    """The lowest margin down to which PRECISION are personal, halfway to the next one below; infinite without any."""
+    order = np.argsort(-margin, kind="stable")
+    m, right = margin[order], np.cumsum(own[order])
+    last = np.append(m[1:] < m[:-1], True)  # a threshold takes all of one margin
+    precise = np.flatnonzero(last & (right / np.arange(1, len(m) + 1) >= PRECISION))
+    if not len(precise):
+        return np.inf
+    at = int(precise[-1])
+    return float(m[at] + m[at + 1]) / 2 if at + 1 < len(m) else float(m[at])
 
 
 def find(text: str, model: boosting.Boosted, least: dict[str, float]) -> tuple[list, list]:
