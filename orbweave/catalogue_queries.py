@@ -6,9 +6,7 @@ negative balance), orders tracks, line items features, embeddings the space.
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
+import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,26 +14,11 @@ from pyspark.sql.window import Window
 from orbweave.functions import expr, signal, vectors
 from orbweave.operators import knn, map2d, merge, relational, walks
 from orbweave.plans.space import BLOCKED, WIDTH, space
-from orbweave.session import checkpointed, table
+from orbweave.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from orbweave.session import checkpointed, shared_folder, table
 from orbweave.sources import tables
 from orbweave.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _SCALES = "[" + ", ".join(map(str, vectors.block_scales(WIDTH))) + "]::double[]"
 _SPACE = f"""
 scaled AS (SELECT vec_id AS track_id, label::bigint AS artist_id, floor(vec_id / 4)::bigint AS album_id, embedding::double[] AS vec,
@@ -47,9 +30,9 @@ space AS (SELECT track_id, artist_id, album_id, vec, list_transform(s, lambda x:
 
 _NEIGHBOURS = f"""
 WITH {_SPACE}, q AS (SELECT u AS q, artist_id AS a FROM space WHERE track_id = 0),
-scored AS (SELECT track_id, round(list_dot_product(u, q) / greatest(sqrt(list_dot_product(q, q)), 1e-9), 9) AS similarity
+scored AS (SELECT track_id, list_dot_product(u, q) / greatest(sqrt(list_dot_product(q, q)), 1e-9) AS similarity
     FROM space, q WHERE track_id <> 0 AND artist_id <> {BLOCKED} AND %s)
-SELECT track_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, track_id)::int AS rank
+SELECT track_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY round(similarity, 9) DESC, track_id)::int AS rank
 FROM scored QUALIFY rank <= 10"""
 
 
@@ -69,9 +52,9 @@ def weighted_unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SPACE}, pairs AS (SELECT a.track_id AS src, b.track_id AS dst, round(list_dot_product(a.u, b.u), 9) AS similarity
+WITH {_SPACE}, pairs AS (SELECT a.track_id AS src, b.track_id AS dst, list_dot_product(a.u, b.u) AS similarity
     FROM space a, space b WHERE a.track_id <> b.track_id AND b.artist_id <> {BLOCKED})
-SELECT src, dst, round(1 - similarity, 6) AS dist, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst)::int AS rank
+SELECT src, dst, round(1 - similarity, 6) AS dist, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst)::int AS rank
 FROM pairs QUALIFY rank <= 8""")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = space(spark, sf_dir, blocked=False)
@@ -107,8 +90,8 @@ def _phrase(rows: DataFrame) -> list[float]:
 
 
 _ANCHORS = f"""
-WITH {_SPACE}, anchors AS (SELECT track_id, u, round(list_dot_product(vec, (SELECT vec FROM space WHERE track_id = 7)), 9) AS score
-    FROM space WHERE artist_id <> {BLOCKED} ORDER BY score DESC, track_id LIMIT 5)"""
+WITH {_SPACE}, phrase AS (SELECT vec AS q FROM space WHERE track_id = 7),
+anchors AS (SELECT track_id, u, list_dot_product(vec, q) AS score FROM space, phrase WHERE artist_id <> {BLOCKED} ORDER BY round(list_dot_product(vec, q), 9) DESC, track_id LIMIT 5)"""
 
 
 @query(_ANCHORS + " SELECT track_id, round(score, 6) AS score FROM anchors")
@@ -351,7 +334,7 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.groups_of(_found(spark, sf_dir).withColumnRenamed("p_name", "label"), "p_brand", "rank", "p_partkey").withColumnRenamed("p_partkey", "place")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END DESC NULLS LAST, c_custkey)::int AS sorted FROM customer")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END DESC NULLS LAST, c_custkey) AS sorted FROM customer")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))
     return relational.sorted_list(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), key, True, "c_custkey").select("c_custkey", "sorted")
@@ -374,17 +357,10 @@ def _kinds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 @query("""
 SELECT kind, id, label, row_number() OVER (ORDER BY kind, id)::int AS place FROM (
-  SELECT 0 AS kind, c_custkey AS id, c_name AS label FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 1, p_partkey, p_name FROM part WHERE p_partkey <= 50 UNION ALL SELECT 2, s_suppkey, s_name FROM supplier)""")
+  SELECT 0 AS kind, c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT 1, p_partkey, p_name FROM part UNION ALL SELECT 2, s_suppkey, s_name FROM supplier)""")
 def mixed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artists, albums, tracks in one list; as in the SQL of ids up to 50 alone (mixed_list_whole has all)."""
-    kinds = _kinds(spark, sf_dir)
-    return relational.mixed_list([kinds[0].where("id <= 50"), kinds[1].where("id <= 50"), kinds[2]]).withColumn("place", F.col("place").cast("int"))
-
-
-@query()
-def mixed_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All artists, albums, tracks in one list."""
-    return relational.mixed_list(_kinds(spark, sf_dir))
+    """Artists, albums, tracks in one list."""
+    return relational.mixed_list(_kinds(spark, sf_dir)).withColumn("place", F.col("place").cast("int"))
 
 
 # --- map -----------------------------------------------------------------
@@ -481,8 +457,7 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def incremental_analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events by a stream that takes each file once, then totals of what it wrote."""
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="orbweave-")
-    root = f"{home}/analysed-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    root = f"{shared_folder(spark)}/analysed-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
     source = f"{sf_dir}/events.parquet"
     incremental.process_new(spark, source + "*", spark.read.parquet(source).schema, f"{root}/rows", f"{root}/state", lambda s: s.select("event_id", "event_type", "value"))
     done = spark.read.parquet(f"{root}/rows")

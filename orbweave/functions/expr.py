@@ -114,3 +114,86 @@ def starts_rank(query: str, *fields: Column) -> Column:
     for field in fields:
         starts = starts | F.startswith(F.lower(F.coalesce(field, F.lit(""))), F.lit(terms[0]))
     return F.when(starts, 0).otherwise(1)
+
+
+# --- payloads ------------------------------------------------------------
+
+
+def _kind(payload: Column, path: str) -> Column:
+    return F.schema_of_variant(F.variant_get(F.try_parse_json(payload), path, "variant"))
+
+
+def number_id(payload: Column, path: str) -> Column:
+    """A whole number, or a string of one; null for all else."""
+    text = F.get_json_object(payload, path)
+    return F.when(_kind(payload, path).isin("BIGINT", "STRING"), text.try_cast("long"))
+
+
+def text_id(payload: Column, path: str) -> Column:
+    """A number as text, or a string that isn't empty; null for all else."""
+    return F.when(_kind(payload, path).isin("BIGINT", "STRING"), blank_to_null(F.get_json_object(payload, path)))
+
+
+def blank_to_null(text: Column) -> Column:
+    """Null for the empty text; white space stays."""
+    return F.nullif(text, F.lit(""))
+
+
+def first_artist(*ways: tuple[Column, Column]) -> Column:
+    """(name, id) of the first way (name, id) with a name; `Unknown Artist` of no id without any."""
+    out = F.struct(F.lit("Unknown Artist").alias("name"), F.lit(None).cast("long").alias("id"))
+    for name, ident in reversed(ways):
+        out = F.when(blank_to_null(name).isNotNull(), F.struct(name.alias("name"), ident.cast("long").alias("id"))).otherwise(out)
+    return out
+
+
+def first_known(*texts: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*map(blank_to_null, texts))
+
+
+# Image sizes by preference, and where portraits are.
+IMAGE_SIZES = ("small", "medium", "large", "thumbnail", "extralarge", "mega")
+PORTRAITS = "https://static.qobuz.com/images/artists/covers/medium/"
+
+
+def image(payload: Column, portraits: str = PORTRAITS) -> Column:
+    """A payload's image: the text as it is, else of its sizes the first preferred one; else the portrait of its hash."""
+    sizes = [F.get_json_object(payload, f"$.image.{s}") for s in IMAGE_SIZES]
+    whole = F.when(_kind(payload, "$.image") == "STRING", F.get_json_object(payload, "$.image"))
+    portrait = F.get_json_object(payload, "$.images.portrait.hash")
+    return first_known(whole, *sizes, F.concat(F.lit(portraits), blank_to_null(portrait), F.lit(".jpg")))
+
+
+def utc_text(time: Column) -> Column:
+    """A time in UTC to the second, with its offset; sorts as text. The session's zone must be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def digest(content: Column) -> Column:
+    """MD5 of bytes or text in lower-case hexadecimal, by which files are compared."""
+    return F.md5(content)
+
+
+def token_hash(token: Column) -> Column:
+    return F.sha2(token, 256)
+
+
+def style_prompt(style: Column) -> Column:
+    return F.concat(style, F.lit(" music"))
+
+
+def byte_window(size: Column, seconds: Column, length: float = 90.0, slack: float = 3.0) -> Column:
+    """(start, end) of the bytes that hold an excerpt from the middle; all of them if the duration isn't known."""
+    rate = size / seconds
+    start = F.floor(excerpt_start(seconds.cast("double"), length) * rate)
+    known = seconds > 0
+    return F.struct(
+        F.when(known, F.least(start, size)).otherwise(F.lit(0)).cast("long").alias("start"),
+        F.when(known, F.least(start + F.floor((length + slack) * rate), size)).otherwise(size).cast("long").alias("end"),
+    )
+
+
+def worth_keeping(query: str, artist: Column, title: Column, album: Column) -> Column:
+    """A remote hit whose title has all terms, or whose match can't be placed in any field."""
+    return all_terms(query, title) | ~all_terms(query, artist, title, album)

@@ -101,3 +101,23 @@ def normalise_block(df: DataFrame, columns: list[str], out: str) -> DataFrame:
         mean, std = stats[f"m{i}"] or 0.0, stats[f"s{i}"] or 0.0
         scores.append((clean[c] - mean) / (std if std >= TINY else 1.0))
     return df.withColumn(out, unit(F.array(*scores)))
+
+
+def products(v: Column, matrix: np.ndarray) -> Column:
+    """The dot products of a vector with each row of a matrix, a batch at a time."""
+
+    @F.pandas_udf("array<double>")
+    def score(column: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(list(column)).astype(np.float64) @ matrix.T) if len(column) else [])
+
+    return score(v)
+
+
+def standardised(df: DataFrame, column: str, width: int) -> tuple[DataFrame, list[float], list[float]]:
+    """An array column as normalise_block has it; with the means and deviations."""
+    clean = [F.coalesce(finite(F.col(column)[i]), F.lit(0.0)) for i in range(width)]
+    stats = df.agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(clean) for f, p in ((F.avg, "m"), (F.stddev_pop, "s"))]).head()
+    mean = [stats[f"m{i}"] or 0.0 for i in range(width)]
+    std = [s if (s := stats[f"s{i}"] or 0.0) >= TINY else 1.0 for i in range(width)]
+    scores = F.array(*[(c - m) / s for c, m, s in zip(clean, mean, std, strict=True)])
+    return df.withColumn(column, unit(scores)), mean, std

@@ -18,8 +18,17 @@ BLOCK = 4096
 
 def scored(space: DataFrame, query: list[float]) -> Column:
     """Cosine of unit rows `u` to a query of any length, rounded so that near-ties break by id."""
+    return F.round(cosine(query), 9)
+
+
+def cosine(query: list[float]) -> Column:
     q = F.lit([float(x) for x in query])
-    return F.round(dot(F.col("u"), q) / norm(q), 9)
+    return dot(F.col("u"), q) / norm(q)
+
+
+#: The order of similarities: near-ties, alike in nine places, break by id. What is handed on isn't rounded.
+def nearest_first(id_col: str) -> list[Column]:
+    return [F.round("similarity", 9).desc(), F.col(id_col)]
 
 
 def neighbours(space: DataFrame, track: int, k: int, exclude_same_artist: bool = False) -> DataFrame:
@@ -30,8 +39,8 @@ def neighbours(space: DataFrame, track: int, k: int, exclude_same_artist: bool =
     rest = space.where(F.col("track_id") != track)
     if exclude_same_artist:
         rest = rest.where(~F.col("artist_id").eqNullSafe(own["artist_id"]))
-    top = rest.select("track_id", scored(space, own["u"]).alias("similarity")).orderBy(F.desc("similarity"), "track_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "track_id")))
+    top = rest.select("track_id", cosine(own["u"]).alias("similarity")).orderBy(*nearest_first("track_id")).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*nearest_first("track_id"))))
 
 
 def block_pairs(rows: DataFrame, others: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
@@ -45,7 +54,7 @@ def block_pairs(rows: DataFrame, others: DataFrame, score: Callable[[pd.DataFram
 
 
 def _cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    return np.round(np.stack(list(a["u"])) @ np.stack(list(b["u"])).T, 9)
+    return np.stack(list(a["u"])) @ np.stack(list(b["u"])).T
 
 
 def knn_graph(space: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
@@ -57,13 +66,13 @@ def knn_graph(space: DataFrame, k: int, targets: DataFrame | None = None) -> Dat
         s, ids = _cosines(a, b), b["track_id"].to_numpy()
         s[a["track_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         order = np.argsort(ids, kind="stable")
-        best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+        best = order[np.argsort(-np.round(s[:, order], 9), axis=1, kind="stable")[:, :k]]
         out = pd.DataFrame({"src": np.repeat(a["track_id"].to_numpy(), best.shape[1]), "dst": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
         return out[np.isfinite(out["similarity"])]
 
     cells = block_pairs(space.select("track_id", "u"), (space if targets is None else targets).select("track_id", "u"), score, "src long, dst long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
-    return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", F.round(1 - F.col("similarity"), 9).alias("dist"), "rank")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(*nearest_first("dst")))
+    return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", (1 - F.col("similarity")).alias("dist"), "rank")
 
 
 def evaluate(space: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def evaluate(space: DataFrame) -> DataFrame:
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"track_id": [], "n": []})
-        s, ids, own = _cosines(a, b), b["track_id"].to_numpy()[None, :], a["track_id"].to_numpy()[:, None]
+        s, ids, own = np.round(_cosines(a, b), 9), b["track_id"].to_numpy()[None, :], a["track_id"].to_numpy()[:, None]
         level = a["s"].to_numpy()[:, None]
         better = (s > level) | ((s == level) & (ids < a["o"].to_numpy()[:, None]))
         return pd.DataFrame({"track_id": own.ravel(), "n": (better & (ids != own)).sum(1)})

@@ -24,6 +24,40 @@ def first_seen_codes(rows: DataFrame, column: str, place: str) -> DataFrame:
     return firsts.withColumn("code", F.row_number().over(Window.orderBy("first")) - 1)
 
 
+def legend(rows: DataFrame, column: str, place: str) -> DataFrame:
+    """Each value's code, where it is first seen and how many rows have it."""
+    return first_seen_codes(rows, column, place).join(rows.groupBy(column).agg(F.count("*").alias("n")), column)
+
+
+def meta(points: DataFrame, genre: str, place: str) -> dict:
+    """What a map shows beside its points: how many, their bounds, genres in order of code, and whether any has a place."""
+    b = bounds(points.where(F.col("x").isNotNull() & F.col("y").isNotNull())).head().asDict()
+    genres = [r[genre] for r in first_seen_codes(points, genre, place).orderBy("code").collect()]  # one row a genre
+    return b | {"genres": genres, "has_layout": b["n"] > 0}
+
+
+def fitted(points: DataFrame, width: float, height: float, pad: float = 30.0) -> DataFrame:
+    """Points on a view of that size (sx, sy), at one scale both ways, `pad` from its edges at the least."""
+    b = bounds(points).head()
+    scale = min((width - 2 * pad) / max(b["max_x"] - b["min_x"], 1e-6), (height - 2 * pad) / max(b["max_y"] - b["min_y"], 1e-6))
+    return points.withColumns({f"s{c}": F.col(c) * scale + (pad - b[f"min_{c}"] * scale) for c in ("x", "y")})
+
+
+def route_places(route: DataFrame, points: DataFrame) -> DataFrame:
+    """A route (step, track_id) with the places of its points; unknown ids are left out."""
+    return route.join(points.select("track_id", "place"), "track_id").select("step", "track_id", "place")
+
+
+def payload(points: DataFrame, genre: str, place: str) -> bytes:
+    """A map for a browser: all ids as 64-bit floats, then x and y as 32-bit ones, then genre codes as
+    16-bit numbers, little-endian. The whole map is in the result, 18 bytes a point, as its format asks."""
+    codes = first_seen_codes(points, genre, place).select(genre, "code")
+    rows = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).join(codes, genre, "left").orderBy(place)
+    frame = rows.select(F.col("track_id").cast("double"), F.col("x").cast("float"), F.col("y").cast("float"), F.coalesce("code", F.lit(0)).alias("code")).toPandas()
+    xy = frame[["x", "y"]].to_numpy("<f4")
+    return frame["track_id"].to_numpy("<f8").tobytes() + xy.tobytes() + frame["code"].to_numpy("<u2").tobytes()
+
+
 def grid(points: DataFrame) -> DataFrame:
     """Cells of a uniform grid with side = clamp(round(sqrt(n / 2)), 1, 512)."""
     b = bounds(points).head()
@@ -108,11 +142,13 @@ def layout(edges: DataFrame, start: DataFrame, epochs: int | None = None, rate:
     """Positions (track_id, x, y) after attraction along weighted edges (a, b, w)
     and repulsion from random rows, at every size. An epoch moves all points at
     once: joins and means by point, so that no task or driver holds the graph.
-    Without `epochs` there are 500, or 200 above 10,000 points."""
+    Without `epochs` there are 500, or 200 above 10,000 points. Fewer than three points are an error."""
     a, b = fit_curve(min_dist)
     both = checkpointed(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     here = checkpointed(numbered(start.select("track_id", "x", "y"), ["track_id"], "i").withColumn("i", F.col("i") - 1))
     n = here.count()
+    if n < 3:
+        raise ValueError(f"a layout needs three points at least, not {n}")
     epochs = epochs_for(n) if epochs is None else epochs
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orbweave.operators.knn import scored
 from orbweave.session import checkpointed
@@ -97,8 +98,8 @@ def anchors(rows: DataFrame, query: list[float], k: int, vector: str) -> DataFra
     """The k rows of greatest plain dot product with a query (track_id, score)."""
     from orbweave.functions.vectors import dot
 
-    score = F.round(dot(F.col(vector), F.lit([float(x) for x in query])), 9)
-    return rows.select("track_id", score.alias("score")).orderBy(F.desc("score"), "track_id").limit(k)
+    score = dot(F.col(vector), F.lit([float(x) for x in query]))
+    return rows.select("track_id", score.alias("score")).orderBy(F.round("score", 9).desc(), "track_id").limit(k)
 
 
 def centroid(space: DataFrame, ids: DataFrame) -> list[float] | None:
@@ -149,24 +150,34 @@ def graph_path(edges: DataFrame, artists: DataFrame, start: int, goal: int, arti
 
 
 def order_queue(vectors: np.ndarray, pinned: bool) -> list[int]:
-    """A short open path through unit rows: greedy, then 2-opt. The first row stays first."""
+    """A short open path through unit rows: greedy, then 2-opt, of which each sweep takes
+    the first better end for each start, all ends at once. The first row stays first."""
     n = len(vectors)
     far = 1 - vectors @ vectors.T
-    order, rest = [0], list(range(1, n))
-    while rest:
-        order.append(rest.pop(min(range(len(rest)), key=lambda i: (far[order[-1], rest[i]], i))))
+    order, left = [0], np.ones(n, bool)
+    left[0] = False
+    while left.any():
+        rest = np.flatnonzero(left)
+        order.append(int(rest[far[order[-1], rest].argmin()]))
+        left[order[-1]] = False
+    path = np.array(order)
     for _ in range(32):
         better = False
         for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                removed = far[order[i - 1], order[i]] + (far[order[j], order[j + 1]] if j + 1 < n else 0.0)
-                added = far[order[i - 1], order[j]] + (far[order[i], order[j + 1]] if j + 1 < n else 0.0)
-                if added + 1e-6 < removed:
-                    order[i : j + 1] = order[i : j + 1][::-1]
-                    better = True
+            j = i + 1
+            while j < n:
+                ends, after = path[j:], path[j + 1 :]
+                gain = far[path[i - 1], path[i]] - far[path[i - 1], ends]
+                gain[:-1] += far[ends[:-1], after] - far[path[i], after]
+                found = np.flatnonzero(gain > 1e-6)
+                if not len(found):
+                    break
+                j += int(found[0])
+                path[i : j + 1] = path[i : j + 1][::-1].copy()
+                better, j = True, j + 1
         if not better:
             break
-    return order[1:] if pinned else order
+    return path[1:].tolist() if pinned else path.tolist()
 
 
 def queue_order(queues: DataFrame, most: int = 1024) -> DataFrame:
@@ -184,3 +195,17 @@ def queue_order(queues: DataFrame, most: int = 1024) -> DataFrame:
         return pd.DataFrame({"queue_id": own["queue_id"], "place": np.arange(len(own)), "track_id": own["track_id"]})
 
     return queues.groupBy("queue_id").applyInPandas(one, "queue_id long, place long, track_id long")
+
+
+def sort_after(queues: DataFrame, current: DataFrame) -> DataFrame:
+    """(queue_id, place, track_id) of queues (queue_id, place, track_id, u) where what comes
+    after each queue's current place is put in a short order that starts there; rows
+    without a vector follow, as they were. Up to the current place nothing moves."""
+    rows = queues.join(current.select("queue_id", F.col("place").alias("now")), "queue_id", "left").withColumn("now", F.coalesce("now", F.lit(-1)))
+    played = rows.where(F.col("place") <= F.col("now")).select("queue_id", F.lit(0).alias("turn"), "place", "track_id")
+    ahead = rows.where(F.col("place") >= F.col("now")).withColumn("anchor", F.col("place") == F.col("now"))
+    placed = queue_order(ahead.select("queue_id", "place", "track_id", "u", "anchor")).select("queue_id", F.lit(1).alias("turn"), "place", "track_id")
+    rest = rows.where((F.col("place") > F.col("now")) & F.col("u").isNull()).select("queue_id", F.lit(2).alias("turn"), "place", "track_id")
+    every = played.unionByName(placed).unionByName(rest)
+    place = F.row_number().over(Window.partitionBy("queue_id").orderBy("turn", "place")) - 1
+    return every.select("queue_id", place.cast("long").alias("place"), "track_id")

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from orbweave import catalogue_queries as catalogue
+from orbweave import catalogue_queries, signal_queries, upkeep_queries  # noqa: F401
+from orbweave import registry as catalogue
 
 
 @pytest.fixture(scope="module")
