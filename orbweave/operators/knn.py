@@ -77,10 +77,22 @@ def knn_graph(space: DataFrame, k: int, targets: DataFrame | None = None) -> Dat
 
 def evaluate(space: DataFrame) -> DataFrame:
     """(track_id, rank): where the first other row of the same album stands among all
-    others. Albums meet themselves first; then blocks only count better rows."""
-    pairs = space.join(space.select(F.col("track_id").alias("other"), F.col("u").alias("v"), "album_id"), "album_id").where(F.col("track_id") != F.col("other"))
-    similarity = F.round(dot(F.col("u"), F.col("v")), 9)
-    best = pairs.groupBy("track_id").agg(F.max(F.struct(similarity.alias("s"), (-F.col("other")).alias("o"))).alias("best"))
+    others. Blocks first keep each row's best of its album, then only count better
+    rows, so that an album of any size hands on one row for each of its own and block."""
+
+    def in_album(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"track_id": [], "s": [], "o": []})
+        b = b.sort_values("track_id")
+        ids, own = b["track_id"].to_numpy(), a["track_id"].to_numpy()
+        same = (a["album_id"].to_numpy()[:, None] == b["album_id"].to_numpy()[None, :]) & (own[:, None] != ids[None, :])
+        s = np.where(same, np.round(_cosines(a, b), 9), -np.inf)
+        best = s.argmax(axis=1)  # of equals the least id
+        out = pd.DataFrame({"track_id": own, "s": s[np.arange(len(own)), best], "o": ids[best]})
+        return out[np.isfinite(out["s"])]
+
+    placed = space.where(F.col("album_id").isNotNull()).select("track_id", "u", "album_id")
+    best = block_pairs(placed, placed, in_album, "track_id long, s double, o long").groupBy("track_id").agg(F.max(F.struct("s", (-F.col("o")).alias("o"))).alias("best"))
     asked = space.select("track_id", "u").join(best, "track_id").select("track_id", "u", F.col("best.s").alias("s"), (-F.col("best.o")).alias("o"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -77,30 +77,40 @@ def nearest_in_radius(points: DataFrame, x: float, y: float, radius: float) -> D
     return near.orderBy("d2", "track_id").limit(1).select("track_id", F.round(F.sqrt("d2"), 9).alias("distance"))
 
 
-def fuzzy_weights(edges: DataFrame, k: int) -> DataFrame:
-    """(src, dst, w) of a kNN graph: exp(-(dist - rho) / sigma) with rho the first
-    positive distance and sigma such that the weights sum to log2(k + 1)."""
+def memberships(dist: np.ndarray, k: int) -> np.ndarray:
+    """exp(-(dist - rho) / sigma) by row, for rows of distances that are padded with
+    NaN: rho is the row's first positive distance, sigma such that all but one of the
+    weights sum to log2(k + 1) - 1 within 1e-5. All rows are bisected together."""
+    d = np.maximum(dist, 0.0)
+    there = ~np.isnan(d)
+    rho = np.where((d > 0).any(axis=1), np.min(np.where(d > 0, d, np.inf), axis=1), 0.0)
+    gaps = np.where(there, d - rho[:, None], np.inf)
     goal = float(np.log2(k + 1) - 1)
+    low, high, sigma = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    weigh = lambda s: np.where(there, np.where(gaps > 0, np.exp(-np.maximum(gaps, 0) / s[:, None]), 1.0), 0.0)
+    for _ in range(64):
+        over = weigh(sigma).sum(axis=1) - 1 - goal
+        go = np.abs(over) >= 1e-5
+        if not go.any():
+            break
+        high, low = np.where(go & (over > 0), sigma, high), np.where(go & (over <= 0), sigma, low)
+        sigma = np.where(go, np.where(np.isinf(high), sigma * 2, (low + np.minimum(high, 1e300)) / 2), sigma)
+    return weigh(np.maximum(np.maximum(sigma, 1e-3 * np.nanmean(d, axis=1)), 1e-12))
+
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        d = np.maximum(frame["dist"].to_numpy(), 0.0)
-        rho = d[d > 0].min() if (d > 0).any() else 0.0
-        gaps = d - rho
-        low, high, sigma = 0.0, np.inf, 1.0
-        for _ in range(64):
-            total = np.where(gaps > 0, np.exp(-np.maximum(gaps, 0) / sigma), 1.0).sum() - 1
-            if abs(total - goal) < 1e-5:
-                break
-            if total > goal:
-                high = sigma
-            else:
-                low = sigma
-            sigma = sigma * 2 if high == np.inf else (low + high) / 2
-        sigma = max(sigma, 1e-3 * d.mean(), 1e-12)
-        w = np.where(gaps > 0, np.exp(-np.maximum(gaps, 0) / sigma), 1.0)
-        return pd.DataFrame({"src": frame["src"], "dst": frame["dst"], "w": w})
-
-    return edges.groupBy("src").applyInPandas(one, "src long, dst long, w double")
+def fuzzy_weights(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst, w) of a kNN graph (src, dst, dist); a row has its k neighbours, many rows are weighed at once."""
+
+    @F.pandas_udf("array<double>")
+    def weights(dist: pd.Series) -> pd.Series:
+        size = dist.map(len).to_numpy(int)
+        padded = np.full((len(dist), size.max(initial=1)), np.nan)
+        padded[np.arange(padded.shape[1])[None, :] < size[:, None]] = np.concatenate(list(dist)) if len(dist) else []
+        return pd.Series([w[:n] for w, n in zip(memberships(padded, k), size, strict=True)])
+
+    rows = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    rows = rows.select("src", F.col("near.dst").alias("dst"), weights(F.col("near.dist")).alias("w"))
+    return rows.select("src", F.explode(F.arrays_zip("dst", "w")).alias("e")).select("src", "e.dst", "e.w")
 
 
 def fuzzy_union(weights: DataFrame) -> DataFrame:

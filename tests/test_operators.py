@@ -226,3 +226,23 @@ def test_slim_catalogue(spark, tmp_path):
     assert {r["track_id"]: r["descriptors_json"] for r in got.collect()} == {1: '{"bpm":120.0}', 2: None, 3: '{"bpm":null}', 4: '{"bpm":null}'}
     assert spark.read.parquet(f"{tmp_path}/artists").columns == ["id", "name"]
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/manifest").collect()} == {("artists", 1), ("features", 4)}
+
+
+def test_memberships():
+    rng = np.random.default_rng(4)
+    d = np.sort(rng.random((40, 6)), axis=1)
+    d[3, :4], d[5, 4:], d[7] = 0.0, np.nan, 0.0
+    got = map2d.memberships(d, 6)
+    for row, w in zip(d, got, strict=True):
+        x = row[~np.isnan(row)]
+        positive = x[x > 0]
+        gaps = x - (positive.min() if len(positive) else 0)
+        low, high, sigma, goal = 0.0, math.inf, 1.0, math.log2(7) - 1
+        for _ in range(64):
+            over = sum(math.exp(-g / sigma) if g > 0 else 1.0 for g in gaps) - 1 - goal
+            if abs(over) < 1e-5:
+                break
+            low, high = (low, sigma) if over > 0 else (sigma, high)
+            sigma = sigma * 2 if high == math.inf else (low + high) / 2
+        sigma = max(sigma, 1e-3 * x.mean(), 1e-12)
+        assert w[: len(x)].tolist() == pytest.approx([math.exp(-g / sigma) if g > 0 else 1.0 for g in gaps]) and not w[len(x) :].any()
