@@ -511,7 +511,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = checkpointed(buckets.where(F.col("lead") != F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = linked(stars)
-    reached = components(links)
+    # Sets of one component, as far as two steps of links to smaller ids show; that is enough to spare most pairs.
+    one = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).groupBy("node").agg(F.min("to").alias("component"))
+    two = one.join(one.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    reached = checkpointed(two)
 
     joined = checkpointed(buckets.select("sig", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     size = joined.groupBy("sig", "component").agg(F.count("*").alias("c"))

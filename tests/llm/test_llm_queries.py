@@ -1,16 +1,20 @@
 """URL filters, registered queries and the pipeline."""
 
+import hashlib
 import os
 import random
+import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from orbweave.llm import langid, nearjoin, secrets, substrings, urls
+from orbweave.llm import langid, secrets, urls
+from test_llm_pairs import brute_components, brute_kept
 
 
 def fits(host, path, rule):
@@ -62,32 +66,52 @@ def test_eleven_queries():
 
 
 def test_pipeline(spark, sf, tmp_path):
+    """Each stage against brute force on what the one before kept."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    encoder = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     kept, columns = docs, docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = kept
-        stage(spark, before, sf).write.parquet(str(tmp_path / str(k)))
+        before = {r["doc_id"]: r for r in kept.collect()}
+        stage(spark, kept, sf).write.parquet(str(tmp_path / str(k)))
         kept = spark.read.parquet(str(tmp_path / str(k)))
-        if k + 1 < len(corpus_pipeline.STAGES):
-            assert kept.columns == columns and kept.schema == docs.schema
-        ids = {r[0] for r in before.select("doc_id").collect()}
-        left = {r[0] for r in kept.select("doc_id").collect()}
-        assert left <= ids
+        if k + 1 == len(corpus_pipeline.STAGES):
+            break
+        assert kept.columns == columns and kept.schema == docs.schema
+        after = {r["doc_id"]: r for r in kept.collect()}
+        texts = {i: r["text"] for i, r in before.items()}
         if name == "language_id":
-            texts = {r["doc_id"]: r["text"] for r in before.collect()}
-            assert all(not any(map(str.isalpha, texts[i] or "")) for i in ids - left) or len(left) >= 0.9 * len(ids)
+            letters = {i: sum(map(str.isalpha, t or "")) for i, t in texts.items()}
+            assert all(letters[i] for i in after) and all(after[i] == before[i] for i in after)
+            clean = [i for i in before if letters[i] >= 50 and before[i]["lang"] is not None]
+            assert sum(i in after for i in clean) >= 0.99 * len(clean)
         if name == "near_duplicates":
-            groups = {r["doc_id"]: r["component_id"] for r in nearjoin.near_duplicates(before).collect()}
-            assert left == set(groups.values())
+            assert set(after) == {component for _, component in brute_components(list(texts.items())).values()} and all(after[i] == before[i] for i in after)
         if name == "substring_dedup":
-            found = {r["doc_id"]: r for r in substrings.deduplicate(before).collect()}
-            assert left == {i for i, r in found.items() if r["n_removed"] < r["n_words"] or r["n_words"] == 0}
-            assert substrings.deduplicate(kept).agg(F.sum("n_removed")).head()[0] <= sum(r["n_removed"] for r in found.values()) * 0.02
+            found = brute_kept(list(texts.items()))
+            assert set(after) == {i for i, (n, gone, _) in found.items() if gone < n or not n}
+            for i, r in after.items():
+                assert r["text"] == texts[i] if not found[i][1] else hashlib.sha256(r["text"].encode()).hexdigest() == found[i][2]
         if name == "secret_scan":
-            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-            hits = secrets.find_secrets(kept, path, public_tokenizers.PATTERN).where("n_assign + n_access + n_hex > 0").count()
-            assert left == ids and hits == 0
-    assert {r[0] for r in kept.select("doc_id").distinct().collect()} == left
+            for i, r in after.items():
+                covered = bytearray(len(texts[i]))
+                for _, start, end in secrets.scan(texts[i], encoder, 2.2, 20)[1]:
+                    covered[start:end] = b"x" * (end - start)
+                assert r["text"].replace("[SECRET]", "") == "".join(c for c, gone in zip(texts[i], covered, strict=True) if not gone)
+                assert secrets.base_spans(r["text"]) == []
+            assert set(after) == set(before)
+    places: dict = {}
+    for r in kept.collect():
+        places.setdefault(r["doc_id"], []).append(r)
+    for i, r in after.items():
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0]
+        for p in places[i]:
+            assert zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) == p["ids_crc32"]
+        assert sum(p["length"] for p in places[i]) == len(ids)
+    assert set(places) == set(after)
+    run = __spark_entry__.queries()["pipeline"](spark, sf)
+    plain = lambda df: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert plain(run) == plain(kept)
 
 
 def test_pipeline_odd_rows(spark, sf):
