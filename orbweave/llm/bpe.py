@@ -32,6 +32,10 @@ _NONE = np.int64(1) << np.int64(40)
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+# Fixed value: the pattern by which a text can be cut before such a space, since no piece reaches over it.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Vocabulary:
     """A rank file and its merges; `pattern` splits text into pieces."""
 
@@ -41,7 +45,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.cuttable = regex.compile(pattern), pattern == CUTTABLE
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.token_bytes = np.array([len(t) for t in self.tokens], np.int64)
         self.token_flat = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -203,8 +207,11 @@ class Vocabulary:
         A space after anything but white space always starts a new piece, and
         what follows it doesn't depend on what was before. So texts are cut at
         their spaces, and the ids of a chunk with its space are remembered. Texts
-        with a space after white space are cut at the other spaces alone.
+        with a space after white space are cut at the other spaces alone. By another
+        pattern than CUTTABLE texts are encoded whole.
         """
+        if not self.cuttable:
+            return [self._encode_texts([t])[0] for t in batch]
         bounds, at, chunks = distinct_parts(pc.split_pattern(pa.array(batch, pa.large_string()), " "))
         if not batch:
             return []

@@ -26,7 +26,7 @@ SMOOTHING = 0.1
 #: Words of up to so many bytes are scored together.
 WIDE = 64
 #: A worker remembers the scores of so many words at most.
-REMEMBERED = 300_000
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64_000_000
 #: Nats a byte that are added in the forward pass, to stay within the range of doubles.
 _LIFT = 6.0
 
@@ -125,7 +125,7 @@ class Scorer:
             length[i] = len(piece)
         self.lifted = model.probability * np.exp(_LIFT * length)[:, None]
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((REMEMBERED, k))
+        self.scores = np.zeros((min(REMEMBERED, REMEMBERED_BYTES // (8 * max(k, 1))), k))
 
     def short(self, words: list[bytes], width: int) -> np.ndarray:
         """Forward passes over words of at most `width` bytes, side by side."""
@@ -188,7 +188,7 @@ class Scorer:
         known, n = self.known, len(self.known)
         fresh = [w for w in words if w not in known]
         got = self.words(fresh)
-        kept = min(len(fresh), REMEMBERED - n)
+        kept = min(len(fresh), len(self.scores) - n)
         self.scores[n : n + kept] = got[:kept]
         known.update(zip(fresh[:kept], range(n, n + kept), strict=True))
         rest = dict(zip(fresh[kept:], range(kept, len(fresh)), strict=True))
@@ -208,7 +208,8 @@ def predict(docs: DataFrame, model: Model, path: str, text_col: str = "text") ->
     """All columns, and lang_pred and lang_score after them: the language of
     greatest posterior probability and that probability. `und` and 0 where the
     text is null or has no letter, or where no language was learned. Columns of
-    those names are replaced."""
+    those names are replaced; nulls in others stay as they are, and repeated rows
+    and an empty table give as many rows."""
     docs = docs.drop("lang_pred", "lang_score")
     names = docs.columns
 

@@ -75,6 +75,14 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_encode_by_another_pattern():
+    """A piece may reach over spaces there."""
+    pattern = r"[a-z ]+|[^a-z ]+"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.Vocabulary(BYTE, pattern).ranks, special_tokens={})
+    some = [t or "" for t in ODD[:12]] + ["the cat sat on the mat. Then IT left"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Vocabulary(BYTE, pattern).encode(some)] == [enc.encode_ordinary(t) for t in some]
+
+
 def test_packing(docs, texts):
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     rows = packing.pack(docs, BYTE, PATTERN).collect()
