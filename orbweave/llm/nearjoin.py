@@ -30,6 +30,7 @@ import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -277,10 +278,25 @@ def _bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _frequent(hard: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], common: int) -> np.ndarray:
-    """Counts of hashes by bucket, of the buckets that have clearly more than most
-    (at most 2**SKETCH_BITS come to the driver); 0 for all others. They only tell
-    what is cheap: results don't depend on them."""
+@dataclass
+class Counts:
+    """Counts of hashes by bucket, 0 for buckets that aren't listed."""
+
+    bucket: np.ndarray
+    n: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.bucket):
+            return np.zeros(len(hashes), np.int64)
+        asked = _bucket_of(hashes)
+        at = np.minimum(np.searchsorted(self.bucket, asked), len(self.bucket) - 1)
+        return np.where(self.bucket[at] == asked, self.n[at], 0)
+
+
+def _frequent(hard: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], common: int) -> Counts:
+    """Counts of hashes by bucket, of the buckets that have clearly more than most (at
+    most 2**SKETCH_BITS, mostly few, come to the driver and go to the tasks). They
+    only tell what is cheap: results don't depend on them."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
@@ -291,10 +307,8 @@ def _frequent(hard: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray]
 
     counts = checkpointed(map_columns(hard, make, "bucket long, n long", "elements").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = (counts.agg(F.sum("n")).head()[0] or 0) / (1 << SKETCH_BITS)
-    many = counts.where(F.col("n") > common + 2 * mean).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[many["bucket"].to_numpy(np.int64)] = many["n"].to_numpy(np.int64)
-    return out
+    many = counts.where(F.col("n") > common + 2 * mean).orderBy("bucket").toPandas()
+    return Counts(many["bucket"].to_numpy(np.int64), many["n"].to_numpy(np.int64))
 
 
 def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
@@ -344,7 +358,7 @@ def _deletions(hard: DataFrame, common: int) -> DataFrame:
             for i, bands in enumerate(each(batch)):
                 enough = True
                 for need, segments, segment, z, sig in bands:
-                    often = counts[_bucket_of(sig)]
+                    often = counts.of(sig)
                     cost = np.bincount(segment, minlength=segments)
                     open_ = (np.bincount(segment[z == 1], minlength=segments) > 0) & (np.bincount(segment[often > 0], minlength=segments) == 0)
                     best = np.flatnonzero(open_)
@@ -374,7 +388,7 @@ class _Differences:
     """What sets show of their differences from a pivot: rows (probe, class, element,
     w, what is left from that element on)."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: Counts):
         self.counts = counts
 
     def rows(self, pivot: np.ndarray, s: np.ndarray) -> tuple[bool, list[np.ndarray]]:
@@ -387,7 +401,7 @@ class _Differences:
         """
         own, lost = s[~_inside(s, pivot)], pivot[~_inside(pivot, s)]
         mixed = [splitmix(x) for x in (own, lost)]
-        often = [self.counts[_bucket_of(x)] for x in mixed]
+        often = [self.counts.of(x) for x in mixed]
         d = np.concatenate([mixed[0][np.lexsort((mixed[0], often[0]))], mixed[1][np.lexsort((mixed[1], -often[1]))]])
         n, w = len(d), 9 * len(d) - len(s)
         linked = w <= len(pivot)
