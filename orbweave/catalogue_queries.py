@@ -421,24 +421,59 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- walks ---------------------------------------------------------------
 
 
-@query()
+#: Rows that a walk may go on to: not blocked, not in it, of no artist of its last three rows and not of the last one's album.
+_ALLOWED = f"s.artist_id <> {BLOCKED} AND NOT list_contains(walk, s.track_id) AND NOT list_contains(list_slice(artists, -3, -1), s.artist_id) AND s.album_id <> albums[-1]"
+_START = "[track_id] AS walk, [artist_id] AS artists, [album_id] AS albums"
+_ON = "list_append(walk, s.track_id), list_append(artists, s.artist_id), list_append(albums, s.album_id)"
+
+
+def _cosine(v: str) -> str:
+    return f"round(list_dot_product(s.u, {v}) / greatest(sqrt(list_dot_product({v}, {v})), 1e-9), 9)"
+
+
+def _towards(steps: int, but: str = "true") -> str:
+    """A walk from row 0 through points between the `ends` a and b, of which seven steps lead to b."""
+    return f"""walk AS (SELECT 0 AS step, track_id, {_START} FROM space WHERE track_id = 0 AND artist_id <> {BLOCKED}
+  UNION ALL SELECT * FROM (SELECT step + 1, s.track_id, {_ON}
+    FROM walk, space s, ends, LATERAL (SELECT list_transform(range(1, {WIDTH + 1}), lambda i: (1 - (step + 1) / 7.0) * a[i] + (step + 1) / 7.0 * b[i]) AS t)
+    WHERE {_ALLOWED} AND {but} AND step < {steps} ORDER BY {_cosine("t")} DESC, s.track_id LIMIT 1))"""
+
+
+@query(f"""
+WITH RECURSIVE {_SPACE}, walk AS (SELECT 0 AS step, track_id, NULL::double AS similarity, {_START}, u AS last FROM space WHERE track_id = 0 AND artist_id <> {BLOCKED}
+  UNION ALL SELECT * FROM (SELECT step + 1, s.track_id, round({_cosine("last")} - 0.1 * len(list_filter(artists, lambda a: a = s.artist_id)), 9) AS score, {_ON}, s.u
+    FROM walk, space s WHERE {_ALLOWED} AND step < 11 ORDER BY score DESC, s.track_id LIMIT 1))
+SELECT step::int AS step, track_id, similarity FROM walk""")
 def radio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.radio(checkpointed(space(spark, sf_dir)), 0, 12)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SPACE}, ends AS (SELECT x.u AS a, y.u AS b FROM space x, space y WHERE x.track_id = 0 AND y.track_id = 101 AND x.artist_id <> {BLOCKED} AND y.artist_id <> {BLOCKED}),
+{_towards(6, "s.track_id <> 101")}
+SELECT step::int AS step, track_id, NULL::double AS similarity FROM (SELECT step, track_id FROM walk UNION ALL SELECT max(step) + 1, 101 FROM walk HAVING count(*) > 0), ends""")
 def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.interpolate(checkpointed(space(spark, sf_dir)), 0, 101, 8)
 
 
-@query()
+@query(_ANCHORS.replace("WITH", "WITH RECURSIVE", 1) + f""",
+ends AS (SELECT (SELECT u FROM space WHERE track_id = 0) AS a, (SELECT list(x ORDER BY i) FROM (SELECT i, avg(u[i]) AS x FROM anchors, range(1, {WIDTH + 1}) t(i) GROUP BY i)) AS b),
+{_towards(7)}
+SELECT step::int AS step, track_id, NULL::double AS similarity FROM walk""")
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpointed(space(spark, sf_dir))
     target = walks.centroid(rows, walks.anchors(rows, _phrase(space(spark, sf_dir, blocked=False)), 5, "vec"))
     return walks.drift(rows, 0, target, 8)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SPACE}, pairs AS (SELECT a.track_id AS src, b.track_id AS dst, list_dot_product(a.u, b.u) AS similarity, a.artist_id = b.artist_id AS same
+    FROM space a, space b WHERE a.track_id <> b.track_id AND b.artist_id <> {BLOCKED}),
+edges AS (SELECT src, dst, greatest(1 - similarity, 0) + CASE WHEN same THEN 0.05 ELSE 0 END AS w FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst) <= 16),
+best(node, cost, parent) USING KEY (node) AS (SELECT 0::bigint, 0.0::double, NULL::bigint
+  UNION SELECT dst, min(b.cost + w), arg_min(b.node, b.cost + w) FROM best b JOIN edges ON src = b.node LEFT JOIN recurring.best r ON r.node = dst WHERE r.cost IS NULL OR b.cost + w < r.cost GROUP BY dst),
+back AS (SELECT node, cost, parent, 0 AS i FROM best WHERE node = 101 UNION ALL SELECT b.node, b.cost, b.parent, i + 1 FROM back JOIN best b ON b.node = back.parent)
+SELECT (max(i) OVER () - i)::int AS step, node AS track_id, round(cost, 9) AS cost FROM back""")
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = space(spark, sf_dir, blocked=False)
     graph = knn.knn_graph(rows, 16, rows.where(F.col("artist_id") != BLOCKED))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions import expr
+from orbweave.functions import expr, vectors
 from orbweave.operators import crawl, map2d, merge, relational
 from orbweave.plans.space import space
 from orbweave.registry import query
 from orbweave.session import checkpointed, table
+from orbweave.sources import tables
 
 # --- payloads ------------------------------------------------------------
 
@@ -264,3 +265,71 @@ def route_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = spark.createDataFrame(list(enumerate(asked)), "step long, track_id long")
     points = relational.numbered(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id")), ["track_id"], "place")
     return map2d.route_places(route, points.withColumn("place", F.col("place") - 1))
+
+
+@query("""
+WITH found AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 7)
+SELECT id, name, count(o_orderkey) AS tracks FROM found LEFT JOIN orders ON o_custkey = id GROUP BY ALL""")
+def resolve_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that is an existing id names that artist alone."""
+    artists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return relational.resolve(artists, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artist_id")), "7")
+
+
+@query("SELECT p_partkey, left(p_brand, 4) AS year FROM part WHERE contains(lower(p_name), '1') AND contains(lower(p_name), 'p')")
+def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "part").where(expr.all_terms(" 1 P ", F.col("p_name")))
+    return found.select("p_partkey", expr.year_label(F.col("p_brand")).alias("year"))
+
+
+@query("SELECT vec_id AS track_id FROM embeddings WHERE embedding[1]::double BETWEEN -0.1 AND 0.1 AND embedding[2]::double BETWEEN -0.1 AND 0.1")
+def map_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return map2d.within(points, -0.1, -0.1, 0.1, 0.1).select("track_id")
+
+
+@query("""
+SELECT o_orderkey AS row_idx, o_orderkey * 2 AS track_id, coalesce(p_name, '<missing ' || o_orderkey * 2 || '>') AS title, CASE WHEN p_partkey IS NULL THEN 0 ELSE p_size END AS artist_id
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey * 2""")
+def catalogue_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_idx"), (F.col("o_orderkey") * 2).alias("track_id"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("title"), F.col("p_size").alias("artist_id"))
+    return tables.in_order(ids, rows, {"artist_id": 0})
+
+
+@query("""
+WITH new AS (SELECT user_id AS track_id, arg_max(event_type, (ts, event_id)) AS version FROM events GROUP BY user_id)
+SELECT coalesce(new.track_id, c_custkey) AS track_id, coalesce(version, c_mktsegment) AS version FROM new FULL JOIN customer ON c_custkey = new.track_id""")
+def features_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track_id"), F.col("c_mktsegment").alias("version"))
+    new = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("event_type").alias("version"), F.struct("ts", "event_id").alias("seq"))
+    return merge.record_features(known, known.select("track_id"), new, "seq")[0]
+
+
+@query("""
+WITH new AS (SELECT DISTINCT user_id FROM events) SELECT c_custkey AS track_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM new)""")
+def failures_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures that are left when new features come in."""
+    failures = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track_id"))
+    new = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("event_type").alias("version"), F.col("event_id").alias("seq"))
+    return merge.record_features(new.drop("seq").limit(0), failures, new, "seq")[1]
+
+
+@query("SELECT vec_id AS track_id, i::int AS dim, round(0.75 * embedding[i + 1]::double + 0.25 * embedding[64 - i]::double, 6) AS x FROM embeddings, range(64) t(i)")
+def between_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the way from each row to its reverse."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), vectors.doubles(F.col("embedding")).alias("v"))
+    cells = rows.select("track_id", F.posexplode(vectors.interpolate(F.col("v"), F.reverse("v"), 0.25)).alias("dim", "x"))
+    return cells.withColumn("x", F.round("x", 6))
+
+
+@query("""
+SELECT vec_id * 3 AS track_id, i::int AS dim, CASE WHEN vec_id * 3 IN (SELECT vec_id FROM embeddings) AND vec_id * 3 % 5 <> 0 THEN (SELECT e.embedding[i + 1]::double FROM embeddings e WHERE e.vec_id = o.vec_id * 3) ELSE 0 END AS x
+FROM embeddings o, range(64) t(i)""")
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ids, as zeros where there is no vector or one of another width."""
+    rows = table(spark, sf_dir, "embeddings")
+    ids = rows.select(F.col("vec_id").alias("row_idx"), (F.col("vec_id") * 3).alias("track_id"))
+    vec = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    out = tables.matrix(ids, rows.select(F.col("vec_id").alias("track_id"), vec.alias("vec")), 64)
+    return out.select("track_id", F.posexplode("vec").alias("dim", "x"))
