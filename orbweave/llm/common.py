@@ -56,6 +56,16 @@ def resident(key: Hashable, make: Callable[[], object]):
     return _resident[key]
 
 
+def made(make: Callable[[], object]):
+    """What `make` gives; unless that asked for what the worker keeps, it keeps it no longer.
+    (Tasks name this function only: what they name themselves would be sent with them.)"""
+    _asked.clear()
+    out = make()
+    if not _asked:
+        _resident.clear()
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def _libc() -> ctypes.CDLL | None:
     """The C library, told to give large blocks back when they are freed; None where it isn't glibc."""
@@ -88,10 +98,7 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _libc()
-        _asked.clear()
-        step = make()
-        if not _asked:
-            _resident.clear()
+        step = made(make)
         for batch in batches:
             for part in slices(batch, text):
                 if part.num_rows:
