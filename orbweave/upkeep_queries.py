@@ -276,9 +276,9 @@ def resolve_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.resolve(artists, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artist_id")), "7")
 
 
-@query("SELECT p_partkey, left(p_brand, 4) AS year FROM part WHERE contains(lower(p_name), '1') AND contains(lower(p_name), 'p')")
+@query("SELECT p_partkey, left(p_brand, 4) AS year FROM part WHERE contains(lower(p_name), 'e') AND contains(lower(p_name), 't')")
 def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "part").where(expr.all_terms(" 1 P ", F.col("p_name")))
+    found = table(spark, sf_dir, "part").where(expr.all_terms(" E T ", F.col("p_name")))
     return found.select("p_partkey", expr.year_label(F.col("p_brand")).alias("year"))
 
 
