@@ -22,6 +22,19 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SLICE_CHARS = 4_000_000
 
 
+#: Bytes of one Arrow batch that goes to a worker, where the session has Spark's default (64 MB):
+#: a batch is in the JVM's and the worker's memory several times over.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are bounded by ARROW_BYTES unless it was told otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,7 +120,7 @@ def map_columns(
         del step
         give_back()
 
-    return df.mapInArrow(run, out)
+    return bounded_batches(df).mapInArrow(run, out)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

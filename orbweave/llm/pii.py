@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import boosting
-from orbweave.llm.common import clear_of, map_columns, texts
+from orbweave.llm.common import bounded_batches, clear_of, map_columns, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order in which spans are listed; the last two come from candidates alone.
@@ -304,4 +304,4 @@ def redact_pii(docs: DataFrame, text_col: str = "text", mark: str = "[{}]") -> D
     def clean(column):
         return column.map(clean_one)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return bounded_batches(docs).withColumn(text_col, clean(F.col(text_col)))

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import clear_of, map_columns, resident, texts
+from orbweave.llm.common import bounded_batches, clear_of, map_columns, resident, texts
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -179,4 +179,4 @@ def redact_secrets(docs: DataFrame, path: str, pattern: str, text_col: str = "te
         enc = encoding(path, pattern)
         return column.map(lambda t: t if t is None else redacted(t, scan(t, enc, ratio, shortest)[1], mark))
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return bounded_batches(docs).withColumn(text_col, clean(F.col(text_col)))
