@@ -30,7 +30,7 @@ WINDOW, ANCHOR = 20, 8
 MOST_RUNS = 2
 #: Words of one bucket of a run, about, and the least number of buckets.
 WORDS_PER_BUCKET, BUCKETS = 1_500_000, 48
-#: deduplicate() cuts its table into 3 batches, and one more each time that it has twice as many rows as this.
+#: deduplicate() cuts its table into 3 batches, and one more each time that it has four times as many rows as this.
 BATCH_ROWS = 50_000
 #: Sampled ids for each bound between batches.
 SAMPLED_PER_BATCH = 100
@@ -270,7 +270,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
     source = matching(source, checkpointed(copies), id_col, "left_anti")
     rows, words = profile.agg(F.count("*"), F.sum("n_words")).head()
-    batches = batches or 3 + max(0, math.floor(math.log2(max(rows, 1) / BATCH_ROWS)))
+    batches = batches or 3 + max(0, math.floor(math.log(max(rows, 1) / BATCH_ROWS, 4)))
     bounds = _bounds(profile, rows, batches)
     index = FingerprintIndex(spark, None, id_col, text_col, max(BUCKETS, (words or 0) // WORDS_PER_BUCKET))
     changed = None
