@@ -174,7 +174,7 @@ def test_mixed_list_is_whole(spark, tmp_path):
     sizes = {"customer": ("c_custkey", "c_name", 130), "part": ("p_partkey", "p_name", 90), "supplier": ("s_suppkey", "s_name", 70)}
     for name, (key, label, n) in sizes.items():
         spark.range(n, 0, -1, 3).select(F.col("id").alias(key), F.concat(F.lit(name), "id").alias(label)).write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = sorted(tuple(r[c] for c in ("place", "kind", "id", "label")) for r in catalogue.QUERIES["mixed_list_whole"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r[c] for c in ("place", "kind", "id", "label")) for r in catalogue.QUERIES["mixed_list"](spark, str(tmp_path)).collect())
     want = [(kind, i, f"{name}{i}") for kind, (name, (_, _, n)) in enumerate(sizes.items()) for i in range(1, n + 1)]
     assert got == [(place, *row) for place, row in enumerate(want, 1)]
 
