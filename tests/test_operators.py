@@ -222,10 +222,12 @@ def test_slim_catalogue(spark, tmp_path):
     )
     artists = spark.createDataFrame([(7, "Seven", "{}")], "id long, name string, payload string")
     tables.publish_catalogue({"artists": artists, "features": features}, str(tmp_path))
-    got = spark.read.parquet(f"{tmp_path}/features")
+    version = tables.newest(spark, str(tmp_path))
+    home = f"{tmp_path}/versions/{version}"
+    got = spark.read.parquet(f"{home}/features")
     assert {r["track_id"]: r["descriptors_json"] for r in got.collect()} == {1: '{"bpm":120.0}', 2: None, 3: '{"bpm":null}', 4: '{"bpm":null}'}
-    assert spark.read.parquet(f"{tmp_path}/artists").columns == ["id", "name"]
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/manifest").collect()} == {("artists", 1), ("features", 4)}
+    assert spark.read.parquet(f"{home}/artists").columns == ["id", "name"]
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/manifests/{version}").collect()} == {("artists", 1), ("features", 4)}
 
 
 def test_memberships():
