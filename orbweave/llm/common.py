@@ -123,6 +123,36 @@ def map_columns(
     return bounded_batches(df).mapInArrow(run, out)
 
 
+def map_sorted(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    make: Callable[[], Callable[[pa.RecordBatch | None], dict[str, list]]],
+    schema: str,
+    text: str | None = None,
+) -> DataFrame:
+    """Like map_columns, over rows dealt by keys and sorted by keys and an order: a group's
+    rows come one after the other, in as many batches as they take, so that its function
+    need keep no more of a group than it wants. It is called with None at a partition's end."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return map_stream(dealt, make, schema, text)
+
+
+def map_stream(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch | None], dict[str, list]]], schema: str, text: str | None = None) -> DataFrame:
+    """Like map_columns; the function is called with None at a partition's end."""
+    out: StructType = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = made(make)
+        parts = (part for batch in batches for part in slices(batch, text) if part.num_rows)
+        for part in itertools.chain(parts, [None]):
+            got = step(part)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+
+    return bounded_batches(df).mapInArrow(run, out)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as the empty text."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
