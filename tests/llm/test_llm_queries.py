@@ -60,9 +60,9 @@ def test_matches_sql(spark, sf):
             assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-def test_eleven_queries():
+def test_fourteen_queries():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
 
 
 def test_pipeline(spark, sf, tmp_path):
