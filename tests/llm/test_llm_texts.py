@@ -251,6 +251,15 @@ def test_pii(spark, docs, texts):
     assert got[-3]["spans"] == ""
 
 
+def test_long_runs_of_digits():
+    """Base spans are found in time that grows with the text, whatever it is."""
+    began = time.time()
+    assert pii.base_spans("1" * 2_000_000 + ". x") == []
+    assert [s for s in pii.base_spans("1" * 500_000 + " " + "1.2.3." * 100_000 + "4") if s[0] == "ip"][:1] == [("ip", 500_001, 500_008)]
+    assert [(a, b) for k, a, b in pii.base_spans("00001.2.3.4.5.6.7.8 12.3.4.56") if k == "ip"] == [(0, 11), (12, 19), (20, 29)]
+    assert time.time() - began < 20
+
+
 def test_pii_classifier_on_unseen_family():
     """Neither trees nor thresholds have met these formats and phrases."""
     model, least = pii.trained()
