@@ -47,7 +47,7 @@ class _Windows:
     text), and the hashes of all anchors and words."""
 
     def __init__(self, batch: pa.RecordBatch, text_col: str):
-        bounds, self.words = word_hashes([t.encode() for t in texts(batch, text_col)])
+        bounds, (self.words, self.again) = word_hashes([t.encode() for t in texts(batch, text_col)])
         self.anchors = run_hashes(self.words, ANCHOR)
         n = max(0, len(self.words) - WINDOW + 1)
         best, at = self.anchors[:n].copy(), np.arange(n)
@@ -108,7 +108,7 @@ def _verified(matched: DataFrame) -> DataFrame:
             asked[found] = True
             on = np.flatnonzero(asked[w.at])
             row, start = w.row[on], w.start[on]
-            one, two = (run_hashes(w.words, WINDOW, salt)[start] for salt in (1, 2))
+            one, two = run_hashes(w.words, WINDOW, 1)[start], run_hashes(w.again, WINDOW, 2)[start]
             ids, age = batch.column("id"), np.asarray(batch.column("age"))
             rank = np.empty(batch.num_rows, np.int64)  # of the rows by age and id; equal ids are as early
             order = np.asarray(pc.sort_indices(pa.table({"age": age, "id": ids}), [("age", "ascending"), ("id", "ascending")]))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from orbweave.llm.common import splitmix
 
 #: Bytes that separate words: space, and tab to carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Texts are hashed in parts of about so many bytes.
 _PART = 1 << 20
 _MULTIPLIER = 0xD6E8FEB86659FD93
@@ -42,17 +43,22 @@ def _stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    solid = np.concatenate([[False], ~_SPACE[data]])
+    data = b"\n".join(texts) + b"\n"
+    solid = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)]])
     edges = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts = edges[::2]
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)])
-    return bounds, _stretches(_BYTE[data], starts, ends, _MULTIPLIER)
+    # Words and what is between them take turns; each distinct word is hashed once.
+    stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+    words = stretches.take(pa.array(np.arange(0, len(stretches), 2))).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist())
+    return bounds, np.frombuffer(digests, np.uint64).reshape(-1, 2).T[:, np.asarray(words.indices, np.int64)]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text's words begin and the last end, and the hash of each word."""
+    """Where each text's words begin and the last end, and two independent hashes of each word:
+    the halves of a cryptographic one, for which no two words that collide are known."""
     bounds, hashes, start, size = [np.zeros(1, np.int64)], [], 0, 0
     for i, text in enumerate(texts):
         size += len(text)
@@ -61,22 +67,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             bounds.append(b[1:] + bounds[-1][-1])
             hashes.append(h)
             start, size = i + 1, 0
-    return np.concatenate(bounds), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return np.concatenate(bounds), np.concatenate(hashes, axis=1) if hashes else np.zeros((2, 0), np.uint64)
 
 
 def run_hashes(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """The hash of each run of `length` consecutive words; runs may span texts."""
+    """The hash of each run of `length` consecutive words, from one of their hashes; runs may span texts."""
     if len(words) < length:
         return np.zeros(0, np.uint64)
     starts = np.arange(len(words) - length + 1)
-    salted = splitmix(words + np.uint64(salt)) if salt else words
-    return _stretches(salted, starts, starts + length, _MULTIPLIER + 2 * length + 2 * salt)
+    return _stretches(words, starts, starts + length, _MULTIPLIER + 2 * length + 2 * salt)
 
 
 def shingle_sets(texts: list[bytes], length: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted hashes: all words as one where it
     has fewer than `length`, none where it has no words."""
-    bounds, words = word_hashes(texts)
+    bounds, (words, _) = word_hashes(texts)
     runs, out = run_hashes(words, length), []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= length:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import ann, nearjoin, substrings
 from orbweave.llm.graph import components
+from orbweave.llm.words import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns whose names the operators use themselves.
@@ -82,6 +83,28 @@ def test_near_duplicates_of_documents(spark, sf):
         assert got == want
 
 
+def colliding():
+    """Two texts that differ in one word: a Thue-Morse word of 1,024 letters and its complement, whose
+    polynomial hashes modulo 2**64 are equal for any odd multiplier."""
+    word = "a"
+    for _ in range(10):
+        word = word.translate({97: "ab", 98: "ba"})
+    one, two = ([*(f"w{i}" for i in range(10)), w, *(f"v{i}" for i in range(12))] for w in (word, word.translate({97: "b", 98: "a"})))
+    return [(1, " ".join(one)), (2, " ".join(two)), (3, one[10]), (4, two[10])]
+
+
+def test_words_that_collide(spark):
+    docs = spark.createDataFrame(rows_of(colliding()), CLASHING)
+    assert {r["doc_id"]: r["component_id"] for r in nearjoin.near_duplicates(docs).collect()} == {i: i for i in range(1, 5)}
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(docs).collect()} == dict.fromkeys(range(1, 5), 0)
+
+
+def test_word_hashes():
+    bounds, (one, two) = word_hashes([b"", b" a  b\n", b"a", b"\t", "é b".encode()])
+    assert bounds.tolist() == [0, 0, 2, 3, 3, 5] and one[0] == one[2] and two[0] == two[2] and one[1] == one[4] and len({*one.tolist(), *two.tolist()}) == 6
+    assert word_hashes([])[1].shape == (2, 0) == word_hashes([b" "])[1].shape
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f")]
     got = sorted((tuple(r) for r in nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
