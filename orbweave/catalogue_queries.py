@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions import expr, signal, vectors
-from orbweave.operators import knn, map2d, merge, relational, walks
+from orbweave.operators import cells, knn, map2d, merge, relational, rotation, walks
+from orbweave.plans.derived import Navigator, files_version
 from orbweave.plans.space import BLOCKED, WIDTH, space
 from orbweave.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from orbweave.session import checkpointed, shared_folder, table
@@ -75,13 +76,8 @@ def evaluate_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKS + ", placed AS (SELECT rank, row_number() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n FROM ranks) SELECT count(*) AS n, round(avg((rank = 1)::int), 9) AS top_1, max(CASE WHEN i = n // 2 THEN rank END) AS median, round(avg(rank), 6) AS mean FROM placed")
 def evaluate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median is the upper one. Ranks are few: one for each row is sorted by value counts."""
-    counts = knn.evaluate(space(spark, sf_dir, blocked=False)).groupBy("rank").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("rank"))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
-    return upto.agg(
-        F.max("n").alias("n"), F.round(F.sum(F.when(F.col("rank") == 1, F.col("c")).otherwise(0)) / F.max("n"), 9).alias("top_1"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("rank"))).alias("median"), F.round(F.sum(F.col("rank") * F.col("c")) / F.max("n"), 6).alias("mean"),
-    )
+    """The median is the upper one."""
+    return knn.rank_summary(knn.evaluate(space(spark, sf_dir, blocked=False)))
 
 
 def _phrase(rows: DataFrame) -> list[float]:
@@ -410,12 +406,31 @@ def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map2d.fuzzy_union(map2d.fuzzy_weights(graph, 15)).withColumn("w", F.round("w", 6))
 
 
-@query()
-def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph of all rows, and their places."""
     rows = space(spark, sf_dir, blocked=False)
     mean, axes = vectors.fit_pca(rows, "vec", WIDTH, 2)
     start = rows.select("track_id", vectors.project(F.col("vec"), mean, axes).alias("p")).select("track_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-    return map2d.layout(map2d.fuzzy_union(map2d.fuzzy_weights(knn.knn_graph(rows, 15), 15)), map2d.spread_start(start))
+    graph = checkpointed(knn.knn_graph(rows, 15))
+    edges = checkpointed(map2d.fuzzy_union(map2d.fuzzy_weights(graph, 15)))
+    return graph, rotation.layout(edges, map2d.spread_start(start))
+
+
+@query()
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid_out(spark, sf_dir)[1]
+
+
+@query("SELECT count(*) AS n, count(*) AS placed, true AS near FROM embeddings")
+def layout_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the layout has and how many at finite places, and whether of the 15 neighbours of
+    a row three times as many as by chance are among the 30 rows that are nearest on the map."""
+    graph, points = _laid_out(spark, sf_dir)
+    points = checkpointed(points)
+    nearest = cells.nearest(points.select("track_id", F.array("x", "y").alias("v")), points.select("track_id", F.array("x", "y").alias("v")), 30, "v", cosine=False)
+    kept = rotation.neighbours_kept(graph, points, nearest).agg(F.avg("kept").alias("kept"))
+    finite = vectors.finite(F.col("x")).isNotNull() & vectors.finite(F.col("y")).isNotNull()
+    return points.agg(F.count("*").alias("n"), F.count(F.when(finite, 1)).alias("placed")).crossJoin(kept).select("n", "placed", (F.col("kept") > 3 * 30 / F.col("n")).alias("near"))
 
 
 # --- walks ---------------------------------------------------------------
@@ -466,6 +481,16 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.drift(rows, 0, target, 8)
 
 
+def navigator(spark: SparkSession, sf_dir: str) -> Navigator:
+    """The space with what is kept of it in the shared folder."""
+    rows = space(spark, sf_dir, blocked=False).drop("u")
+    width = WIDTH // len(vectors.BLOCKS)
+    blocks = [(name, i * width, (i + 1) * width, weight) for i, (name, weight) in enumerate(zip(vectors.BLOCKS, vectors.WEIGHTS, strict=True))]
+    out = Navigator(rows, blocks, files_version(spark, f"{sf_dir}/embeddings.parquet"), f"{shared_folder(spark)}/derived")
+    out.set_blocked(spark.createDataFrame([(BLOCKED,)], "artist_id long"))
+    return out
+
+
 @query(f"""
 WITH RECURSIVE {_SPACE}, pairs AS (SELECT a.track_id AS src, b.track_id AS dst, list_dot_product(a.u, b.u) AS similarity, a.artist_id = b.artist_id AS same
     FROM space a, space b WHERE a.track_id <> b.track_id AND b.artist_id <> {BLOCKED}),
@@ -475,9 +500,7 @@ best(node, cost, parent) USING KEY (node) AS (SELECT 0::bigint, 0.0::double, NUL
 back AS (SELECT node, cost, parent, 0 AS i FROM best WHERE node = 101 UNION ALL SELECT b.node, b.cost, b.parent, i + 1 FROM back JOIN best b ON b.node = back.parent)
 SELECT (max(i) OVER () - i)::int AS step, node AS track_id, round(cost, 9) AS cost FROM back""")
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = space(spark, sf_dir, blocked=False)
-    graph = knn.knn_graph(rows, 16, rows.where(F.col("artist_id") != BLOCKED))
-    return walks.graph_path(graph, rows, 0, 101)
+    return navigator(spark, sf_dir).path(0, 101)
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Two-dimensional layout and map queries."""
+"""What a two-dimensional layout starts from, and map queries; `rotation` has the layout itself."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orbweave.operators.relational import numbered
-from orbweave.session import checkpointed
-
 
 def bounds(points: DataFrame) -> DataFrame:
     """Extent of x and y; zeros for no points."""
@@ -142,42 +139,3 @@ def spread_start(points: DataFrame, seed: int = 42) -> DataFrame:
     unit = lambda c: F.pmod(F.xxhash64("track_id", F.lit(c), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     scaled = lambda c: 20 * (F.col(c) - b[f"min_{c}"]) / max(b[f"max_{c}"] - b[f"min_{c}"], 1e-12) - 10 + 1e-4 * (unit(c) - 0.5)
     return points.select("track_id", scaled("x").alias("x"), scaled("y").alias("y"))
-
-
-def epochs_for(n: int) -> int:
-    return 200 if n > 10_000 else 500
-
-
-def layout(edges: DataFrame, start: DataFrame, epochs: int | None = None, rate: float = 1.0, negatives: int = 5, min_dist: float = 0.1) -> DataFrame:
-    """Positions (track_id, x, y) after attraction along weighted edges (a, b, w)
-    and repulsion from random rows, at every size. An epoch moves all points at
-    once: joins and means by point, so that no task or driver holds the graph.
-    Without `epochs` there are 500, or 200 above 10,000 points. Fewer than three points are an error."""
-    a, b = fit_curve(min_dist)
-    both = checkpointed(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    here = checkpointed(numbered(start.select("track_id", "x", "y"), ["track_id"], "i").withColumn("i", F.col("i") - 1))
-    n = here.count()
-    if n < 3:
-        raise ValueError(f"a layout needs three points at least, not {n}")
-    epochs = epochs_for(n) if epochs is None else epochs
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        other = here.select(F.col("track_id").alias("b"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        pull = both.join(here.withColumnRenamed("track_id", "a"), "a").join(other, "b")
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        d2 = dx * dx + dy * dy + 1e-9
-        force = -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, b)) * F.col("w")
-        clip = lambda v: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), v))
-        moves = pull.select(F.col("a").alias("track_id"), clip(force * dx).alias("mx"), clip(force * dy).alias("my"))
-        if n > 1:
-            pick = F.pmod(F.xxhash64("track_id", "j", F.lit(epoch)), F.lit(n))
-            drawn = here.drop("i").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).withColumn("i", pick)
-            placed = here.select("i", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("track_id").alias("b"))
-            push = drawn.join(placed, "i").where(F.col("track_id") != F.col("b"))
-            away = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, b)))
-            moves = moves.unionByName(push.select("track_id", clip(away * dx).alias("mx"), clip(away * dy).alias("my")))
-        # All moves are made from the same places, so their mean is taken: the sum would overshoot.
-        total = moves.groupBy("track_id").agg(F.avg("mx").alias("mx"), F.avg("my").alias("my"))
-        moved = lambda c: (F.col(c) + step * F.coalesce(f"m{c}", F.lit(0.0))).alias(c)
-        here = checkpointed(here.join(total, "track_id", "left").select("track_id", moved("x"), moved("y"), "i"))
-    return here.drop("i")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.operators.knn import scored
-from orbweave.session import checkpointed
 
 _WALK = "step int, track_id long, similarity double"
 
@@ -119,36 +118,6 @@ def drift(space: DataFrame, start: int, target: list[float] | None, steps: int,
     return _walk(space, [(r["track_id"], None) for r in _through(space, [first], targets, rules or Constraints(), [])])
 
 
-def graph_path(edges: DataFrame, artists: DataFrame, start: int, goal: int, artist_cost: float = 0.05) -> DataFrame:
-    """The cheapest path over edges (src, dst, dist), with `artist_cost` more between
-    rows of one artist: (step, track_id, cost). Only rows that got cheaper hand their
-    cost on, and only while it's under the goal's; each round is a join and a minimum."""
-    a = artists.select("track_id", "artist_id")
-    cost = F.greatest(F.col("dist"), F.lit(0.0)) + F.when(F.col("x.artist_id").eqNullSafe(F.col("y.artist_id")), artist_cost).otherwise(0.0)
-    priced = edges.join(a.alias("x"), F.col("src") == F.col("x.track_id")).join(a.alias("y"), F.col("dst") == F.col("y.track_id"))
-    priced = checkpointed(priced.select("src", "dst", cost.alias("step_cost")))
-    spark = edges.sparkSession
-    schema = "node long, cost double, parent long, fresh boolean"
-    best = spark.createDataFrame([(start, 0.0, None, True)], schema)
-    while True:
-        known = best.where(F.col("node") == goal).head()
-        front = best.where("fresh") if known is None else best.where(F.col("fresh") & (F.col("cost") < known["cost"]))
-        offers = front.join(priced, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("step_cost")).alias("cost"), F.col("src").alias("parent"))).alias("o"))
-        if not offers.head(1):
-            break
-        joined = best.withColumnRenamed("cost", "old").withColumnRenamed("parent", "was").join(offers.select(F.col("dst").alias("node"), "o"), "node", "full_outer")
-        better = F.col("o").isNotNull() & (F.col("old").isNull() | (F.col("o.cost") < F.col("old")))
-        best = checkpointed(joined.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("old")).alias("cost"), F.when(better, F.col("o.parent")).otherwise(F.col("was")).alias("parent"), better.alias("fresh")))
-        if not best.where("fresh").head(1):
-            break
-    steps, node = [], best.where(F.col("node") == goal).head()
-    while node is not None:
-        steps.append((node["node"], node["cost"]))
-        node = best.where(F.col("node") == node["parent"]).head() if node["parent"] is not None else None
-    rows = [(i, n, round(c, 9)) for i, (n, c) in enumerate(reversed(steps))]
-    return spark.createDataFrame(rows, "step int, track_id long, cost double")
-
-
 def order_queue(vectors: np.ndarray, pinned: bool) -> list[int]:
     """A short open path through unit rows: greedy, then 2-opt, of which each sweep takes
     the first better end for each start, all ends at once. The first row stays first."""

@@ -17,6 +17,11 @@ def _files(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    files, path = _files(spark, folder)
+    files.delete(path, True)
+
+
 def _release(manifest: DataFrame, folder: str, version: str) -> None:
     """Write the manifest of a version, whose data must be there."""
     manifest.coalesce(1).write.parquet(f"{folder}/manifests/{version}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave import catalogue_queries as catalogue
 from orbweave.functions import expr, signal, vectors
-from orbweave.operators import knn, map2d, merge, relational, walks
+from orbweave.operators import knn, map2d, merge, paths, relational, rotation, walks
 from orbweave.sources import tables
 
 
@@ -68,17 +68,6 @@ def test_neighbours_and_graph(spark, circle):
     assert graph[10, 1] == 11 and graph[12, 1] == 11 and graph[12, 2] == 13
 
 
-def test_blocks_agree(spark, circle):
-    """More blocks give the same pairs."""
-
-    def pairs(a, b):
-        out = a[["track_id"]].merge(b[["track_id"]], how="cross")
-        return out.set_axis(["x", "y"], axis=1)
-
-    got = {(r["x"], r["y"]) for r in knn.block_pairs(circle, circle, pairs, "x long, y long", block=2).collect()}
-    assert got == {(a, b) for a in range(10, 16) for b in range(10, 16)}
-
-
 def test_walks(spark, circle):
     loose = walks.Constraints(cooldown=0, same_album=True)
     assert [r["track_id"] for r in walks.radio(circle, 10, 4, 0.0, loose).orderBy("step").collect()] == [10, 11, 12, 13]
@@ -88,10 +77,10 @@ def test_walks(spark, circle):
 
 
 def test_graph_path(spark, circle):
-    path = walks.graph_path(knn.knn_graph(circle, 2), circle, 10, 15)
+    path = paths.graph_path(knn.knn_graph(circle, 2), circle, 10, 15)
     assert [r["track_id"] for r in path.orderBy("step").collect()][0] == 10 and path.orderBy(F.desc("step")).head()["track_id"] == 15
-    assert walks.graph_path(knn.knn_graph(circle, 2), circle, 10, 99).count() == 0
-    assert [r["track_id"] for r in walks.graph_path(knn.knn_graph(circle, 2), circle, 10, 10).collect()] == [10]
+    assert paths.graph_path(knn.knn_graph(circle, 2), circle, 10, 99).count() == 0
+    assert [r["track_id"] for r in paths.graph_path(knn.knn_graph(circle, 2), circle, 10, 10).collect()] == [10]
 
 
 def test_queue_order(spark, circle):
@@ -146,7 +135,7 @@ def test_layout_keeps_clusters_apart(spark):
     space = spark.createDataFrame(rows, "track_id long, u array<double>")
     start = space.select("track_id", F.col("u")[0].alias("x"), F.col("u")[2].alias("y"))
     edges = map2d.fuzzy_union(map2d.fuzzy_weights(knn.knn_graph(space, 5), 5))
-    at = {r["track_id"]: (r["x"], r["y"]) for r in map2d.layout(edges, start, epochs=6).collect()}
+    at = {r["track_id"]: (r["x"], r["y"]) for r in rotation.layout(edges, start, epochs=60, sweeps=4).collect()}
     groups = [np.array([at[20 * c + i] for i in range(20)]) for c in range(3)]
     spread = max(np.linalg.norm(g - g.mean(0), axis=1).mean() for g in groups)
     gaps = [np.linalg.norm(groups[i].mean(0) - groups[j].mean(0)) for i, j in ((0, 1), (0, 2), (1, 2))]
@@ -154,10 +143,12 @@ def test_layout_keeps_clusters_apart(spark):
 
 
 def test_layout_repels_at_every_size(spark):
-    start = spark.range(1_000_001).select(F.col("id").alias("track_id"), (F.col("id") % 100 / 100).alias("x"), (F.col("id") % 97 / 97).alias("y"))
-    none = spark.createDataFrame([], "a long, b long, w double")
-    moved = map2d.layout(none, start, epochs=1).join(start.withColumnsRenamed({"x": "sx", "y": "sy"}), "track_id").where("x <> sx or y <> sy").count()
-    assert moved > 990_000
+    """All points of a million move, in as many jobs as the blocks have rounds."""
+    n = 1_000_000
+    start = spark.range(n).select(F.col("id").alias("track_id"), (F.col("id") % 100 / 100).alias("x"), (F.col("id") % 97 / 97).alias("y"))
+    ring = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b"), F.lit(1.0).alias("w"))
+    moved = rotation.layout(ring, start, epochs=2, blocks=4, sweeps=1).join(start.withColumnsRenamed({"x": "sx", "y": "sy"}), "track_id")
+    assert moved.where("x <> sx or y <> sy").count() > 0.99 * n and moved.where("isnan(x) or isnan(y) or abs(x) > 100").count() == 0
 
 
 def test_layout_start_and_epochs(spark):
@@ -165,9 +156,11 @@ def test_layout_start_and_epochs(spark):
     at = {r["track_id"]: (r["x"], r["y"]) for r in map2d.spread_start(points).collect()}
     want = {1: (-10, -10), 2: (10, -10), 3: (10, -10), 4: (0, 10)}
     assert all(at[i] == pytest.approx(want[i], abs=1e-4) for i in want) and len(set(at.values())) == 4
-    assert [map2d.epochs_for(n) for n in (3, 10_000, 10_001, 1_000_001)] == [500, 500, 200, 200]
-    ends = {r["track_id"]: (r["x"], r["y"]) for r in map2d.layout(spark.createDataFrame([(1, 2, 1.0)], "a long, b long, w double"), map2d.spread_start(points), epochs=3).collect()}
-    assert ends[2] != ends[3]
+    assert [rotation.epochs_for(n) for n in (3, 10_000, 10_001, 1_000_001)] == [500, 500, 200, 200]
+    ends = {r["track_id"]: (r["x"], r["y"]) for r in rotation.layout(spark.createDataFrame([(1, 2, 1.0), (1, 4, 0.1)], "a long, b long, w double"), map2d.spread_start(points), epochs=5).collect()}
+    assert ends[2] != ends[3] and ends[1] != at[1] and ends[3] == at[3] and ends[4] == at[4]  # the weak edge is under a fifth
+    with pytest.raises(ValueError):
+        rotation.layout(spark.createDataFrame([], "a long, b long, w double"), points.limit(2))
 
 
 def test_mixed_list_is_whole(spark, tmp_path):

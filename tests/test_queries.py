@@ -33,6 +33,6 @@ def test_matches_sql(spark, sf, con, name):
     assert plain([[r[c] for c in columns] for r in got.collect()]) == plain(rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - {"layout"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_has_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
