@@ -9,6 +9,7 @@ merged many at a time, one numpy row a piece; long ones one by one.
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import re
@@ -23,8 +24,8 @@ from orbweave.llm.common import distinct_parts, gather, map_columns, resident, t
 
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
-#: A worker remembers the ids of so many chunks at most (about 150 bytes each).
-REMEMBERED = 300_000
+#: A worker remembers the ids of chunks, up to so many bytes of both and _EACH for each.
+REMEMBERED_BYTES, _EACH = 24_000_000, 150
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -50,20 +51,21 @@ class Vocabulary:
         self.token_bytes = np.array([len(t) for t in self.tokens], np.int64)
         self.token_flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.token_starts = np.cumsum(self.token_bytes) - self.token_bytes
-        self.pairs: dict[tuple[int, int], int] = {}
-        for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    self.pairs[a, b] = rank
         self._fill_table()
         self.chunks: dict[str, bytes] = {}
+        self.room = REMEMBERED_BYTES
 
     def _fill_table(self) -> None:
         """An open hash table of the pairs, for lookups of many pairs at once."""
-        self.bits = max(12, (4 * len(self.pairs)).bit_length())
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        ranks = np.array(list(self.pairs.values()), np.int64)
+        pairs, merged = array.array("q"), array.array("q")
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs.append(a << 32 | b)
+                    merged.append(rank)
+        keys, ranks = np.array(pairs, np.int64), np.array(merged, np.int64)
+        self.bits = max(12, (4 * len(keys)).bit_length())
         self.slot_key = np.full(1 << self.bits, -1, np.int64)
         self.slot_rank = np.full(1 << self.bits, _NONE, np.int64)
         at = self._slot(keys)
@@ -147,40 +149,47 @@ class Vocabulary:
         ends = (4 * np.cumsum(kept.sum(1))).tolist()
         return [flat_ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """Ids of one piece of any length."""
-        none, n = int(_NONE), len(piece)
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece of any length, in about 50 bytes a byte. A node of the tree is rank and position in one number."""
+        n = len(piece)
         width = 1 << max(0, (n - 1).bit_length())
-        ids = [int(x) for x in self.byte_ids[np.frombuffer(piece, np.uint8)]]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.pairs.get
-        tree = [(none, 0)] * (2 * width)
-        for i in range(n - 1):
-            tree[width + i] = (get((ids[i], ids[i + 1]), none), i)
-        for node in range(width - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-        def put(i: int, rank: int) -> None:
+        start = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rows = np.full(2 * width, _NONE << 22, np.int64) if n < 1 << 22 else np.full(2 * width, np.int64(1 << 62))
+        shift = 22 if n < 1 << 22 else 40
+        first = self.pair_ranks(start[:-1], start[1:])
+        rows[width : width + n - 1] = np.where(first < _NONE, first << shift | np.arange(n - 1), rows[0])
+        level = width
+        while level > 1:
+            rows[level // 2 : level] = np.minimum(rows[level : 2 * level : 2], rows[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, none, low = array.array("q", rows.tobytes()), int(rows[0]), (1 << shift) - 1
+        ids, after, before = (array.array("i", x.astype(np.int32).tobytes()) for x in (start, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        get, tokens = self.ranks.get, self.tokens
+
+        def put(i: int, rank: int | None) -> None:
             node = width + i
-            tree[node] = (rank, i)
+            value = tree[node] = none if rank is None else rank << shift | i
             while node > 1:
+                other = tree[node ^ 1]
                 node >>= 1
-                tree[node] = min(tree[2 * node], tree[2 * node + 1])
+                value = value if value < other else other
+                if tree[node] == value:
+                    break
+                tree[node] = value
 
-        while tree[1][0] < none:
-            rank, i = tree[1]
+        while tree[1] < none:
+            rank, i = tree[1] >> shift, tree[1] & low
             j = after[i]
             k, h = after[j], before[i]
             ids[i], ids[j], after[i] = rank, -1, k
-            put(j, none)
+            put(j, None)
             if k < n:
                 before[k] = i
-                put(i, get((rank, ids[k]), none))
-            else:
-                put(i, none)
+            put(i, get(tokens[rank] + tokens[ids[k]]) if k < n else None)
             if h >= 0:
-                put(h, get((ids[h], rank), none))
-        return [x for x in ids if x >= 0]
+                put(h, get(tokens[ids[h]] + tokens[rank]))
+        out = np.frombuffer(ids, np.int32)
+        return out[out >= 0].astype("<u4")
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -191,7 +200,7 @@ class Vocabulary:
             if whole is not None:
                 out[at] = whole.to_bytes(4, "little")
             elif len(piece) > WIDE:
-                out[at] = np.array(self.merge_long(piece), "<u4").tobytes()
+                out[at] = self.merge_long(piece).tobytes()
             elif piece:
                 short.setdefault(1 << (len(piece) - 1).bit_length(), []).append(at)
         for width, places in short.items():
@@ -222,8 +231,11 @@ class Vocabulary:
         keys, known = chunks + first, self.chunks
         new = list(set(keys) - known.keys())
         fresh = dict(zip(new, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in new]), strict=True))
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
+        for chunk, own in fresh.items():
+            self.room -= len(chunk) + len(own) + _EACH
+            if self.room < 0:
+                break
+            known[chunk] = own
         ids = [fresh[c] if c in fresh else known[c] for c in keys]
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         flat, ends = gather(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
