@@ -26,7 +26,7 @@ SMOOTHING = 0.1
 #: Words of up to so many bytes are scored together.
 WIDE = 64
 #: A worker remembers the scores of so many words at most.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64_000_000
+REMEMBERED, REMEMBERED_BYTES = 150_000, 32_000_000
 #: Nats a byte that are added in the forward pass, to stay within the range of doubles.
 _LIFT = 6.0
 
