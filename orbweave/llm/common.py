@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Text is handed on in slices of about so many characters, so that a batch of
 #: very long texts needs no more memory than a batch of short ones.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 #: Bytes of one Arrow batch that goes to a worker, where the session has Spark's default (64 MB):
