@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions import expr, signal, vectors
-from orbweave.operators import cells, knn, map2d, merge, relational, rotation, walks
-from orbweave.plans.derived import Navigator, files_version
+from orbweave.operators import cells, knn, map2d, map_index, merge, relational, rotation, walks
+from orbweave.plans.derived import Navigator, files_version, map_of
 from orbweave.plans.space import BLOCKED, WIDTH, space
 from orbweave.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from orbweave.session import checkpointed, shared_folder, table
@@ -366,6 +366,11 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
+def indexed_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, map_index.Grid]:
+    """The points in the order of the map's curve, kept in the shared folder."""
+    return map_of(_points(spark, sf_dir), f"{shared_folder(spark)}/derived", files_version(spark, f"{sf_dir}/embeddings.parquet"))
+
+
 _POINTS = "WITH points AS (SELECT vec_id AS track_id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings)"
 
 
@@ -387,7 +392,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POINTS + " SELECT track_id, round(sqrt(x * x + y * y), 9) AS distance FROM points WHERE sqrt(x * x + y * y) < 0.2 ORDER BY x * x + y * y, track_id LIMIT 1")
 def nearest_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map2d.nearest_in_radius(_points(spark, sf_dir), 0.0, 0.0, 0.2)
+    return map_index.nearest(*indexed_points(spark, sf_dir), 0.0, 0.0, 0.2)
 
 
 @query(f"""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.functions.selection import finite, medians
+
 TINY = 1e-9
 
 # The blocks of a space in order, and their weights.
@@ -80,15 +82,10 @@ def project(v: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
     return F.array(*[dot(centred, F.lit(a.tolist())) for a in axes])
 
 
-def finite(x: Column) -> Column:
-    """The value, null unless finite."""
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
-
-
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Medians of the finite values for missing ones; 0 where there are none at all."""
-    medians = df.agg(*[F.median(finite(F.col(c))).alias(c) for c in columns]).head()
-    return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(medians[c]), F.lit(0.0)) for c in columns})
+    middle = medians(df, columns)
+    return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(middle[c]).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def normalise_block(df: DataFrame, columns: list[str], out: str) -> DataFrame:

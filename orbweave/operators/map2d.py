@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from orbweave.operators.relational import numbered
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def bounds(points: DataFrame) -> DataFrame:
 def first_seen_codes(rows: DataFrame, column: str, place: str) -> DataFrame:
     """A number from 0 for each value, in order of first appearance."""
     firsts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(place).alias("first"))
-    return firsts.withColumn("code", F.row_number().over(Window.orderBy("first")) - 1)
+    return numbered(firsts, ["first", column], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def legend(rows: DataFrame, column: str, place: str) -> DataFrame:
@@ -63,17 +64,6 @@ def grid(points: DataFrame) -> DataFrame:
     return points.withColumns({"cell_x": cell("x"), "cell_y": cell("y")})
 
 
-def within(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    return points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-
-
-def nearest_in_radius(points: DataFrame, x: float, y: float, radius: float) -> DataFrame:
-    """The nearest point closer than the radius, if there is one."""
-    d2 = (F.col("x") - x) ** 2 + (F.col("y") - y) ** 2
-    near = within(points, x - radius, y - radius, x + radius, y + radius).withColumn("d2", d2).where(F.col("d2") < radius * radius)
-    return near.orderBy("d2", "track_id").limit(1).select("track_id", F.round(F.sqrt("d2"), 9).alias("distance"))
-
-
 def memberships(dist: np.ndarray, k: int) -> np.ndarray:
     """exp(-(dist - rho) / sigma) by row, for rows of distances that are padded with
     NaN: rho is the row's first positive distance, sigma such that all but one of the

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import knn, paths
+from orbweave.operators import knn, map_index, paths
 from orbweave.plans.assemble import reweighted
 from orbweave.sources.tables import _files, removed
 
@@ -41,13 +41,13 @@ def files_version(spark: SparkSession, folder: str) -> str:
     return digest(*sorted([s.getPath().getName(), s.getLen(), s.getModificationTime()] for s in listed))
 
 
-def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """The table of a key, and whether it was made now."""
+def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """The table of a key, in folders by some columns, and whether it was made now."""
     files, path = _files(spark, f"{folder}/{key}")
     if files.exists(path):
         return spark.read.parquet(f"{folder}/{key}"), False
     beside = f"{folder}/.making-{uuid.uuid4().hex}"
-    make().write.parquet(beside)
+    make().write.partitionBy(*by).parquet(beside)
     _, made = _files(spark, beside)
     files.mkdirs(path.getParent())
     if files.exists(path) or not files.rename(made, path):
@@ -55,6 +55,15 @@ def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFram
     return spark.read.parquet(f"{folder}/{key}"), True
 
 
+def map_of(points: DataFrame, folder: str, version: str) -> tuple[DataFrame, map_index.Grid]:
+    """The map index of a version's points (track_id, x, y), and its grid."""
+    spark, key = points.sparkSession, digest("map", version, map_index.CELL_POINTS, map_index.TILES)
+    meta, _ = kept(spark, folder, f"grid-{key}", lambda: spark.createDataFrame([tuple(vars(map_index.grid_for(points)).values())], "min_x double, min_y double, max_x double, max_y double, level int").coalesce(1))
+    grid = map_index.Grid(**meta.head().asDict())
+    index, _ = kept(spark, folder, f"map-{key}", lambda: map_index.indexed(points, grid), ("tile",))
+    return index, grid
+
+
 class Navigator:
     """A space to ask for neighbours and paths. rows: track_id, artist_id, album_id, bpm and vec of a
     version, with blocks (name, start, end, weight). `made` counts what was built, by name."""

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.catalogue_queries import indexed_points
 from orbweave.functions import expr, vectors
-from orbweave.operators import crawl, map2d, merge, relational
+from orbweave.operators import crawl, map2d, map_index, merge, relational
 from orbweave.plans.space import space
 from orbweave.registry import query
 from orbweave.session import checkpointed, table
@@ -284,8 +285,7 @@ def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id AS track_id FROM embeddings WHERE embedding[1]::double BETWEEN -0.1 AND 0.1 AND embedding[2]::double BETWEEN -0.1 AND 0.1")
 def map_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return map2d.within(points, -0.1, -0.1, 0.1, 0.1).select("track_id")
+    return map_index.rectangle(*indexed_points(spark, sf_dir), -0.1, -0.1, 0.1, 0.1).select("track_id")
 
 
 @query("""
