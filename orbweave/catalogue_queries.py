@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions import expr, signal, vectors
-from orbweave.operators import cells, knn, map2d, map_index, merge, relational, rotation, walks
-from orbweave.plans.derived import Navigator, files_version, map_of
+from orbweave.operators import cells, knn, map2d, map_index, merge, relational, rotation, search, walks
+from orbweave.plans.derived import Navigator, files_version, map_of, search_index
 from orbweave.plans.space import BLOCKED, WIDTH, space
 from orbweave.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from orbweave.session import checkpointed, shared_folder, table
@@ -315,14 +315,18 @@ WITH found AS (SELECT p_partkey, p_brand, p_name, CASE WHEN starts_with(lower(p_
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, brand = F.col("p_name"), F.col("p_brand")
-    return table(spark, sf_dir, "part").where(expr.all_terms("1 B", name, brand)).select("p_partkey", "p_brand", "p_name", expr.starts_rank("1 B", name, brand).alias("rank"))
+    return part_index(spark, sf_dir, "p_name", "p_brand").search("1 B")
+
+
+def part_index(spark: SparkSession, sf_dir: str, *fields: str) -> search.Index:
+    """The grams of parts' texts, kept in the shared folder."""
+    return search_index(table(spark, sf_dir, "part"), "p_partkey", list(fields), f"{shared_folder(spark)}/derived", files_version(spark, f"{sf_dir}/part.parquet"))
 
 
 @query(_FOUND + " SELECT p_partkey, rank, (SELECT count(*) FROM found) AS total FROM found ORDER BY rank, p_partkey LIMIT 720")
 def search_terms_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
-    return found.select("p_partkey", "rank").orderBy("rank", "p_partkey").limit(720).withColumn("total", F.lit(found.count()).cast("long"))
+    found = checkpointed(_found(spark, sf_dir).select("p_partkey", "rank"))
+    return found.orderBy("rank", "p_partkey").limit(720).withColumn("total", F.lit(found.count()).cast("long"))
 
 
 @query(_FOUND + " SELECT p_brand, min(rank) AS rank, min(p_partkey) AS place, count(*) AS n, arg_min(p_name, p_partkey) AS label FROM found GROUP BY p_brand")

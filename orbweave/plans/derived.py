@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import knn, map_index, paths
+from orbweave.operators import knn, map_index, paths, search
 from orbweave.plans.assemble import reweighted
 from orbweave.sources.tables import _files, removed
 
@@ -64,6 +64,15 @@ def map_of(points: DataFrame, folder: str, version: str) -> tuple[DataFrame, map
     return index, grid
 
 
+def search_index(rows: DataFrame, key: str, fields: list[str], folder: str, version: str) -> search.Index:
+    """What a version's rows are searched by: a row for each key, with text fields."""
+    spark, of = rows.sparkSession, digest("search", version, key, fields, search.GRAM)
+    own, _ = kept(spark, folder, f"texts-{of}", lambda: rows.select(key, *fields).repartitionByRange(key).sortWithinPartitions(key))
+    index, _ = kept(spark, folder, f"grams-{of}", lambda: search.postings(own, key, fields))
+    counts, _ = kept(spark, folder, f"counts-{of}", lambda: search.counted(index))
+    return search.Index(own, index, counts, key, fields)
+
+
 class Navigator:
     """A space to ask for neighbours and paths. rows: track_id, artist_id, album_id, bpm and vec of a
     version, with blocks (name, start, end, weight). `made` counts what was built, by name."""

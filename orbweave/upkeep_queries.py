@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.catalogue_queries import indexed_points
+from orbweave.catalogue_queries import indexed_points, part_index
 from orbweave.functions import expr, vectors
 from orbweave.operators import crawl, map2d, map_index, merge, relational
 from orbweave.plans.space import space
@@ -279,8 +279,8 @@ def resolve_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, left(p_brand, 4) AS year FROM part WHERE contains(lower(p_name), 'e') AND contains(lower(p_name), 't')")
 def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "part").where(expr.all_terms(" E T ", F.col("p_name")))
-    return found.select("p_partkey", expr.year_label(F.col("p_brand")).alias("year"))
+    found = part_index(spark, sf_dir, "p_name").search(" E T ").select("p_partkey")
+    return table(spark, sf_dir, "part").join(found, "p_partkey").select("p_partkey", expr.year_label(F.col("p_brand")).alias("year"))
 
 
 @query("SELECT vec_id AS track_id FROM embeddings WHERE embedding[1]::double BETWEEN -0.1 AND 0.1 AND embedding[2]::double BETWEEN -0.1 AND 0.1")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import selection
-from orbweave.operators import map_index
+from orbweave.operators import map_index, search
 from orbweave.plans import derived
 
 
@@ -94,3 +94,22 @@ def test_map_index_reads_little(spark, tmp_path):
     files = lambda df: df.select(F.input_file_name().alias("f")).distinct().count()
     assert part.count() == points.where("x between 0.2 and 0.25 and y between 0.2 and 0.25").count()
     assert 0 < files(part) < files(index) / 4
+
+
+def test_search(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    words = ["Blue", "bluebird", "ÄRGER", "a", "of", "the", "Night", "nightly", "x-ray", "日本", None]
+    some = lambda: None if rng.random() < 0.1 else " ".join(w for w in (rng.choice(words) for _ in range(rng.randint(0, 4))) if w)
+    rows = [(i, some(), some()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, title string, artist string").repartition(3)
+    index = derived.search_index(df, "id", ["title", "artist"], str(tmp_path), "v")
+    for query in ("", "blue", "BLUE night", "a", "of th", "ärg", "rd", "bluebirds", "zz", "bluenight", "-r 日", "nightl blueb", "night night"):
+        terms = query.lower().split()
+        fields = [[(f or "").lower() for f in r[1:]] for r in rows]
+        want = sorted((r[0], 0 if terms and any(f.startswith(terms[0]) for f in own) else 1) for r, own in zip(rows, fields, strict=True) if all(any(t in f for f in own) for t in terms))
+        for few in (1000, 3):
+            monkeypatch.setattr(search, "LOOKED_UP", few)
+            assert sorted((r["id"], r["rank"]) for r in index.search(query).collect()) == want, query
+    plan = index.candidates("bluebird night")._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "gram" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert search.needed("ab abcd AB") == [["ab"], ["abc", "bcd"]] and derived.search_index(df.limit(0), "id", ["title"], str(tmp_path), "w").search("a").count() == 0
