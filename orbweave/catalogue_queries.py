@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions import expr, signal, vectors
-from orbweave.operators import cells, knn, map2d, map_index, merge, relational, rotation, search, walks
+from orbweave.operators import cells, knn, many_walks, map2d, map_index, merge, relational, rotation, search, walks
 from orbweave.plans.derived import Navigator, files_version, map_of, search_index
 from orbweave.plans.space import BLOCKED, WIDTH, space
 from orbweave.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -472,6 +472,18 @@ def radio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.radio(checkpointed(space(spark, sf_dir)), 0, 12)
 
 
+@query(f"""
+WITH RECURSIVE {_SPACE}, walk AS (SELECT 0 AS step, track_id AS start, track_id, NULL::double AS similarity, {_START}, u AS last FROM space WHERE artist_id <> {BLOCKED}
+  UNION ALL SELECT * FROM (SELECT step + 1, start, s.track_id, round({_cosine("last")} - 0.1 * len(list_filter(artists, lambda a: a = s.artist_id)), 9) AS score, {_ON}, s.u
+    FROM walk, space s WHERE {_ALLOWED} AND step < 5 QUALIFY row_number() OVER (PARTITION BY start ORDER BY score DESC, s.track_id) = 1))
+SELECT start, step::int AS step, track_id, similarity FROM walk""")
+def radios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A radio from each row that isn't blocked, all at once."""
+    nav = navigator(spark, sf_dir, 64)
+    rows = nav.visible()
+    return many_walks.radios(rows, many_walks.candidates(nav.graph(), rows, 64), rows, 6)
+
+
 @query(f"""
 WITH RECURSIVE {_SPACE}, ends AS (SELECT x.u AS a, y.u AS b FROM space x, space y WHERE x.track_id = 0 AND y.track_id = 101 AND x.artist_id <> {BLOCKED} AND y.artist_id <> {BLOCKED}),
 {_towards(6, "s.track_id <> 101")}
@@ -490,12 +502,12 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.drift(rows, 0, target, 8)
 
 
-def navigator(spark: SparkSession, sf_dir: str) -> Navigator:
+def navigator(spark: SparkSession, sf_dir: str, k: int = 16) -> Navigator:
     """The space with what is kept of it in the shared folder."""
     rows = space(spark, sf_dir, blocked=False).drop("u")
     width = WIDTH // len(vectors.BLOCKS)
     blocks = [(name, i * width, (i + 1) * width, weight) for i, (name, weight) in enumerate(zip(vectors.BLOCKS, vectors.WEIGHTS, strict=True))]
-    out = Navigator(rows, blocks, files_version(spark, f"{sf_dir}/embeddings.parquet"), f"{shared_folder(spark)}/derived")
+    out = Navigator(rows, blocks, files_version(spark, f"{sf_dir}/embeddings.parquet"), f"{shared_folder(spark)}/derived", k)
     out.set_blocked(spark.createDataFrame([(BLOCKED,)], "artist_id long"))
     return out
 

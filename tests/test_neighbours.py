@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import vectors
-from orbweave.operators import cells, knn, paths, rotation
+from orbweave.operators import cells, knn, many_walks, paths, rotation, walks
 from orbweave.plans import derived
 
 
@@ -183,3 +183,18 @@ def test_descent_pulls_and_pushes():
     for x in twice:
         rotation.descend(x, np.array([0, 1]), np.array([1, 2]), np.array([1.0, 0.3]), 0, 30, 30, (1.577, 0.895), 5, 1.0, np.random.default_rng(5))
     assert (twice[0] == twice[1]).all()
+
+
+@pytest.mark.parametrize(("k", "penalty", "rules"), [(30, 0.1, {}), (3, 0.3, {"exclude": [4, 5], "cooldown": 2}), (5, 0.0, {"cooldown": 0, "same_album": True, "max_bpm_step": 6.0})])
+def test_radios(spark, k, penalty, rules):
+    """All at once as one by one, whether the graph has enough neighbours or not."""
+    v = clustered(11, 6, 10, 6)
+    rows = spark.createDataFrame([(i, None if i == 7 else i % 9 - 1, i // 4, None if i == 3 else float(i % 20), x.tolist()) for i, x in enumerate(v)], "track_id long, artist_id long, album_id long, bpm double, u array<double>").repartition(3).cache()
+    own, report = walks.Constraints(**rules), {}
+    near = many_walks.candidates(knn.knn_graph(rows, k), rows, k)
+    got = {}
+    for r in many_walks.radios(rows.where("track_id % 13 = 0").unionByName(rows.where("track_id = 7")), near, rows, 6, penalty, own, report).orderBy("start", "step").collect():
+        got.setdefault(r["start"], []).append((r["step"], r["track_id"], r["similarity"]))
+    assert set(got) == {7, *range(0, 60, 13)} and (report["scanned"] > 0) == (k < 30)
+    for start, walk in got.items():
+        assert walk == [tuple(r) for r in walks.radio(rows, start, 6, penalty, own).orderBy("step").collect()]
