@@ -1,21 +1,18 @@
-"""The crawl's frontier over edge tables, one distance a round.
+"""The crawl's frontier over edge tables; `streaming.crawl_log` has the crawl itself.
 
 frontier: kind ('artist' or 'album'), ref_id (string), priority (the distance) and
 state (pending, done, skipped or failed). An artist hands its distance on to its
 albums and one more to similar artists, an album hands its own to its tracks;
-entries go by distance, artists before albums. Each round is a few joins.
+entries go by distance, artists before albums.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.relational import running_total
-from orbweave.session import checkpointed
-
 ENTRY = ["kind", "ref_id"]
 
 
@@ -53,67 +50,6 @@ def blocked_entries(frontier: DataFrame, blocked: DataFrame, albums: DataFrame)
     return every.join(blocked.select("artist_id").distinct(), "artist_id", "left_semi").select(*ENTRY)
 
 
-def _entries(kind: str, ids: DataFrame, column: str, priority: Column) -> DataFrame:
-    return ids.select(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("ref_id"), priority.cast("long").alias("priority"))
-
-
-def _level(frontier: DataFrame, kinds: Column, distance: int, blocked: DataFrame, sources: Sources) -> tuple[DataFrame, DataFrame]:
-    """The frontier with what this distance's pending entries come to, and those expanded."""
-    due = checkpointed(frontier.where((F.col("state") == "pending") & (F.col("priority") == distance) & kinds).select(*ENTRY))
-    skipped = blocked_entries(due, blocked, sources.albums)
-    failed = due.where((F.col("kind") == "artist") & F.col("ref_id").try_cast("long").isNull())
-    if sources.dead is not None:
-        failed = failed.unionByName(due.join(sources.dead.select(*ENTRY), ENTRY, "left_semi"))
-    failed = failed.join(skipped, ENTRY, "left_anti")
-    expanded = checkpointed(due.join(skipped, ENTRY, "left_anti").join(failed, ENTRY, "left_anti"))
-    for entries, state in ((skipped, "skipped"), (failed, "failed"), (expanded, "done")):
-        frontier = mark(frontier, entries, state)
-    return frontier, expanded
-
-
-def crawl(frontier: DataFrame, tracks: DataFrame, blocked: DataFrame, sources: Sources, max_distance: int, max_tracks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The frontier and the tracks (track_id, album_id, seed_distance) after a crawl.
-
-    Entries beyond `max_distance` are skipped. With `max_tracks` an album is only
-    expanded while there are fewer tracks, counted album by album in the order of
-    ref_id; what is left stays pending. A track keeps its least distance.
-    """
-    frontier, tracks = checkpointed(frontier), checkpointed(tracks.select("track_id", "album_id", "seed_distance"))
-    while (max_tracks is None or tracks.count() < max_tracks) and (row := frontier.where("state = 'pending'").agg(F.min("priority")).head()) and row[0] is not None:
-        distance = row[0]
-        if distance > max_distance:
-            frontier = checkpointed(mark(frontier, frontier.where("state = 'pending'"), "skipped"))
-            break
-        frontier, artists = _level(frontier, F.col("kind") != "album", distance, blocked, sources)
-        own = artists.where("kind = 'artist'").select(F.col("ref_id").cast("long").alias("artist_id"))
-        asked = _entries("album", sources.artist_albums.join(own, "artist_id", "left_semi"), "album_id", F.lit(distance))
-        if distance < max_distance:
-            near = sources.similar.join(own, "artist_id", "left_semi").select(F.col("similar_id").alias("artist_id"))
-            asked = asked.unionByName(_entries("artist", near.join(blocked.select("artist_id"), "artist_id", "left_anti"), "artist_id", F.lit(distance + 1)))
-        frontier = checkpointed(enqueue(frontier, asked))
-        before, allowed = frontier, F.lit(True)
-        if max_tracks is not None:
-            pending = before.where((F.col("state") == "pending") & (F.col("priority") == distance) & (F.col("kind") == "album")).select("ref_id")
-            pending = pending.join(blocked_entries(before, blocked, sources.albums).where("kind = 'album'"), "ref_id", "left_anti")
-            new = sources.album_tracks.select(F.col("album_id").cast("string").alias("ref_id"), "track_id").join(tracks, "track_id", "left_anti")
-            counts = pending.join(new.groupBy("ref_id").agg(F.count("*").alias("n")), "ref_id", "left").fillna(0, ["n"])
-            late = running_total(counts, ["ref_id"], "n", "upto").where(F.col("upto") - F.col("n") + tracks.count() >= max_tracks)
-            late = checkpointed(late.select(F.lit("album").alias("kind"), "ref_id"))
-            before, allowed = before.join(late, ENTRY, "left_anti"), None
-        after, albums = _level(before, F.col("kind") == "album", distance, blocked, sources)
-        stopped = False
-        if allowed is None:
-            stopped = not late.isEmpty()
-            after = after.unionByName(frontier.join(late, ENTRY, "left_semi"))
-        frontier = checkpointed(after)
-        found = sources.album_tracks.join(albums.select(F.col("ref_id").alias("_album")), F.col("album_id").cast("string") == F.col("_album"), "left_semi")
-        found = found.select("track_id", "album_id", F.lit(distance).cast("long").alias("seed_distance"))
-        tracks = checkpointed(tracks.unionByName(found).groupBy("track_id").agg(F.min_by("album_id", "seed_distance").alias("album_id"), F.min("seed_distance").alias("seed_distance")))
-        if stopped:
-            break
-    return frontier, tracks
-
-
 def stats(frontier: DataFrame) -> DataFrame:
     """(outcome, n): artists and albums expanded, entries skipped and failed."""
     outcome = (

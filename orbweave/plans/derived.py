@@ -37,8 +37,7 @@ def set_digest(ids: DataFrame, column: str) -> str:
 def files_version(spark: SparkSession, folder: str) -> str:
     """A digest of a table's files: their names, lengths and times."""
     files, path = _files(spark, folder)
-    listed = files.listStatus(path)
-    return digest(*sorted([s.getPath().getName(), s.getLen(), s.getModificationTime()] for s in listed))
+    return digest(folder, *sorted([s.getPath().getName(), s.getLen(), s.getModificationTime()] for s in files.listStatus(path)))
 
 
 def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:

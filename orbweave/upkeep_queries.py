@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from orbweave.catalogue_queries import indexed_points, part_index
 from orbweave.functions import expr, vectors
 from orbweave.operators import crawl, map2d, map_index, merge, relational
+from orbweave.plans.derived import digest, files_version
 from orbweave.plans.space import space
 from orbweave.registry import query
-from orbweave.session import checkpointed, table
+from orbweave.session import checkpointed, shared_folder, table
 from orbweave.sources import tables
+from orbweave.streaming import crawl_log
 
 # --- payloads ------------------------------------------------------------
 
@@ -156,32 +158,37 @@ artists AS (SELECT id, min(d) AS d FROM reach GROUP BY id), open_ AS (SELECT * F
 found AS (SELECT o_orderkey AS id, d, o_custkey FROM orders JOIN open_ ON o_custkey = open_.id)"""
 
 
-def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _crawled(spark: SparkSession, sf_dir: str) -> crawl_log.CrawlLog:
+    """The crawl's log in the shared folder; a crawl that is there goes on, or is at its end."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     n = customers.count()
     near = customers.select(F.col("c_custkey").alias("artist_id"), F.explode(F.array(*(F.col("c_custkey") * k % n + 1 for k in (3, 5)))).alias("similar_id"))
     albums = orders.select(F.col("o_custkey").alias("artist_id"), F.col("o_orderkey").alias("album_id"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("album_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"))
-    seeds = customers.where("c_custkey % 37 = 0").select(F.lit("artist").alias("kind"), F.col("c_custkey").cast("string").alias("ref_id"), F.lit(0).cast("long").alias("priority"), F.lit("pending").alias("state"))
-    tracks = items.limit(0).select("track_id", "album_id", F.lit(0).cast("long").alias("seed_distance"))
-    return crawl.crawl(seeds, tracks, _blocked(spark, sf_dir), crawl.Sources(albums, near, albums, items), 2)
+    seeds = customers.where("c_custkey % 37 = 0").select(F.lit("artist").alias("kind"), F.col("c_custkey").cast("string").alias("ref_id"), F.lit(0).cast("long").alias("priority"))
+    version = digest("crawl", *(files_version(spark, f"{sf_dir}/{name}.parquet") for name in ("customer", "orders", "lineitem")))
+    log = crawl_log.CrawlLog(spark, f"{shared_folder(spark)}/derived/crawl-{version}")
+    if not log.rounds():
+        crawl_log.seed(log, seeds)
+    crawl_log.run(log, _blocked(spark, sf_dir), crawl.Sources(albums, near, albums, items), 2)
+    return log
 
 
 @query(_CRAWL + """ SELECT 'artist' AS kind, id::varchar AS ref_id, d::bigint AS priority, CASE WHEN id IN (FROM blocked) THEN 'skipped' ELSE 'done' END AS state FROM artists
   UNION ALL SELECT 'album', id::varchar, d, 'done' FROM found""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawled(spark, sf_dir)[0].select("kind", "ref_id", "priority", "state")
+    return _crawled(spark, sf_dir).entries()
 
 
 @query(_CRAWL + " SELECT DISTINCT l_orderkey * 10 + l_linenumber AS track_id, l_orderkey AS album_id, d::bigint AS seed_distance FROM lineitem JOIN found ON id = l_orderkey")
 def crawl_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawled(spark, sf_dir)[1]
+    return _crawled(spark, sf_dir).tracks().withColumn("album_id", F.col("album_id").cast("long"))
 
 
 @query(_CRAWL + """ SELECT outcome, n FROM (SELECT 'artists_expanded' AS outcome, count(*) AS n FROM open_ UNION ALL SELECT 'albums_expanded', count(*) FROM found
   UNION ALL SELECT 'blocked_skipped', count(*) FROM artists WHERE id IN (FROM blocked)) WHERE n > 0""")
 def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.stats(_crawled(spark, sf_dir)[0])
+    return crawl.stats(_crawled(spark, sf_dir).entries())
 
 
 # --- changes -------------------------------------------------------------

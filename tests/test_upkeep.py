@@ -1,10 +1,13 @@
 """The crawl, changes to the catalogue and payload columns on small inputs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import expr
 from orbweave.operators import crawl, merge, relational
+from orbweave.streaming import crawl_log
 
 
 def one(spark, column):
@@ -63,7 +66,7 @@ def plain_crawl(seeds, albums, similar, items, blocked, dead, far, most):
 
 
 @pytest.mark.parametrize(("far", "most"), [(2, None), (0, None), (2, 14), (5, 22)])
-def test_crawl(spark, far, most):
+def test_crawl(spark, tmp_path, monkeypatch, far, most):
     albums = [(a, f"b{a}{i}") for a in range(12) for i in range(a % 3 + 1)]
     similar = [(a, (a * 3 + 1) % 12) for a in range(12)] + [(a, (a + 5) % 12) for a in range(12)]
     items = [(b, 100 * a + int(b[-1]) * 10 + i) for a, b in albums for i in range(3)]
@@ -72,12 +75,48 @@ def test_crawl(spark, far, most):
         spark.createDataFrame(albums, "artist_id long, album_id string"), spark.createDataFrame(similar, "artist_id long, similar_id long"), spark.createDataFrame([(b, a) for a, b in albums], "album_id string, artist_id long"),
         spark.createDataFrame(items, "album_id string, track_id long"), spark.createDataFrame(list(dead), "kind string, ref_id string"),
     )
-    start = spark.createDataFrame([(*e, 0, "pending") for e in seeds], FRONTIER)
-    none = spark.createDataFrame([], "track_id long, album_id string, seed_distance long")
-    frontier, tracks = crawl.crawl(start, none, spark.createDataFrame([(b,) for b in blocked], "artist_id long"), sources, far, most)
+    log, gone = crawl_log.CrawlLog(spark, str(tmp_path)), spark.createDataFrame([(b,) for b in blocked], "artist_id long")
+    crawl_log.seed(log, spark.createDataFrame([(*e, 0) for e in seeds], "kind string, ref_id string, priority long"))
+    monkeypatch.setattr(crawl_log, "MANY", 3)
+    whole, cut = crawl_log.CrawlLog.commit, iter(range(100))
+
+    def stopped(self, frontier, *rest, **kw):
+        """Every other round stops half way: its data is written in part and never committed."""
+        if next(cut) % 2:
+            frontier.write.parquet(f"{self.folder}/.making-stopped{time.time_ns()}/frontier")
+            raise RuntimeError("stopped")
+        whole(self, frontier, *rest, **kw)
+
+    monkeypatch.setattr(crawl_log.CrawlLog, "commit", stopped)
+    for _ in range(40):
+        try:
+            crawl_log.run(crawl_log.CrawlLog(spark, str(tmp_path)), gone, sources, far, most)
+            break
+        except RuntimeError:
+            pass
+    monkeypatch.setattr(crawl_log.CrawlLog, "commit", whole)
     want, found = plain_crawl(seeds, albums, similar, items, blocked, dead, far, most)
-    assert {(r["kind"], r["ref_id"], r["priority"], r["state"]) for r in frontier.collect()} == want
-    assert {r["track_id"]: r["seed_distance"] for r in tracks.collect()} == found
+    for _ in range(2):
+        assert {(r["kind"], r["ref_id"], r["priority"], r["state"]) for r in log.entries().collect()} == want
+        assert {r["track_id"]: r["seed_distance"] for r in log.tracks().collect()} == found
+        log.compact()
+        log.clean()
+        assert len(log.rounds()) == 1 and [p.name for p in tmp_path.iterdir()] == ["rounds"]
+
+
+def test_crawl_log_conflicts_and_lesser_priorities(spark, tmp_path):
+    log = crawl_log.CrawlLog(spark, str(tmp_path))
+    entry = lambda *rows: spark.createDataFrame(rows, "kind string, ref_id string, priority long")
+    assert log.entries().count() == 0 == log.tracks().count()
+    crawl_log.seed(log, entry(("artist", "7", 3), ("artist", "8", 1), ("artist", "7", 2)))
+    crawl_log.seed(log, entry(("artist", "7", 1), ("artist", "8", 4)))
+    assert sorted(map(tuple, log.entries().collect())) == [("artist", "7", 1, "pending"), ("artist", "8", 1, "pending")]
+    assert log.entries(2).count() == 0 and "PartitionFilters: [isnotnull(priority" in log.entries(2)._jdf.queryExecution().toString()
+    other, at = crawl_log.CrawlLog(spark, str(tmp_path)), log.next_round()
+    log.commit(entry(("artist", "7", 1)).withColumn("state", F.lit("done")), None, at)
+    with pytest.raises(crawl_log.Conflict):
+        other.commit(entry(("artist", "7", 1)).withColumn("state", F.lit("failed")), None, at)
+    assert {r["state"] for r in log.entries(1).where("ref_id = '7'").collect()} == {"done"} and len(list((tmp_path / "rounds").iterdir())) == 3
 
 
 def test_upsert_with_any_order(spark):
