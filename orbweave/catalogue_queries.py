@@ -174,10 +174,13 @@ def slim_catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", expr.json_number(F.col("props"), "$.k").alias("k"), expr.slim_json(F.col("props"), "k").alias("slim"))
 
 
-@query("SELECT a AS start, b AS target, i AS place, CASE WHEN i = a THEN b WHEN a < i AND i <= b THEN i - 1 WHEN b <= i AND i < a THEN i + 1 ELSE i END AS moved FROM range(7) x(a), range(7) y(b), range(7) z(i)")
+@query("""SELECT event_id, event_id % 7 AS start, user_id % 7 AS target, event_id // 7 % 7 AS place,
+  CASE WHEN event_id // 7 % 7 = event_id % 7 THEN user_id % 7 WHEN event_id % 7 < event_id // 7 % 7 AND event_id // 7 % 7 <= user_id % 7 THEN event_id // 7 % 7 - 1
+    WHEN user_id % 7 <= event_id // 7 % 7 AND event_id // 7 % 7 < event_id % 7 THEN event_id // 7 % 7 + 1 ELSE event_id // 7 % 7 END AS moved FROM events""")
 def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")))
-    cells = spark.range(1).select(n.alias("start")).select("*", n.alias("target")).select("*", n.alias("place"))
+    """Each event moves the item at `start` of a list of seven to `target`; where is the one at `place` then?"""
+    e = table(spark, sf_dir, "events")
+    cells = e.select("event_id", (F.col("event_id") % 7).alias("start"), (F.col("user_id") % 7).alias("target"), (F.floor(F.col("event_id") / 7) % 7).alias("place"))
     return cells.withColumn("moved", expr.moved_index(F.col("place"), F.col("start"), F.col("target")))
 
 
@@ -409,7 +412,19 @@ def fuzzy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map2d.fuzzy_union(graph.select("src", "dst", (1.0 / F.col("rank")).alias("w"))).withColumn("w", F.round("w", 6))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SPACE}, pairs AS (SELECT a.track_id AS src, b.track_id AS dst, list_dot_product(a.u, b.u) AS similarity FROM space a, space b WHERE a.track_id <> b.track_id),
+near AS (SELECT src, dst, greatest(1 - similarity, 0) AS d FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst) <= 15),
+rows AS (SELECT src, coalesce(min(d) FILTER (d > 0), 0) AS rho, avg(d) AS mean, list(d) AS ds FROM near GROUP BY src),
+gaps AS (SELECT src, rho, mean, list_transform(ds, lambda d: d - rho) AS gs FROM rows),
+halved AS (SELECT src, 0 AS i, 0::double AS low, 'inf'::double AS high, 1::double AS sigma, list_sum(list_transform(gs, lambda g: CASE WHEN g > 0 THEN exp(-g) ELSE 1 END)) - log2(16) AS over FROM gaps
+  UNION ALL SELECT src, i, low, high, next, list_sum(list_transform(gs, lambda g: CASE WHEN g > 0 THEN exp(-g / next) ELSE 1 END)) - log2(16)
+  FROM (SELECT src, i + 1 AS i, CASE WHEN over > 0 THEN low ELSE sigma END AS low, CASE WHEN over > 0 THEN sigma ELSE high END AS high,
+      CASE WHEN over > 0 THEN (low + sigma) / 2 WHEN isinf(high) THEN sigma * 2 ELSE (sigma + high) / 2 END AS next FROM halved WHERE abs(over) >= 1e-5 AND i < 64) JOIN gaps USING (src)),
+found AS (SELECT src, greatest(arg_max(sigma, i), 1e-3 * any_value(mean), 1e-12) AS sigma, any_value(rho) AS rho FROM halved JOIN gaps USING (src) GROUP BY src),
+w AS (SELECT src, dst, CASE WHEN d - rho > 0 THEN exp(-(d - rho) / sigma) ELSE 1 END AS w FROM near JOIN found USING (src)),
+both_ways AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, coalesce(max(w) FILTER (src < dst), 0) AS w, coalesce(max(w) FILTER (src > dst), 0) AS v FROM w GROUP BY ALL)
+SELECT a, b, round(w + v - w * v, 6) AS w FROM both_ways""")
 def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = knn.knn_graph(space(spark, sf_dir, blocked=False), 15)
     return map2d.fuzzy_union(map2d.fuzzy_weights(graph, 15)).withColumn("w", F.round("w", 6))

@@ -110,11 +110,13 @@ def products(v: Column, matrix: np.ndarray) -> Column:
     return score(v)
 
 
-def standardised(df: DataFrame, column: str, width: int) -> tuple[DataFrame, list[float], list[float]]:
-    """An array column as normalise_block has it; with the means and deviations."""
-    clean = [F.coalesce(finite(F.col(column)[i]), F.lit(0.0)) for i in range(width)]
-    stats = df.agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(clean) for f, p in ((F.avg, "m"), (F.stddev_pop, "s"))]).head()
-    mean = [stats[f"m{i}"] or 0.0 for i in range(width)]
-    std = [s if (s := stats[f"s{i}"] or 0.0) >= TINY else 1.0 for i in range(width)]
-    scores = F.array(*[(c - m) / s for c, m, s in zip(clean, mean, std, strict=True)])
-    return df.withColumn(column, unit(scores)), mean, std
+def standardised(df: DataFrame, widths: dict[str, int]) -> tuple[DataFrame, dict[str, tuple[list[float], list[float]]]]:
+    """Array columns of those widths as normalise_block has them, and each one's means and
+    deviations: all of them of one aggregate, an array of no width as it is."""
+    clean = {(c, i): F.coalesce(finite(F.col(c)[i]), F.lit(0.0)) for c, n in widths.items() for i in range(n)}
+    places = list(clean)
+    stats = df.agg(F.array(*[F.avg(clean[p]) for p in places]).alias("mean"), F.array(*[F.stddev_pop(clean[p]) for p in places]).alias("std")).head() if places else None
+    mean = {p: (stats["mean"][k] or 0.0) for k, p in enumerate(places)}
+    std = {p: (x if (x := stats["std"][k] or 0.0) >= TINY else 1.0) for k, p in enumerate(places)}
+    scores = {c: unit(F.array(*[(clean[c, i] - mean[c, i]) / std[c, i] for i in range(n)])) if n else F.array().cast("array<double>") for c, n in widths.items()}
+    return df.withColumns(scores), {c: ([mean[c, i] for i in range(n)], [std[c, i] for i in range(n)]) for c, n in widths.items()}

@@ -63,8 +63,7 @@ def assemble(tracks: DataFrame, width: int, moods: np.ndarray, styles: np.ndarra
     rows, mean, axes = _main_axes(rows, "_clap", width, SEMANTIC_AXES, "semantic")
     rows = checkpointed(rows)
     widths = {"tempo": 2, "key": 3, "dynamics": 3, "timbre": 4, "mood": len(moods), "style": len(style_axes), "era": 1, "semantic": len(axes)}
-    for name, n in widths.items():
-        rows = vectors.standardised(rows, name, n)[0] if n else rows.withColumn(name, F.array().cast("array<double>"))
+    rows, _ = vectors.standardised(rows, widths)
     vec = F.concat(*vectors.BLOCKS)
     return Assembled(rows.select("track_id", "artist_id", "album_id", "bpm", vec.alias("vec")), offsets(widths), mean, axes)
 

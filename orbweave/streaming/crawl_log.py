@@ -105,10 +105,11 @@ def _new(log: CrawlLog, asked: DataFrame) -> DataFrame:
     """What asked entries change: unknown ones are pending, a lesser priority is taken on with the state."""
     asked = checkpointed(asked.groupBy(*ENTRY).agg(F.min("priority").cast("long").alias("priority")))
     known = log.deltas().join(asked.select(*ENTRY), ENTRY, "left_semi").groupBy(*ENTRY, "priority").agg(F.max_by("state", "round").alias("state")).where("state <> 'moved'")
-    met = checkpointed(asked.join(known.withColumnRenamed("priority", "was"), ENTRY, "left"))
-    fresh = met.where("was IS NULL").select(*ENTRY, "priority", F.lit("pending").alias("state"))
-    nearer = met.where("priority < was")
-    return fresh.unionByName(nearer.select(*ENTRY, "priority", "state")).unionByName(nearer.select(*ENTRY, F.col("was").alias("priority"), F.lit("moved").alias("state")))
+    met = asked.join(known.withColumnRenamed("priority", "was"), ENTRY, "left").where("was IS NULL OR priority < was")
+    change = lambda priority, state: F.struct(F.col(priority).alias("priority"), state.alias("state"))
+    nearer = F.array(change("priority", F.col("state")), change("was", F.lit("moved")))
+    changes = met.select(*ENTRY, F.explode(F.when(F.col("was").isNull(), F.array(change("priority", F.lit("pending")))).otherwise(nearer)).alias("c"))
+    return changes.select(*ENTRY, "c.priority", "c.state")
 
 
 def _judged(due: DataFrame, blocked: DataFrame, sources: Sources) -> DataFrame:
@@ -140,9 +141,8 @@ def step(log: CrawlLog, blocked: DataFrame, sources: Sources, max_distance: int,
         log.commit(beyond, None, at)
         return False
     pending = log.entries(least).where("state = 'pending'")
-    due = checkpointed(pending.where("kind <> 'album'"))
-    if not due.isEmpty():
-        judged = checkpointed(_judged(due, blocked, sources))
+    judged = checkpointed(_judged(pending.where("kind <> 'album'"), blocked, sources))
+    if not judged.isEmpty():
         own = judged.where("kind = 'artist' AND state = 'done'").select(F.col("ref_id").cast("long").alias("artist_id"))
         asked = _asked("album", sources.artist_albums.join(own, "artist_id", "left_semi"), "album_id", least)
         if least < max_distance:
@@ -150,7 +150,7 @@ def step(log: CrawlLog, blocked: DataFrame, sources: Sources, max_distance: int,
             asked = asked.unionByName(_asked("artist", near.join(blocked.select("artist_id"), "artist_id", "left_anti"), "artist_id", least + 1))
         log.commit(judged.unionByName(_new(log, asked)), None, at)
         return True
-    judged = checkpointed(_judged(checkpointed(pending), blocked, sources))
+    judged = checkpointed(_judged(pending, blocked, sources))
     stopped = False
     if max_tracks is not None:
         wanted = judged.where("state = 'done'").select("ref_id")

@@ -6,6 +6,8 @@ tracks, numbered l_orderkey * 10 + l_linenumber.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,11 @@ from orbweave.catalogue_queries import indexed_points, part_index
 from orbweave.functions import expr, vectors
 from orbweave.operators import crawl, map2d, map_index, merge, relational
 from orbweave.plans.derived import digest, files_version
-from orbweave.plans.space import space
+from orbweave.plans.space import WIDTH, space
+from orbweave.operators.relational import numbered
 from orbweave.registry import query
 from orbweave.session import checkpointed, shared_folder, table
-from orbweave.sources import tables
+from orbweave.sources import store, tables
 from orbweave.streaming import crawl_log
 
 # --- payloads ------------------------------------------------------------
@@ -340,3 +343,91 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
     out = tables.matrix(ids, rows.select(F.col("vec_id").alias("track_id"), vec.alias("vec")), 64)
     return out.select("track_id", F.posexplode("vec").alias("dim", "x"))
+
+
+# --- shelves, counts and stores -------------------------------------------
+
+
+@query("SELECT c_custkey AS artist_id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def shelf_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shelf of artists without blocked ones."""
+    artists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artist_id"), F.col("c_name").alias("name"))
+    return relational.not_blocked(artists, _blocked(spark, sf_dir), "artist_id")
+
+
+@query(f"""
+WITH {_TRACKS}, blocked AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0), shown AS (SELECT * FROM tracks WHERE artist_id IS NULL OR artist_id NOT IN (FROM blocked))
+SELECT 'tracks' AS what, count(*) AS n FROM tracks UNION ALL SELECT 'analysed', count(*) FROM tracks WHERE track_id % 2 = 0
+UNION ALL SELECT 'to_analyse', count(*) FROM shown WHERE track_id % 2 <> 0 AND track_id % 5 <> 0 UNION ALL SELECT 'failed', count(*) FROM tracks WHERE track_id % 5 = 0
+UNION ALL SELECT 'pending', count(*) FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'buildable', count(*) FROM shown WHERE track_id % 4 = 0""")
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six counts, each as its stage asks: what is analysed counts whoever it is of, what is to be analysed or built leaves blocked artists out."""
+    tracks, blocked = checkpointed(_tracks(spark, sf_dir)), _blocked(spark, sf_dir)
+    shown = relational.not_blocked(tracks, blocked, "artist_id")
+    features = tracks.where("track_id % 2 = 0").select("track_id", F.lit("v1").alias("extractor_version"), F.when(F.col("track_id") % 4 == 0, F.lit(1)).alias("clap"))
+    failures = tracks.where("track_id % 5 = 0").select("track_id")
+    frontier = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 == 0, "pending").otherwise("done").alias("state"))
+    pending = shown.join(features.select("track_id"), "track_id", "left_anti").join(failures, "track_id", "left_anti")
+    return relational.counted({
+        "tracks": tracks, "analysed": features, "to_analyse": pending, "failed": failures, "pending": frontier.where("state = 'pending'"),
+        "buildable": shown.join(features.where("clap IS NOT NULL").select("track_id"), "track_id", "left_semi"),
+    })
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END ASC NULLS LAST, c_custkey) AS sorted FROM customer")
+def sort_nulls_last_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))
+    return relational.sorted_list(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), key, False, "c_custkey").select("c_custkey", "sorted")
+
+
+#: Rows of a search that are shown.
+SEARCH_LIMIT = 50
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e') ORDER BY p_partkey LIMIT 50")
+def search_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_index(spark, sf_dir, "p_name").search("e").select("p_partkey").orderBy("p_partkey").limit(SEARCH_LIMIT)
+
+
+@query("""SELECT event_id, list_filter(list_transform(string_split(event_type || ' ; ' || user_id || ';;' || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'x' END, ';'), lambda c: trim(c)), lambda c: c <> '')::varchar AS credits FROM events""")
+def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("event_type", F.lit(" ; "), F.col("user_id").cast("string"), F.lit(";;"), F.when(F.col("event_id") % 3 == 0, " ").otherwise("x"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), F.array_join(expr.split_credits(text), ", "), F.lit("]")).alias("credits"))
+
+
+@query("SELECT c_custkey AS artist_id, c_name AS name FROM customer WHERE c_acctbal < 0 AND c_custkey % 2 = 1")
+def unblocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocked artists that are left when every other one is let back."""
+    blocked = _blocked(spark, sf_dir)
+    return merge.unblock(blocked, blocked.where("artist_id % 2 = 0"))
+
+
+@query("""
+SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS title, arg_max(event_type, (ts, event_id)) FILTER (event_id % 3 <> 0) AS genre, min(event_id % 11) AS seed_distance FROM events GROUP BY user_id""")
+def track_upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks as a store has them after three commits and a compaction."""
+    e = table(spark, sf_dir, "events")
+    changes = e.select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("genre"), (F.col("event_id") % 11).alias("seed_distance"),
+        F.col("event_id"), "ts",
+    )
+    rows = checkpointed(numbered(changes, ["ts", "event_id"], "n"))
+    last = rows.agg(F.max("n")).head()[0] or 0
+    kept = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "id long, title string, genre string, seed_distance long", ["id"], {"overwrite": ["title"], "coalesce": ["genre"], "least": ["seed_distance"]})
+    for part in range(3):
+        own = rows.where((F.col("n") > part * last // 3) & (F.col("n") <= (part + 1) * last // 3)).drop("event_id", "ts")
+        kept.commit(own, "n", kept.version())
+        if part == 1:
+            kept.compact()
+    return kept.read()
+
+
+@query("SELECT vec_id AS track_id, round(list_sum(embedding::double[]), 6) AS total, len(embedding) AS width FROM embeddings")
+def published_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A space that is published twice and read again as its newest manifest describes it."""
+    rows, folder = space(spark, sf_dir, blocked=False).select("track_id", "vec"), f"{shared_folder(spark)}/space-{uuid.uuid4().hex}"
+    width = WIDTH // len(vectors.BLOCKS)
+    blocks = [(name, i * width, (i + 1) * width, weight) for i, (name, weight) in enumerate(zip(vectors.BLOCKS, vectors.WEIGHTS, strict=True))]
+    tables.publish(rows.limit(1), folder, blocks)
+    tables.publish(rows, folder, blocks)
+    return tables.load(spark, folder).select("track_id", F.round(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.size("vec").cast("long").alias("width"))
