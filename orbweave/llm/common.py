@@ -24,7 +24,7 @@ SLICE_CHARS = 2_000_000
 
 #: Bytes of one Arrow batch that goes to a worker, where the session has Spark's default (64 MB):
 #: a batch is in the JVM's and the worker's memory several times over.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
