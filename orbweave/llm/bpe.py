@@ -25,7 +25,7 @@ from orbweave.llm.common import distinct_parts, gather, map_columns, resident, t
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
 #: A worker remembers the ids of chunks, up to so many bytes of both and _EACH for each.
-REMEMBERED_BYTES, _EACH = 24_000_000, 150
+REMEMBERED_BYTES, _EACH = 60_000_000, 150
 _NONE = np.int64(1) << np.int64(40)
 
 
