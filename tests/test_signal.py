@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from orbweave.functions import descriptors as d
-from orbweave.operators import analyse, map2d, walks
+from orbweave.operators import analyse, map2d, rotation, walks
 from orbweave.plans import assemble
 from orbweave.sources import tables
 
