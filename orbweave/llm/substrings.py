@@ -154,6 +154,8 @@ class FingerprintIndex:
         """The words of `docs` to remove, (id, start) of each window that also
         starts earlier, in `docs` or in an earlier batch; then docs are indexed.
         `archive` has the earlier batches' texts."""
+        if len(self.runs) >= MOST_RUNS:  # before a batch that meets them, so that none is compacted in vain
+            self.compact()
         run = self._write(fingerprints(docs, self.id_col, self.text_col))
         new = self.spark.table(run)
         leads = new.where(F.col("part") < _OTHER)
@@ -172,8 +174,6 @@ class FingerprintIndex:
         found = _verified(matched).where(F.col("age") == 1).groupBy("id").agg(F.collect_set("start").alias("starts"))
         found = checkpointed(found)
         self.runs.append(run)
-        if len(self.runs) > MOST_RUNS:
-            self.compact()
         return found
 
     def _matched(self, docs: DataFrame, hits: list[DataFrame], age: int) -> DataFrame:
