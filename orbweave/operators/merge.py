@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def last_known(column: str, seq: str) -> Column:
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(seq)))
 
 
-def fold(changes: DataFrame, key: list[str], seq: str, overwrite: list[str] = [], coalesce: list[str] = [], least: list[str] = [], first: list[str] = []) -> DataFrame:  # noqa: B006
+def fold(changes: DataFrame, key: list[str], seq: str, overwrite: Sequence[str] = (), coalesce: Sequence[str] = (), least: Sequence[str] = (), first: Sequence[str] = ()) -> DataFrame:
     """One row a key: the last value of `overwrite`, the last known one of
     `coalesce`, the least of `least`, the first known one of `first`."""
     parts = [last(c, seq).alias(c) for c in overwrite] + [last_known(c, seq).alias(c) for c in coalesce]
