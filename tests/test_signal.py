@@ -158,7 +158,7 @@ def test_map_payload(spark):
     assert np.frombuffer(raw[32:], "<u2").tolist() == [0, 2]
     assert map2d.meta(points, "genre", "place") == {"n": 2, "min_x": 0.5, "max_x": 2, "min_y": 1, "max_y": 3, "genres": ["b", "c", "a"], "has_layout": True}
     with pytest.raises(ValueError, match="three points"):
-        map2d.layout(spark.createDataFrame([(5, 7, 1.0)], "a long, b long, w double"), points.where("x is not null"))
+        rotation.layout(spark.createDataFrame([(5, 7, 1.0)], "a long, b long, w double"), points.where("x is not null"))
 
 
 def brute_order(vectors):
