@@ -9,6 +9,7 @@ are reranked by exact cosine, leaf by leaf, where both sides meet.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +27,11 @@ from orbweave.llm.common import checkpointed
 SAMPLE_ROWS = 50_000
 TREES = 16
 LEAF_ROWS = 64
-#: The number of leaves that a query visits, over all trees, is the least power of
-#: two times LEAVES at which the recall of so many sampled queries is RECALL.
-LEAVES, TRIED, RECALL = 40, 100, 0.96
+#: A query visits as few leaves, over all trees, as give TRIED sampled queries this recall.
+TRIED, RECALL = 100, 0.95
+#: The hyperplanes go to every task, so they have no more bytes than this: where
+#: vectors are long, leaves hold more rows instead.
+FOREST_BYTES = 64 << 20
 
 
 @dataclass
@@ -56,6 +59,10 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
+    def leaves(self) -> int:
+        """How many leaves all trees have."""
+        return -int(min([*self.roots, self.children.min(initial=0)]))
+
     def visit(self, q: np.ndarray, most: int) -> list[int]:
         """Up to `most` leaves, best first, by one queue for all trees."""
         margin = (self.planes @ q - self.offsets).tolist() if len(self.planes) else []
@@ -76,7 +83,10 @@ class Forest:
 
 
 def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
-    """A forest over sampled unit rows; leaves hold up to `leaf` of them."""
+    """A forest over sampled unit rows; leaves hold up to `leaf` of them, or more where
+    the planes would outgrow FOREST_BYTES."""
+    most = FOREST_BYTES // (4 * x.shape[1] * trees)  # planes of one tree
+    leaf = max(leaf, -(-2 * len(x) // max(most, 1)))  # halves of a leaf that was split have half of that
     rng = np.random.default_rng(seed)
     planes: list[np.ndarray] = []
     offsets: list[float] = []
@@ -85,7 +95,7 @@ def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
 
     def split(rows: np.ndarray) -> int:
         nonlocal leaves
-        if len(rows) > leaf:
+        if len(rows) > leaf and len(planes) < room:
             for _ in range(4):
                 a, b = x[rng.choice(rows, 2, replace=False)]
                 plane = a - b
@@ -102,26 +112,31 @@ def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
         leaves += 1
         return -leaves
 
-    roots = [split(np.arange(len(x))) for _ in range(trees)]
+    roots = []
+    for t in range(1, trees + 1):
+        room = most * t
+        roots.append(split(np.arange(len(x))))
     width = x.shape[1]
     return Forest(np.array(planes, np.float32).reshape(-1, width), np.array(offsets, np.float32), np.array(children, np.int64).reshape(-1, 2), roots)
 
 
 def calibrated(forest: Forest, x: np.ndarray, k: int, recall: float, seed: int = 11) -> int:
-    """How many leaves to visit, by brute force over the sampled rows: for data
-    without structure a share of all leaves, for clustered data a few."""
+    """The least number of leaves that gives sampled queries this recall of their k
+    nearest others, by brute force over the sampled rows: for data without structure
+    a share of all leaves, for clustered data a few."""
     asked = np.random.default_rng(seed).choice(len(x), min(TRIED, len(x)), replace=False)
     leaves = forest.leaves_of(x)
-    total = int(leaves.max(initial=0)) + 1
-    true = [np.argsort(-(x @ x[q]), kind="stable")[: k + 1] for q in asked]
-    orders = [np.array(forest.visit(x[q], total)) for q in asked]
-    place = [np.argsort(order) for order in orders]
-    # The visit at which each true neighbour is first met.
-    met = np.concatenate([[p[leaves[r]].min() for r in rows] for p, rows in zip(place, true, strict=True)]) if len(x) else np.zeros(1)
-    visited = LEAVES
-    while visited < total and (met < visited).mean() < recall:
-        visited *= 2
-    return visited
+    total = forest.leaves()
+    met = [np.zeros(1, np.int64)]  # the visit at which each true neighbour is first met
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        near = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        place = np.empty(total, np.int64)
+        place[forest.visit(x[q], total)] = np.arange(total)
+        met.append(place[leaves[near]].min(1, initial=total))
+    met = np.sort(np.concatenate(met))
+    return int(met[math.ceil(recall * len(met)) - 1]) + 1
 
 
 def usable(v: Column) -> Column:
@@ -146,7 +161,9 @@ def nearest(
     ones take no part). Vectors that aren't usable take no part, nor do those
     whose length isn't the most frequent one's (the longest of these). Rows of
     the same vector are searched as one and counted by the smallest of their
-    ids. Other columns are ignored; an empty table gives no rows.
+    ids. Other columns are ignored; an empty table gives no rows. A query whose
+    leaves hold fewer than k others visits more, all of them in the end, so that it
+    gets k rows wherever there are as many.
     """
     v = F.col("v")
     given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), asked.alias("asked")).where(F.col("id").isNotNull() & usable(v))
@@ -206,10 +223,24 @@ def nearest(
         return pd.DataFrame(found)
 
     index = own.select("rep", "v").mapInArrow(lambda b: dealt(b, forest.leaves_of), schema)
-    search = own.where("asked").select("rep", "v").mapInArrow(lambda b: dealt(b, lambda x: [forest.visit(q, most) for q in x]), schema)
-    met = index.groupBy("bucket").cogroup(search.groupBy("bucket")).applyInPandas(rerank, f"q {kind}, rep {kind}, score double")
-    once = met.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    best = once.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
+
+    def searched(queries: DataFrame, visits: int) -> DataFrame:
+        """(q, rep, score): the best k + 1 rows of each of the queries (rep, v)."""
+        search = queries.select("rep", "v").mapInArrow(lambda b: dealt(b, lambda x: [forest.visit(q, visits) for q in x]), schema)
+        met = index.groupBy("bucket").cogroup(search.groupBy("bucket")).applyInPandas(rerank, f"q {kind}, rep {kind}, score double")
+        once = met.groupBy("q", "rep").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+        return checkpointed(once.withColumn("n", place).where(F.col("n") <= k + 1).drop("n"))
+
+    best, total = searched(own.where("asked"), most), forest.leaves()
+    while most < total:
+        enough = best.groupBy("q").count().where(F.col("count") >= min(k + 1, n)).select(F.col("q").alias("rep"))
+        few = checkpointed(own.where("asked").join(enough, "rep", "left_anti"))
+        if few.isEmpty():
+            break
+        most *= 8
+        again = searched(few, most)
+        best = best.join(few.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(again)
     listed = best.join(own.select("rep", "ids"), "rep").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     queries = given.where("asked").select("id", "v").join(own.where("asked").select("v", F.col("rep").alias("q")), "v").select("id", "q")
     every = queries.join(listed, "q").select("id", F.explode("found").alias("f")).select("id", "f.score", F.explode("f.ids").alias("vec_id")).where(F.col("vec_id") != F.col("id"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,47 @@ def test_nearest_edges(spark):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()}
     assert got == {(0, 1): (3, 1.0), (0, 2): (50, 1.0), (0, 3): (4, 0.0), (50, 1): (0, 1.0), (50, 2): (3, 1.0), (50, 3): (4, 0.0)}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_nearest_at_scale(spark, n):
+    """Clustered vectors: recall, and the share of the rows that a query meets."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(n // 50, 24))[rng.integers(0, n // 50, n)] + 0.25 * rng.normal(size=(n, 24))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float32()))}))
+    asked = n // 200
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % asked == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = ann.unit(x)
+    hits = 0
+    for q in range(0, n, asked):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argpartition(-score, 5)[:5].tolist()))
+        assert len(got[q]) == 5
+    assert hits >= 0.9 * 5 * len(got)
+    drawn = unit[: ann.SAMPLE_ROWS]
+    forest = ann.grow(drawn, ann.TREES, max(2, ann.LEAF_ROWS * len(drawn) // n))
+    visits, leaves = ann.calibrated(forest, drawn, 5, ann.RECALL), forest.leaves_of(unit)
+    met = [np.isin(leaves, forest.visit(unit[q], visits)).any(1).mean() for q in range(0, n, 10 * asked)]
+    assert np.mean(met) < 0.1
+
+
+def test_nearest_few_in_a_leaf(spark):
+    """Leaves of two rows, one of them visited: queries go on until they have k rows."""
+    rows = [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 10 == 0, trees=1, leaf_rows=2, visited=1).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 10: 5, 20: 5, 30: 5}
+    few = df.where("vec_id < 4")
+    assert ann.nearest(few, F.col("vec_id") == 0, trees=1, leaf_rows=2, visited=1).count() == 3
+
+
+def test_forest_is_bounded(monkeypatch):
+    monkeypatch.setattr(ann, "FOREST_BYTES", 40_000)
+    x = ann.unit(np.random.default_rng(1).normal(size=(3_000, 50)))
+    forest = ann.grow(x, 4, 2)
+    assert forest.planes.nbytes <= 40_000 and len(np.unique(forest.leaves_of(x)[:, 3])) > 10
