@@ -272,7 +272,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, words = profile.agg(F.count("*"), F.sum("n_words")).head()
     batches = batches or 3 + max(0, math.floor(math.log(max(rows, 1) / BATCH_ROWS, 4)))
     bounds = _bounds(profile, rows, batches)
-    index = FingerprintIndex(spark, None, id_col, text_col, max(BUCKETS, (words or 0) // WORDS_PER_BUCKET))
+    # No fewer buckets than a shuffle has partitions: each of those then writes files of one bucket or two.
+    buckets = max(BUCKETS, (words or 0) // WORDS_PER_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = FingerprintIndex(spark, None, id_col, text_col, buckets)
     changed = None
     try:
         for low, high in zip([None, *bounds], [*bounds, None], strict=True):
