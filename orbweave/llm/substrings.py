@@ -94,8 +94,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(matched: DataFrame) -> DataFrame:
-    """(id, start) of the windows in (age, id, text, places) that also start earlier.
-    Within a slice only the first of equal windows goes on to the shuffle."""
+    """(id, start) of the windows of age 1 in (age, id, text, places) that also start earlier.
+    Within a slice only the first of equal windows goes on to the shuffle; the others
+    are known to have an earlier one, and go on as one list for each text."""
     kind = matched.schema["id"].dataType.simpleString()
 
     def make():
@@ -120,18 +121,25 @@ def _verified(matched: DataFrame) -> DataFrame:
             pos = start - w.offset[row]
             key = np.asarray(ids)[row]
             same = ~new & (key == key[lead]) & (pos == pos[lead]) & (age[row] == age[row[lead]])
+            later = np.flatnonzero(~new & ~same & (age[row] == 1))
+            later = later[np.argsort(row[later], kind="stable")]
+            of, edges = np.unique(row[later], return_index=True)
+            lists = pa.ListArray.from_arrays(np.append(edges, len(later)).astype(np.int32), pa.array(pos[later], pa.int32()))
+            none = np.zeros(len(of), np.int64)
             return {
-                "one": one.view(np.int64), "two": two.view(np.int64), "age": age[row], "id": key, "start": pos.astype(np.int32),
-                "later": ~new & ~same,
+                "one": np.concatenate([one[new].view(np.int64), none]), "two": np.concatenate([two[new].view(np.int64), none]),
+                "age": np.concatenate([age[row[new]], age[of]]), "id": np.concatenate([key[new], np.asarray(ids)[of]]),
+                "start": np.concatenate([pos[new], none]), "later": pa.concat_arrays([pa.nulls(int(new.sum()), lists.type), lists]),
             }
 
         return step
 
-    rows = map_columns(matched, make, f"one long, two long, age int, id {kind}, start int, later boolean", "text")
-    rows = rows.withColumn("salt", F.when(F.col("later"), F.xxhash64("id", "start")).otherwise(0))
+    rows = map_columns(matched, make, f"one long, two long, age int, id {kind}, start int, later array<int>", "text")
+    rows = rows.withColumn("salt", F.when(F.col("later").isNotNull(), F.xxhash64("id")).otherwise(0))
     first = Window.partitionBy("one", "two", "salt").orderBy("age", "id", "start")
     # Equal places of repeated rows are as early as each other: rank, not row_number.
-    return rows.withColumn("n", F.rank().over(first)).where(F.col("later") | (F.col("n") > 1)).select("age", "id", "start")
+    found = rows.withColumn("n", F.rank().over(first)).where((F.col("age") == 1) & (F.col("later").isNotNull() | (F.col("n") > 1)))
+    return found.select("id", F.explode(F.coalesce("later", F.array("start"))).alias("start"))
 
 
 class FingerprintIndex:
@@ -171,7 +179,7 @@ class FingerprintIndex:
         matched = self._matched(docs, hits, 1)
         if old and archive is not None:
             matched = matched.unionByName(self._matched(archive, old, 0))
-        found = _verified(matched).where(F.col("age") == 1).groupBy("id").agg(F.collect_set("start").alias("starts"))
+        found = _verified(matched).groupBy("id").agg(F.collect_set("start").alias("starts"))
         found = checkpointed(found)
         self.runs.append(run)
         return found
