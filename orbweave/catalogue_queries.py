@@ -37,14 +37,20 @@ SELECT track_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY
 FROM scored QUALIFY rank <= 10"""
 
 
+def _nearest_to_first(spark: SparkSession, sf_dir: str, exclude_same_artist: bool = False) -> DataFrame:
+    """The neighbours of row 0, which may itself be of the blocked artist."""
+    found = knn.neighbours(space(spark, sf_dir, blocked=False), 0, 10, exclude_same_artist, space(spark, sf_dir))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(_NEIGHBOURS % "true")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.neighbours(space(spark, sf_dir), 0, 10).withColumn("similarity", F.round("similarity", 6))
+    return _nearest_to_first(spark, sf_dir)
 
 
 @query(_NEIGHBOURS % "artist_id <> a")
 def neighbours_excl_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.neighbours(space(spark, sf_dir), 0, 10, exclude_same_artist=True).withColumn("similarity", F.round("similarity", 6))
+    return _nearest_to_first(spark, sf_dir, exclude_same_artist=True)
 
 
 @query(f"WITH {_SPACE} SELECT track_id, i::int AS dim, round(u[i + 1], 6) AS x FROM space, range({WIDTH}) t(i)")

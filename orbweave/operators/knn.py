@@ -32,12 +32,13 @@ def nearest_first(id_col: str) -> list[Column]:
     return [F.round("similarity", 9).desc(), F.col(id_col)]
 
 
-def neighbours(space: DataFrame, track: int, k: int, exclude_same_artist: bool = False) -> DataFrame:
-    """The k nearest rows to a track's: (track_id, similarity, rank). One scan and a top-k; an unknown track has none."""
+def neighbours(space: DataFrame, track: int, k: int, exclude_same_artist: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """The k nearest targets (rows of the space, unless given) to a track's row, which need not be a target:
+    (track_id, similarity, rank). One scan and a top-k; an unknown track has none."""
     own = space.where(F.col("track_id") == track).select("u", "artist_id").head()
     if own is None:
         return space.select("track_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    rest = space.where(F.col("track_id") != track)
+    rest = (space if targets is None else targets).where(F.col("track_id") != track)
     if exclude_same_artist:
         rest = rest.where(~F.col("artist_id").eqNullSafe(own["artist_id"]))
     top = rest.select("track_id", cosine(own["u"]).alias("similarity")).orderBy(*nearest_first("track_id")).limit(k)

@@ -36,3 +36,15 @@ def test_matches_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_has_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["neighbours", "neighbours_excl_artist"])
+def test_first_row_of_the_blocked_artist(spark, sf, tmp_path, name):
+    """Row 0 is asked for even where its artist is blocked."""
+    blocked = duckdb.connect()
+    blocked.execute(f"COPY (SELECT vec_id, embedding, CASE WHEN vec_id = 0 THEN 9 ELSE label END::int AS label FROM '{sf}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")
+    blocked.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = blocked.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    rows = want.fetchall()
+    assert len(rows) == 10 and plain(catalogue.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == plain(rows)
