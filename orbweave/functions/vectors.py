@@ -31,8 +31,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: x / n)
+    """Of length 1. Vector and norm are bound by lambdas, else both would be computed again for each component."""
+    by_norm = lambda w: F.transform(F.array(norm(w)), lambda n: F.transform(w, lambda x: x / n))[0]
+    return F.transform(F.array(v), by_norm)[0]
 
 
 def weighted_unit(v: Column, scales: list[float]) -> Column:

@@ -5,11 +5,16 @@ hold enough rows; its k-th result there bounds the rest: by the triangle inequal
 cell is nearer than the distance to its pivot less the cell's radius (or the cell's
 inner radius less that distance), and cells that can't beat the bound aren't met. Where vectors
 have no clusters all cells are, and the work is that of comparing all rows with all.
+
+Cells near each other share a tile, and a query goes to a tile once, however many of its cells it
+meets there. There are about SIDE tiles and SIDE blocks of queries, however many rows there are, so
+that what is sent grows as the rows do; above SIDE * MOST_ROWS rows there are more of both, since a
+task holds one of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,32 +25,41 @@ from pyspark.sql.window import Window
 
 from orbweave.session import checkpointed
 
-#: Targets of a cell, about, and the most pivots; queries that meet a part of a cell in one task.
+#: Targets of a cell, about, and the most pivots; rows of a block that meet each other in one task.
 CELL_ROWS, MOST_PIVOTS, QUERY_ROWS = 2048, 4096, 4096
+#: Tiles and blocks of queries, about, and the most rows of each.
+SIDE, MOST_ROWS = 8, 131_072
 #: Similarities are compared in nine places, distances have rounding errors.
 _NEAR, _SLACK = 2e-9, 1e-7
 #: Rows whose distances to all pivots are in memory at once.
 _AT_ONCE = 1024
 
 
+def side_rows(n: int, least: int) -> int:
+    """Rows of each of about SIDE parts of n."""
+    return min(MOST_ROWS, max(-(-n // SIDE), least, 1))
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(list(column)).astype(np.float64)
 
 
 @dataclass
 class Cells:
-    """Pivots, and of each cell its inner and outer radius, rows and parts. With cosines a last cell
-    has what isn't of length 1, and its outer radius is the greatest length there."""
+    """Pivots, and of each cell its inner and outer radius, rows, first tile and how many tiles it takes.
+    With cosines a last cell has what isn't of length 1, and its outer radius is the greatest length there."""
 
     pivots: np.ndarray
     low: np.ndarray
     high: np.ndarray
     count: np.ndarray
+    tile: np.ndarray
     parts: np.ndarray
     cosine: bool
 
-    def distances(self, v: np.ndarray) -> np.ndarray:
-        square = (v * v).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None, :] - 2 * v @ self.pivots.T
+    def distances(self, v: np.ndarray, pivots: np.ndarray | None = None) -> np.ndarray:
+        pivots = self.pivots if pivots is None else pivots
+        square = (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * v @ pivots.T
         return np.sqrt(np.maximum(square, 0))
 
     def odd(self, v: np.ndarray) -> np.ndarray:
@@ -59,29 +73,85 @@ class Cells:
         """The distance at which rows are as similar."""
         return np.sqrt(np.maximum(2 - 2 * similarity if self.cosine else -similarity, 0))
 
-    def bounds(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the greatest distance that a row of each cell can have; of the last cell nothing is known."""
-        far = self.distances(v)
-        n = len(self.pivots)
+    def bounds(self, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest distance that a row of each of some cells can have; of the last cell nothing is known."""
+        low, high = np.zeros((len(v), len(own))), np.full((len(v), len(own)), np.inf)
+        near = own < len(self.pivots)
+        at = own[near]
+        far = self.distances(v, self.pivots[at])
         slack = _SLACK * (1 + far)
-        low, high = np.zeros((len(v), len(self.low))), np.full((len(v), len(self.low)), np.inf)
-        low[:, :n] = np.maximum(np.maximum(far - self.high[:n], self.low[:n] - far) - slack, 0)
-        high[:, :n] = far + self.high[:n] + slack
+        low[:, near] = np.maximum(np.maximum(far - self.high[at], self.low[at] - far) - slack, 0)
+        high[:, near] = far + self.high[at] + slack
         return low, high
 
+    def nearer(self, v: np.ndarray, level: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which of some cells may have a row as similar as a level (NaN: none is ruled out)."""
+        low, _ = self.bounds(v, own)
+        may = ~(low > (self.reach(level - _NEAR) * (1 + 1e-9))[:, None])
+        if self.cosine:
+            may[:, own == len(self.pivots)] = ~(self.high[-1] < level - _NEAR)[:, None]
+            may[self.odd(v)] = True
+        return may & (self.count[own] > 0)
+
+    def better(self, v: np.ndarray, level: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some cells those that are nearer than a level as a whole, and those that may have such rows among others."""
+        low, high = self.bounds(v, own)
+        # A cell that may have the row itself is met, so that it isn't counted.
+        inside = (high < self.reach(level + _NEAR)[:, None] - _SLACK) & (low > 0)
+        may = ~inside & ~(low > self.reach(level - _NEAR)[:, None] * (1 + 1e-9))
+        odd, loose = self.odd(v), own == len(self.pivots)
+        inside[:, loose], may[:, loose] = False, True
+        inside[odd], may[odd] = False, True
+        return inside, may & (self.count[own] > 0)
+
+    def tiles(self, met: np.ndarray) -> np.ndarray:
+        """The tiles of some cells."""
+        return np.unique(np.concatenate([np.arange(self.tile[c], self.tile[c] + self.parts[c]) for c in met] or [np.zeros(0)])).astype(np.int32)
+
+    def tiles_of(self, met: np.ndarray) -> list[np.ndarray]:
+        """The tiles of each row's cells, of a table of rows and cells."""
+        hit = np.zeros((len(met), int((self.tile + self.parts).max())), bool)
+        for layer in range(int(self.parts.max())):
+            for c in np.flatnonzero(self.parts > layer):
+                hit[:, self.tile[c] + layer] |= met[:, c]
+        return [np.flatnonzero(row).astype(np.int32) for row in hit]
+
+
+def tiled(pivots: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tile and the number of tiles of each cell. A cell of more than so many rows has tiles of
+    its own; the others are halved along the direction in which their pivots differ most."""
+    parts, tile, made = np.maximum(1, -(-count // rows)), np.zeros(len(count), np.int64), 0
+    alone = parts > 1
+    alone[len(pivots) :] = True
+    for c in np.flatnonzero(alone):
+        tile[c] = made
+        made += parts[c]
+    shared = np.flatnonzero(~alone)
+    open_ = [(shared, int(max(1, -(-count[shared].sum() // rows))))] if len(shared) else []
+    while open_:
+        group, want = open_.pop()
+        if want == 1 or len(group) == 1:
+            tile[group] = made
+            made += 1
+            continue
+        turn = group[np.argsort(pivots[group][:, pivots[group].var(0).argmax()], kind="stable")]
+        upto = np.cumsum(count[turn])
+        at = int(np.clip(np.searchsorted(upto, upto[-1] * (want // 2) / want) + 1, 1, len(turn) - 1))
+        open_ += [(turn[:at], want // 2), (turn[at:], want - want // 2)]
+    return tile, parts
+
 
 def deal(others: DataFrame, vector: str, cosine: bool = True, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells]:
-    """Targets (track_id, v, cell, part) and their cells, which have a part for each `cell_rows` of
-    their rows. Pivots are the rows of least hash, at most MOST_PIVOTS."""
+    """Targets (track_id, v, cell, tile) and their cells. Pivots are the rows of least hash, at most MOST_PIVOTS."""
     own = others.select("track_id", F.col(vector).alias("v"))
     n = own.count()
     most = int(min(MOST_PIVOTS, max(1, -(-n // cell_rows))))
     found = own.orderBy(F.xxhash64("track_id", F.lit(7)), "track_id").select("v").limit(most).toPandas()  # bounded by MOST_PIVOTS
     pivots = matrix(found["v"]) if len(found) else np.zeros((1, 1))
     size = len(pivots) + cosine
-    out = Cells(pivots, np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.ones(size, np.int64), cosine)
+    out = Cells(pivots, np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, np.int64), cosine)
     if not n:
-        return own.select("track_id", "v", F.lit(0).alias("cell"), F.lit(0).alias("part")), out
+        return own.select("track_id", "v", F.lit(0).alias("cell"), F.lit(0).alias("tile")), out
 
     @F.pandas_udf("cell int, d double")
     def assign(v: pd.Series) -> pd.DataFrame:
@@ -95,46 +165,90 @@ def deal(others: DataFrame, vector: str, cosine: bool = True, cell_rows: int = C
     dealt = checkpointed(own.withColumn("a", assign("v")).select("track_id", "v", "a.cell", "a.d"))
     for r in dealt.groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).collect():  # one row a pivot
         out.low[r["cell"]], out.high[r["cell"]], out.count[r["cell"]] = r["low"], r["high"], r["n"]
-    out.parts = np.maximum(1, -(-out.count // cell_rows))
-    parts = F.get(F.lit(out.parts.tolist()), F.col("cell"))
-    return dealt.select("track_id", "v", "cell", F.pmod(F.xxhash64("track_id"), parts).cast("int").alias("part")), out
+    out.tile, out.parts = tiled(pivots, out.count, side_rows(n, cell_rows))
+    of = lambda numbers: F.get(F.lit(numbers.tolist()), F.col("cell"))
+    return dealt.select("track_id", "v", "cell", (of(out.tile) + F.pmod(F.xxhash64("track_id"), of(out.parts))).cast("int").alias("tile")), out
 
 
 def meet(asked: DataFrame, targets: DataFrame, cells: Cells, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """What `score` makes of queries (track_id, v, cells, ...) and each part of a cell that they ask
-    for, with about QUERY_ROWS queries in a task."""
-    visits = asked.withColumn("cell", F.explode("cells")).drop("cells")
-    blocks = np.ones(len(cells.parts), np.int64)
-    for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row a pivot
-        blocks[r["cell"]] = -(-r["n"] // QUERY_ROWS)
-    of = lambda numbers: F.get(F.lit(numbers.tolist()), F.col("cell"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    left = visits.withColumn("block", F.pmod(F.xxhash64("track_id"), of(blocks)).cast("int")).withColumn("part", upto(of(cells.parts)))
-    right = targets.withColumn("block", upto(of(blocks)))
-    keys = ["cell", "part", "block"]
+    """What `score` makes of queries (track_id, v, tiles, ...) and the targets of each tile that they ask for."""
+    visits = asked.withColumn("tile", F.explode("tiles")).drop("tiles")
+    counts = {r["tile"]: r["n"] for r in visits.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # one row a tile
+    rows = side_rows(max(counts.values(), default=0), CELL_ROWS)
+    blocks = np.zeros(int((cells.tile + cells.parts).max()), np.int64)
+    for tile, n in counts.items():
+        blocks[tile] = -(-n // rows)
+    of = F.get(F.lit(blocks.tolist()), F.col("tile"))
+    left = visits.withColumn("block", F.pmod(F.xxhash64("track_id"), of).cast("int"))
+    right = targets.where(of > 0).withColumn("block", F.explode(F.sequence(F.lit(0), (of - 1).cast("int"))))
     left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))  # both may come of one table
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: score(a, b), schema)
+    return left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(lambda a, b: score(a, b), schema)
+
+
+class Tile:
+    """Targets of a tile by cell and id."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["cell", "track_id"])
+        self.v, self.ids = matrix(rows["v"]), rows["track_id"].to_numpy()
+        self.cells, starts = np.unique(rows["cell"].to_numpy(), return_index=True)
+        self.ends = [*zip(starts, [*starts[1:], len(rows)], strict=True)]
+
+    def own(self, cell: int, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of those ids in a cell: places of the ids, and the rows' places in the cell."""
+        here = self.ids[slice(*self.ends[cell])]
+        first, last = np.searchsorted(here, ids), np.searchsorted(here, ids, side="right")
+        while (more := np.flatnonzero(first < last)).size:
+            yield more, first[more]
+            first = first + 1
 
 
 _FOUND = "src long, dst long, similarity double"
 _NONE = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
 
 
-def best(similarity: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int, least: np.ndarray | None, places: int | None) -> pd.DataFrame:
-    """Each row's k most similar, those alike in so many places by id; none that is less than its `least`."""
-    rounded = similarity if places is None else np.round(similarity, places)
-    rounded = np.where(src[:, None] == dst[None, :], -np.inf, rounded)
-    n = len(dst)
-    level = np.partition(rounded, n - k, axis=1)[:, n - k] if n > k else np.full(len(src), -np.inf)
-    if least is not None:
-        level = np.maximum(level, np.where(np.isnan(least), -np.inf, least))
-    i, j = np.nonzero((rounded >= level[:, None]) & (rounded > -np.inf))
-    order = np.lexsort((dst[j], -rounded[i, j], i))
-    i, j = i[order], j[order]
-    first = np.searchsorted(i, np.arange(len(src)))
-    kept = np.arange(len(i)) - first[i] < k
-    i, j = i[kept], j[kept]
-    return pd.DataFrame({"src": src[i], "dst": dst[j], "similarity": similarity[i, j]})
+class Best:
+    """The k most similar of some rows, those alike in so many places by id; none that is less than its level."""
+
+    def __init__(self, src: np.ndarray, level: np.ndarray, k: int, places: int | None):
+        self.src, self.k, self.places = src, k, places
+        self.level = np.where(np.isnan(level), -np.inf, level)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, at: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+        """Similarities of rows `at` to targets; -inf takes no part."""
+        slack = _NEAR if self.places else 0.0
+        least = np.maximum(self.level[at] - slack, np.finfo(float).min)
+        hit = s >= least[:, None]
+        n, k = s.shape[1], self.k
+        many = np.flatnonzero(hit.sum(1) > 2 * k)
+        if len(many):
+            kth = np.partition(np.where(np.isnan(s[many]), -np.inf, s[many]), n - k, axis=1)[:, n - k]
+            self.level[at[many]] = np.maximum(self.level[at[many]], kth)
+            hit[many] = s[many] >= np.maximum(kth - slack, least[many])[:, None]
+        i, j = np.nonzero(hit)
+        self.found.append((at[i], ids[j], s[i, j]))
+        self.waiting += len(i)
+        if self.waiting > 3 * k * len(self.src) + 10_000:
+            self.settle()
+
+    def settle(self) -> None:
+        i, ids, s = (np.concatenate(x) for x in zip(*self.found, strict=True)) if self.found else (np.zeros(0, np.int64),) * 3
+        rounded = s if self.places is None else np.round(s, self.places)
+        turn = np.lexsort((ids, -rounded, i))
+        i, ids, s, rounded = i[turn], ids[turn], s[turn], rounded[turn]
+        first = np.searchsorted(i, np.arange(len(self.src)))
+        place = np.arange(len(i)) - first[i]
+        full = place == self.k - 1
+        self.level[i[full]] = np.maximum(self.level[i[full]], rounded[full])
+        kept = place < self.k
+        self.found, self.waiting = [(i[kept], ids[kept], s[kept])], 0
+
+    def frame(self) -> pd.DataFrame:
+        self.settle()
+        i, ids, s = self.found[0]
+        return pd.DataFrame({"src": self.src[i], "dst": ids, "similarity": s}) if len(i) else _NONE
 
 
 def order(places: int | None) -> list[Column]:
@@ -151,58 +265,75 @@ def nearest(rows: DataFrame, others: DataFrame, k: int, vector: str = "u", cosin
     n, loose = len(cells.pivots), len(cells.count) - 1
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Of the first meeting the cells in `met`, of the second those that `least` doesn't rule out."""
         if not len(a) or not len(b):
             return _NONE
-        least = a["least"].to_numpy(np.float64) if "least" in a else None
-        return best(cells.similarities(matrix(a["v"]), matrix(b["v"])), a["track_id"].to_numpy(), b["track_id"].to_numpy(), k, least, places)
-
-    @F.pandas_udf("array<int>")
-    def enough(v: pd.Series) -> pd.Series:
-        """The nearest cells with more than k rows in all."""
-        out = []
+        tile, again, out = Tile(b), "least" in a, []
+        for at in range(0, len(a), _AT_ONCE):
+            part = a.iloc[at : at + _AT_ONCE]
+            x, src = matrix(part["v"]), part["track_id"].to_numpy()
+            level = part["least"].to_numpy(np.float64) if again else np.full(len(x), np.nan)
+            seen = np.zeros((len(x), len(cells.count)), bool)
+            for row, met in zip(seen, part["met"], strict=True):
+                row[np.asarray(met, int)] = True
+            seen = seen[:, tile.cells]
+            need = cells.nearer(x, level, tile.cells) & ~seen if again else seen
+            found = Best(src, level, k, places)
+            for c, (start, end) in enumerate(tile.ends):
+                rows = np.flatnonzero(need[:, c])
+                if len(rows):
+                    s = cells.similarities(x[rows], tile.v[start:end])
+                    for i, j in tile.own(c, src[rows]):
+                        s[i, j] = -np.inf
+                    found.add(rows, s, tile.ids[start:end])
+            out.append(found.frame())
+        return pd.concat(out)
+
+    @F.pandas_udf("met array<int>, tiles array<int>")
+    def enough(v: pd.Series) -> pd.DataFrame:
+        """The nearest cells with more than k rows in all, and their tiles."""
+        out: list[np.ndarray] = []
         for at in range(0, len(v), _AT_ONCE):
             x = matrix(v.iloc[at : at + _AT_ONCE])
             turn = np.argsort(cells.distances(x), axis=1)
             upto = (np.cumsum(cells.count[turn], axis=1) <= k).sum(1) + 1
             out += [t[:m].astype(np.int32) for t, m in zip(turn, upto, strict=True)]
-        return pd.Series(out)
+        return pd.DataFrame({"met": out, "tiles": [cells.tiles(met) for met in out]})
 
-    @F.pandas_udf("array<int>")
-    def rest(v: pd.Series, least: pd.Series, met: pd.Series) -> pd.Series:
-        """Cells that a row of may be nearer than the k-th found."""
-        out = []
+    @F.pandas_udf("n long, tiles array<int>")
+    def rest(v: pd.Series, least: pd.Series, met: pd.Series) -> pd.DataFrame:
+        """How many more cells there are that a row of may be nearer than the k-th found, and their tiles."""
+        n: list[int] = []
+        out: list[np.ndarray] = []
         for at in range(0, len(v), _AT_ONCE):
             here = slice(at, at + _AT_ONCE)
-            x, level = matrix(v.iloc[here]), least.iloc[here].to_numpy(np.float64)
-            low, _ = cells.bounds(x)
-            reach = cells.reach(level - _NEAR)
-            may = ~(low > (reach * (1 + 1e-9))[:, None]) & (cells.count > 0)  # NaN: none is ruled out
-            if cosine:
-                may[:, loose] = (cells.count[loose] > 0) & ~(cells.high[loose] < level - _NEAR)
-                may[cells.odd(x)] = cells.count > 0
+            may = cells.nearer(matrix(v.iloc[here]), least.iloc[here].to_numpy(np.float64), np.arange(len(cells.count)))
             for row, seen in zip(may, met.iloc[here], strict=True):
                 row[np.asarray(seen, int)] = False
-                out.append(np.flatnonzero(row).astype(np.int32))
-        return pd.Series(out)
+            n += may.sum(1).tolist()
+            out += cells.tiles_of(may)
+        return pd.DataFrame({"n": n, "tiles": out})
 
     asked = rows.select("track_id", F.col(vector).alias("v"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(*order(places)))
     top = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
     only = n == 1 and not (cosine and cells.count[loose])
     if only:
-        found = top(meet(asked.withColumn("cells", F.array(F.lit(0))), targets, cells, score, _FOUND))
+        alone = F.lit(cells.tiles(np.zeros(1, int)).tolist()).cast("array<int>")
+        found = top(meet(asked.withColumns({"met": F.array(F.lit(0)), "tiles": alone}), targets, cells, score, _FOUND))
         if report is not None:
             report.update(pairs=1.0, met=1.0)
         return found
-    asked = checkpointed(asked.withColumn("cells", enough("v")))
+    asked = checkpointed(asked.withColumn("e", enough("v")).select("track_id", "v", "e.met", "e.tiles"))
     first = checkpointed(top(meet(asked, targets, cells, score, _FOUND)).drop("rank"))
     levels = first.groupBy(F.col("src").alias("track_id")).agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
     more = asked.join(levels, "track_id", "left").withColumn("least", F.when(F.col("n") == k, F.round("least", places) if places else F.col("least")))
-    more = checkpointed(more.select("track_id", "v", "least", rest("v", F.coalesce("least", F.lit(float("nan"))), "cells").alias("cells"), F.size("cells").alias("met")))
+    more = more.select("track_id", "v", "met", "least", rest("v", F.coalesce("least", F.lit(float("nan"))), "met").alias("r"))
+    more = checkpointed(more.select("track_id", "v", "met", "least", "r.n", "r.tiles"))
     if report is not None:
-        total = more.agg(F.count("*").alias("n"), F.sum(F.size("cells") + F.col("met")).alias("met")).head()
+        total = more.agg(F.count("*").alias("n"), F.sum(F.col("n") + F.size("met")).alias("met")).head()
         report.update(pairs=float(total["n"] * (cells.count > 0).sum()), met=float(total["met"] or 0))
-    again = meet(more.drop("met"), targets, cells, score, _FOUND)
+    again = meet(more.drop("n"), targets, cells, score, _FOUND)
     return top(first.unionByName(again))
 
 
@@ -212,34 +343,46 @@ def ranks(asked: DataFrame, others: DataFrame, vector: str = "u", cell_rows: int
     nearer as a whole are counted without meeting, those that are farther aren't met."""
     targets, cells = deal(others, vector, True, cell_rows)
 
-    @F.pandas_udf("whole long, cells array<int>")
+    @F.pandas_udf("whole long, tiles array<int>")
     def split(v: pd.Series, s: pd.Series) -> pd.DataFrame:
+        """The tiles with a cell that must be met, and the rows of nearer cells in the other tiles."""
         whole, out = [], []
         for at in range(0, len(v), _AT_ONCE):
             here = slice(at, at + _AT_ONCE)
-            x, level = matrix(v.iloc[here]), s.iloc[here].to_numpy(np.float64)
-            low, high = cells.bounds(x)
-            # A cell that may have the row itself is met, so that it isn't counted.
-            inside = (high < cells.reach(level + _NEAR)[:, None] - _SLACK) & (low > 0)
-            may = ~inside & ~(low > cells.reach(level - _NEAR)[:, None] * (1 + 1e-9)) & (cells.count > 0)
-            last, odd = len(cells.count) - 1, cells.odd(x)
-            inside[:, last] = False
-            may[:, last] = cells.count[last] > 0
-            inside[odd], may[odd] = False, cells.count > 0
+            inside, may = cells.better(matrix(v.iloc[here]), s.iloc[here].to_numpy(np.float64), np.arange(len(cells.count)))
+            met = cells.tiles_of(may)
+            for row, tiles in zip(inside, met, strict=True):
+                row[np.isin(cells.tile, tiles)] = False  # those are counted there
             whole += (inside * cells.count).sum(1).tolist()
-            out += [np.flatnonzero(row).astype(np.int32) for row in may]
-        return pd.DataFrame({"whole": whole, "cells": out})
+            out += met
+        return pd.DataFrame({"whole": whole, "tiles": out})
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"track_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        s, own, ids = np.round(matrix(a["v"]) @ matrix(b["v"]).T, 9), a["track_id"].to_numpy()[:, None], b["track_id"].to_numpy()[None, :]
-        level = a["s"].to_numpy()[:, None]
-        better = (s > level) | ((s == level) & (ids < a["o"].to_numpy()[:, None]))
-        return pd.DataFrame({"track_id": own.ravel(), "n": (better & (ids != own)).sum(1)})
+        tile, counts = Tile(b), np.zeros(len(a), np.int64)
+        for at in range(0, len(a), _AT_ONCE):
+            part = a.iloc[at : at + _AT_ONCE]
+            x, own, level, first = matrix(part["v"]), part["track_id"].to_numpy(), part["s"].to_numpy(np.float64), part["o"].to_numpy()
+            inside, may = cells.better(x, level, tile.cells)
+            n = counts[at : at + _AT_ONCE]
+            for c, (start, end) in enumerate(tile.ends):
+                n += inside[:, c] * (end - start)
+                rows = np.flatnonzero(may[:, c])
+                if len(rows):
+                    s, ids = x[rows] @ tile.v[start:end].T, tile.ids[start:end]
+                    for i, j in tile.own(c, own[rows]):
+                        s[i, j] = -np.inf
+                    # What isn't near the level needs no rounding.
+                    sure = s > (level[rows] + _NEAR)[:, None]
+                    i, j = np.nonzero((s >= (level[rows] - _NEAR)[:, None]) & ~sure)
+                    alike, at_level = np.round(s[i, j], 9), level[rows[i]]
+                    more = (alike > at_level) | ((alike == at_level) & (ids[j] < first[rows[i]]))
+                    n[rows] += sure.sum(1) + np.bincount(i[more], minlength=len(rows))
+        return pd.DataFrame({"track_id": a["track_id"].to_numpy(), "n": counts})
 
     rows = asked.select("track_id", F.col(vector).alias("v"), "s", "o").withColumn("c", split("v", "s"))
-    rows = checkpointed(rows.select("track_id", "v", "s", "o", "c.whole", "c.cells"))
-    met = meet(rows.select("track_id", "v", "s", "o", "cells"), targets, cells, score, "track_id long, n long")
+    rows = checkpointed(rows.select("track_id", "v", "s", "o", "c.whole", "c.tiles"))
+    met = meet(rows.drop("whole"), targets, cells, score, "track_id long, n long")
     every = met.unionByName(rows.select("track_id", F.col("whole").alias("n")))
     return every.groupBy("track_id").agg(F.sum("n").alias("n"))

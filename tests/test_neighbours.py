@@ -198,3 +198,36 @@ def test_radios(spark, k, penalty, rules):
     assert set(got) == {7, *range(0, 60, 13)} and (report["scanned"] > 0) == (k < 30)
     for start, walk in got.items():
         assert walk == [tuple(r) for r in walks.radio(rows, start, 6, penalty, own).orderBy("step").collect()]
+
+
+def test_what_is_sent_grows_as_the_rows(spark, monkeypatch):
+    """A query goes to a tile once, however many cells there are, and there are no more tiles and blocks for more rows."""
+    sent, meet = [], cells.meet
+
+    def counted(asked, targets, of, score, schema):
+        rows = asked.withColumn("tile", F.explode("tiles"))
+        sent.append(rows.count() + targets.count() * rows.select("tile").distinct().count() / cells.SIDE)
+        assert int((of.tile + of.parts).max()) <= cells.SIDE + 2
+        return meet(asked, targets, of, score, schema)
+
+    monkeypatch.setattr(cells, "meet", counted)
+    for n in (400, 1600):
+        rows = frame(spark, even(21, n))
+        assert knn.knn_graph(rows, 3, None, 20).count() == 3 * n
+        assert knn.evaluate(rows, 20).count() > 0
+        assert sum(sent) <= 4 * (cells.SIDE + 3) * n
+        sent.clear()
+
+
+def test_cells_larger_than_a_tile(spark, monkeypatch):
+    """Copies make a cell that takes several tiles, and of copies the least ids are nearest."""
+    monkeypatch.setattr(cells, "MOST_ROWS", 25)
+    v = np.concatenate([np.repeat(even(22, 1), 70, axis=0), even(23, 50)])
+    want, _ = ordered(v)
+    found = {}
+    for r in knn.knn_graph(frame(spark, v), 4, None, 10).orderBy("src", "rank").collect():
+        found.setdefault(r["src"], []).append(r["dst"])
+    assert [found[i] for i in range(len(v))] == [w[:4] for w in want]
+    s = np.round(v @ v.T, 9)
+    for track, n in knn.evaluate(frame(spark, v), 10).collect():
+        assert n == min(want[track].index(j) + 1 for j in range(len(v)) if j != track and j % 7 and j // 3 == track // 3) and s[track, track]
