@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.cells import matrix
+from orbweave.operators.cells import matrix, side_rows
 from orbweave.operators.walks import Constraints
 from orbweave.session import checkpointed
 
-#: Rows of a part that walks are compared with where the graph doesn't tell, and walks in one task.
+#: Rows that walks are compared with at once where the graph doesn't tell, and walks at once.
 PART_ROWS, PART_WALKS = 4096, 256
 _FLOOR = -2.0
 
@@ -52,41 +52,49 @@ def _best(met: DataFrame) -> DataFrame:
     return best.select("start", F.col("b.score").alias("score"), (-F.col("b.o")).alias("dst"))
 
 
+def dealt(n: int, m: int) -> tuple[int, int]:
+    """Parts of n rows and blocks of m walks: about as many however many rows there are, since each row is sent to each block."""
+    return max(1, -(-n // side_rows(n, PART_ROWS))), max(1, -(-m // side_rows(m, PART_WALKS)))
+
+
 def _scanned(walks: DataFrame, rows: DataFrame, penalty: float, rules: Constraints) -> DataFrame:
     """The best row of each walk among all rows, part by part."""
-    n, m = rows.count(), walks.count()
-    parts, blocks = max(1, -(-n // PART_ROWS)), max(1, -(-m // PART_WALKS))
+    parts, blocks = dealt(rows.count(), walks.count())
     upto = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     u = rows.select(F.col("track_id").alias("last"), F.col("u").alias("v"))
     left = walks.join(u, "last").withColumn("block", F.pmod(F.xxhash64("start"), F.lit(blocks)).cast("int")).withColumn("part", upto(parts))
     right = rows.select("track_id", "artist_id", "album_id", "bpm", "u").withColumn("part", F.pmod(F.xxhash64("track_id"), F.lit(parts)).cast("int")).withColumn("block", upto(blocks))
     left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))
 
+    def best(a: pd.DataFrame, b: pd.DataFrame, out: dict[str, list]) -> None:
+        ids, v = b["track_id"].to_numpy(), matrix(a["v"])
+        sims = np.round(v @ matrix(b["u"]).T / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None], 9)
+        artist, album, bpm = b["artist_id"].to_numpy(float), b["album_id"].astype("string"), b["bpm"].to_numpy(float)
+        known = ~np.isnan(artist) & (artist != -1)
+        for sim, walk in zip(sims, a.to_dict("records"), strict=True):
+            may = ~np.isin(ids, [*walk["ids"], *rules.exclude])
+            artists = np.array([np.nan if x is None else x for x in walk["artists"]], float)
+            if rules.cooldown:
+                may &= ~(known & np.isin(artist, artists[-rules.cooldown :]))
+            last = walk["albums"][-1]
+            if not rules.same_album and last not in (None, "") and last == last:
+                may &= ~(album == str(last)).fillna(False).to_numpy(bool)
+            if rules.max_bpm_step is not None and walk["last_bpm"] is not None and walk["last_bpm"] == walk["last_bpm"]:
+                may &= np.isnan(bpm) | (np.abs(bpm - walk["last_bpm"]) <= rules.max_bpm_step)
+            times = (artist[:, None] == artists[None, :]).sum(1)
+            total = np.where(may, np.round(sim - np.where(known, times * penalty, 0.0), 9), -np.inf)
+            at = int(total.argmax())  # of equals the least id
+            if total[at] > -np.inf:
+                for c, x in zip(out, (walk["start"], total[at], ids[at]), strict=True):
+                    out[c].append(x)
+
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"start": [], "score": [], "dst": []}
-        if len(a) and len(b):
-            b = b.sort_values("track_id")
-            ids, v = b["track_id"].to_numpy(), matrix(a["v"])
-            sims = np.round(v @ matrix(b["u"]).T / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None], 9)
-            artist, album, bpm = b["artist_id"].to_numpy(float), b["album_id"].astype("string"), b["bpm"].to_numpy(float)
-            known = ~np.isnan(artist) & (artist != -1)
-            for sim, walk in zip(sims, a.to_dict("records"), strict=True):
-                may = ~np.isin(ids, [*walk["ids"], *rules.exclude])
-                artists = np.array([np.nan if x is None else x for x in walk["artists"]], float)
-                if rules.cooldown:
-                    may &= ~(known & np.isin(artist, artists[-rules.cooldown :]))
-                last = walk["albums"][-1]
-                if not rules.same_album and last not in (None, "") and last == last:
-                    may &= ~(album == str(last)).fillna(False).to_numpy(bool)
-                if rules.max_bpm_step is not None and walk["last_bpm"] is not None and walk["last_bpm"] == walk["last_bpm"]:
-                    may &= np.isnan(bpm) | (np.abs(bpm - walk["last_bpm"]) <= rules.max_bpm_step)
-                times = (artist[:, None] == artists[None, :]).sum(1)
-                total = np.where(may, np.round(sim - np.where(known, times * penalty, 0.0), 9), -np.inf)
-                at = int(total.argmax())  # of equals the least id
-                if total[at] > -np.inf:
-                    for c, x in zip(out, (walk["start"], total[at], ids[at]), strict=True):
-                        out[c].append(x)
-        return pd.DataFrame(out)
+        b = b.sort_values("track_id")
+        for i in range(0, len(a), PART_WALKS):
+            for j in range(0, len(b), PART_ROWS):
+                best(a.iloc[i : i + PART_WALKS], b.iloc[j : j + PART_ROWS], out)
+        return pd.DataFrame(out).sort_values(["score", "dst"], ascending=[False, True]).drop_duplicates("start")
 
     keys = ["part", "block"]
     return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "start long, score double, dst long"))
@@ -101,7 +109,8 @@ def radios(starts: DataFrame, near: DataFrame, rows: DataFrame, steps: int, pena
     Jobs grow with steps, not with walks. `report` gets how many steps were compared with all.
     """
     rules, attributes = rules or Constraints(), rows.select("track_id", "artist_id", "album_id", "bpm")
-    near = checkpointed(near)
+    near = checkpointed(near.repartition("src"))
+    floors = checkpointed(near.groupBy(F.col("src").alias("last")).agg(F.first("floor").alias("floor")))
     first = starts.select("track_id").distinct().join(attributes, "track_id")
     walks = first.select(
         F.col("track_id").alias("start"), F.col("track_id").alias("last"), F.col("bpm").alias("last_bpm"), F.array("track_id").alias("ids"), F.array("artist_id").alias("artists"),
@@ -111,7 +120,6 @@ def radios(starts: DataFrame, near: DataFrame, rows: DataFrame, steps: int, pena
     for _ in range(steps - 1):
         met = walks.join(near.withColumnRenamed("src", "last"), "last")
         best = _best(met.where(_allowed(rules)).withColumn("score", _score(penalty)).select("start", "score", "dst"))
-        floors = near.select(F.col("src").alias("last"), "floor").distinct()
         told = walks.select("start", "last").join(floors, "last", "left").join(best, "start", "left")
         sure = (F.coalesce("floor", F.lit(2.0)) == _FLOOR) | (F.col("dst").isNotNull() & F.coalesce(F.col("score") > F.col("floor"), F.lit(False)))
         told = checkpointed(told.select("start", "dst", "score", sure.alias("sure")))

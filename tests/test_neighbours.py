@@ -231,3 +231,11 @@ def test_cells_larger_than_a_tile(spark, monkeypatch):
     s = np.round(v @ v.T, 9)
     for track, n in knn.evaluate(frame(spark, v), 10).collect():
         assert n == min(want[track].index(j) + 1 for j in range(len(v)) if j != track and j % 7 and j // 3 == track // 3) and s[track, track]
+
+
+def test_radios_in_parts(spark, monkeypatch):
+    """Rows and walks are dealt to as many parts however many there are; in parts it is the same walks."""
+    assert many_walks.dealt(720_000, 36_000) == many_walks.dealt(120_000, 6_000) == (8, 8) and many_walks.dealt(60, 5) == (1, 1)
+    monkeypatch.setattr(many_walks, "PART_ROWS", 7)
+    monkeypatch.setattr(many_walks, "PART_WALKS", 2)
+    test_radios(spark, 3, 0.3, {"exclude": [4, 5], "cooldown": 2})
