@@ -42,12 +42,17 @@ def mark(frontier: DataFrame, entries: DataFrame, state: str) -> DataFrame:
     return frontier.join(hit, ENTRY, "left").withColumn("state", F.when(F.col("_hit"), state).otherwise(F.col("state"))).drop("_hit")
 
 
-def blocked_entries(frontier: DataFrame, blocked: DataFrame, albums: DataFrame) -> DataFrame:
-    """Entries of blocked artists (an artist by its id, an album by the one it's filed under)."""
+def blocked_entries(frontier: DataFrame, blocked: DataFrame, albums: DataFrame | None) -> DataFrame:
+    """Entries of blocked artists (an artist by its id, an album by the one it's filed under). Without
+    `albums` those are left out, for frontiers that have none. Of the albums only blocked artists' ones
+    meet the frontier."""
+    gone = blocked.select("artist_id").distinct()
     artists = frontier.where("kind = 'artist'").withColumn("artist_id", F.col("ref_id").try_cast("long"))
-    filed = frontier.where("kind = 'album'").join(albums.select(F.col("album_id").cast("string").alias("ref_id"), "artist_id"), "ref_id")
-    every = artists.select(*ENTRY, "artist_id").unionByName(filed.select(*ENTRY, "artist_id"))
-    return every.join(blocked.select("artist_id").distinct(), "artist_id", "left_semi").select(*ENTRY)
+    out = artists.join(gone, "artist_id", "left_semi").select(*ENTRY)
+    if albums is None:
+        return out
+    filed = albums.join(gone, "artist_id", "left_semi").select(F.col("album_id").cast("string").alias("ref_id"))
+    return out.unionByName(frontier.where("kind = 'album'").join(filed, "ref_id", "left_semi").select(*ENTRY))
 
 
 def stats(frontier: DataFrame) -> DataFrame:

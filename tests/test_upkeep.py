@@ -172,3 +172,15 @@ def test_places_and_totals(spark):
     assert [r["upto"] for r in got] == [sum(j % 5 for j in range(i + 1)) for i in range(100)]
     left = relational.places_left(rows, rows.where("i % 2 = 0"), "i", ["i"])
     assert all(r["place"] == r["i"] for r in left.collect()) and left.count() == 50
+
+
+def test_crawl_rounds_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A round's entries aren't written by one task for each priority, and rounds of artists don't read which artists albums are filed under."""
+    log = crawl_log.CrawlLog(spark, str(tmp_path))
+    many = spark.range(0, 4000, 1, 4).select(F.lit("artist").alias("kind"), F.col("id").cast("string").alias("ref_id"), F.lit(0).cast("long").alias("priority"), F.lit("pending").alias("state"))
+    log.commit(many, None, 0)
+    assert len(list((tmp_path / "rounds/000000/frontier/priority=0").glob("*.parquet"))) == 4 and log.entries().count() == 4000
+    none = spark.createDataFrame([], "artist_id long, album_id long")
+    sources = crawl.Sources(none, none.select("artist_id", F.col("artist_id").alias("similar_id")), None, none.select("album_id", F.col("artist_id").alias("track_id")))
+    assert crawl_log.step(log, spark.createDataFrame([(5,)], "artist_id long"), sources, 0)
+    assert {(r["state"], r["n"]) for r in log.entries().groupBy("state").agg(F.count("*").alias("n")).collect()} == {("done", 3999), ("skipped", 1)}
