@@ -11,13 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from orbweave.llm.common import bounded_batches, clear_of, map_columns, resident, texts
+from orbweave.llm.common import bounded_batches, clear_of, give_back, made, map_columns, resident, slices, texts
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -174,9 +174,15 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 def redact_secrets(docs: DataFrame, path: str, pattern: str, text_col: str = "text", mark: str = "[SECRET]", ratio: float = 2.2, shortest: int = 20) -> DataFrame:
     """The same rows with secrets in the text replaced by `mark`; a null text
     stays null. All other columns stay as they are."""
-    @F.pandas_udf("string")
-    def clean(column):
-        enc = encoding(path, pattern)
-        return column.map(lambda t: t if t is None else redacted(t, scan(t, enc, ratio, shortest)[1], mark))
 
-    return bounded_batches(docs).withColumn(text_col, clean(F.col(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = made(lambda: encoding(path, pattern))
+        for batch in batches:
+            for part in slices(batch, text_col):
+                at = part.schema.get_field_index(text_col)
+                clean = [t if t is None else redacted(t, scan(t, enc, ratio, shortest)[1], mark) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
+        del enc
+        give_back()
+
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -355,3 +355,12 @@ def test_forward_pass_sums_all_segmentations():
         assert np.allclose(scorer.short([word.encode()], 16)[0], want)
         assert np.allclose(scorer.long(word.encode()), want)
     assert math.isfinite(scorer.long(b" " + b"ab" * 5000)[0])
+
+
+def test_redaction_goes_through_arrow_alone(spark):
+    """No pandas in the workers, which hold a column several times then; other columns stay as they are."""
+    rows = [(1, None, [1, 2]), (2, "key=abcdefgh12345678 token=Zx81kQpLm20aVbNcRt", None)]
+    got = secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, more array<int>"), BYTE, PATTERN)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert [(r["doc_id"], r["more"]) for r in got.orderBy("doc_id").collect()] == [(1, [1, 2]), (2, None)] and "[SECRET]" in got.where("doc_id = 2").head()["text"] and got.columns == ["doc_id", "text", "more"]
