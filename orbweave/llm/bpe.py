@@ -12,21 +12,25 @@ from __future__ import annotations
 import array
 import base64
 import hashlib
+import itertools
 import re
+import string
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import distinct_parts, gather, map_columns, resident, texts
+from orbweave.llm.common import gather, map_columns, resident, texts
 
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
 #: A worker remembers the ids of chunks, up to so many bytes of both and _EACH for each.
 REMEMBERED_BYTES, _EACH = 60_000_000, 150
 _NONE = np.int64(1) << np.int64(40)
+#: Marks that are neither letters nor numbers nor white space.
+_MARKS = string.punctuation
 
 
 #: Before a space that follows something else than white space.
@@ -53,6 +57,7 @@ class Vocabulary:
         self.token_starts = np.cumsum(self.token_bytes) - self.token_bytes
         self._fill_table()
         self.chunks: dict[str, bytes] = {}
+        self.spaced: set[str] = {""}  # remembered chunks that end with white space, and the empty one
         self.room = REMEMBERED_BYTES
 
     def _fill_table(self) -> None:
@@ -221,22 +226,21 @@ class Vocabulary:
         """
         if not self.cuttable:
             return [self._encode_texts([t])[0] for t in batch]
-        bounds, at, chunks = distinct_parts(pc.split_pattern(pa.array(batch, pa.large_string()), " "))
         if not batch:
             return []
+        place: dict[str, int] = defaultdict(itertools.count().__next__)
+        each = [np.fromiter(map(place.__getitem__, t.split(" ")), np.int64) for t in batch]
+        bounds, at, chunks = np.cumsum([0, *map(len, each)]), np.concatenate(each), list(place)
         heads = bounds[:-1]  # a text's first chunk has no space before it; no chunk has one, so one marks it
-        first = [" " + chunks[i] for i in at[heads].tolist()]
-        at[heads] = len(chunks) + np.arange(len(first))
-        odd = np.array([not c or c[-1].isspace() for c in chunks] + [len(c) > 1 and c[-1].isspace() for c in first], bool)
-        keys, known = chunks + first, self.chunks
-        new = list(set(keys) - known.keys())
-        fresh = dict(zip(new, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in new]), strict=True))
-        for chunk, own in fresh.items():
-            self.room -= len(chunk) + len(own) + _EACH
-            if self.room < 0:
-                break
-            known[chunk] = own
-        ids = [fresh[c] if c in fresh else known[c] for c in keys]
+        keys = chunks + [" " + chunks[i] for i in at[heads].tolist()]
+        at[heads] = len(chunks) + np.arange(len(heads))
+        ids = list(map(self.chunks.get, keys))
+        missing = [i for i, own in enumerate(ids) if own is None]
+        new = [keys[i] for i in missing]
+        others = self.spaced.union(c for c in new if c[-1:].isspace() and c != " ")
+        for i, own in zip(missing, self._encode_chunks(new), strict=True):
+            ids[i] = own
+        odd = np.fromiter((c in others for c in keys), bool, len(keys))
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         flat, ends = gather(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
         stops = ends[bounds[1:] - 1].tolist()
@@ -245,6 +249,28 @@ class Vocabulary:
             out[i] = b"".join(self._encode_texts(_CUT.split(batch[i])))
         return out
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with its space. Letters with or without marks after them, as most are, are a
+        piece or two by CUTTABLE without a search for them; of these only the letters are remembered."""
+        heads = [c.rstrip(_MARKS) for c in chunks]
+        plain = [h.isalpha() for h in heads]
+        words = list({h for h, p in zip(heads, plain, strict=True) if p and h not in self.chunks})
+        marks = list({c[len(h) :] for c, h, p in zip(chunks, heads, plain, strict=True) if p})
+        rest = list({c for c, p in zip(chunks, plain, strict=True) if not p})
+        own = dict(zip(words, self.encode_pieces([b" " + w.encode() for w in words]), strict=True))
+        tail = dict(zip(marks, self.encode_pieces([m.encode() for m in marks]), strict=True))
+        other = dict(zip(rest, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in rest]), strict=True))
+        known = self.chunks
+        out = [(own[h] if h in own else known[h]) + tail[c[len(h) :]] if p else other[c] for c, h, p in zip(chunks, heads, plain, strict=True)]
+        for c, x in itertools.chain(own.items(), other.items()):
+            self.room -= len(c) + len(x) + _EACH
+            if self.room < 0:
+                break
+            known[c] = x
+            if c[-1:].isspace() and c != " ":
+                self.spaced.add(c)
+        return out
+
     def _encode_texts(self, parts: list[str]) -> list[bytes]:
         split = [[p.encode() for p in self.pattern.findall(c)] for c in parts]
         pieces = list({p for ps in split for p in ps})

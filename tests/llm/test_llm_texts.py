@@ -50,6 +50,16 @@ def by_id(df):
     return out
 
 
+def test_bpe_remembers_words_without_their_marks(monkeypatch):
+    vocab, enc, asked = bpe.Vocabulary(MULTI, PATTERN), encoding(MULTI, PATTERN), []
+    merge = bpe.Vocabulary.encode_pieces
+    monkeypatch.setattr(bpe.Vocabulary, "encode_pieces", lambda self, pieces: asked.extend(pieces) or merge(self, pieces))
+    for text in ("x flurbington überquörk", "x flurbington, überquörk... flurbington'! überquörk$$$", "x flurbington's (überquörk) \n\n überquörk$$$\n z", "ab, \u00aa. \u0301x; x\u0301! 12, a1. _ ''s 's'", ", x,  y,\t z"):
+        assert vocab.encode([text])[0] == np.array(enc.encode_ordinary(text), "<u4").tobytes()
+        if text.endswith("$$$"):
+            assert asked.count(b" flurbington") == asked.count(" überquörk".encode()) == 1
+
+
 def test_bpe(docs, texts):
     enc = encoding(MULTI, PATTERN)
     got = by_id(bpe.encode_documents(docs, MULTI, PATTERN))
