@@ -15,9 +15,11 @@ components are then verified one by one, if there are few of them for the bucket
 Before sets meet, their parities do: bits that each element flips, which differ in no
 more places than the sets in elements. Only pairs that these don't rule out need sets.
 
-Sets whose other segments don't suffice ("short") are taken relative to a pivot,
-the set that is in most common buckets: what all share with the pivot vanishes,
-and sets alike must be alike in their differences d from it. |x - y| counted both
+A set that has enough other segments finds all its partners by them. Those that
+don't ("short") have partners left among each other alone. Common buckets join them
+to groups; each is taken relative to its group's pivot, the set that is in most of
+these buckets: what all share with the pivot vanishes, and sets alike must be alike
+in their differences d from it. Sets far from their pivot form groups anew. |x - y| counted both
 ways is |dx - dy| so counted, so x and y of sizes nx and ny are linked if
 18 * |dx & dy| >= wx + wy with w = 9 * |d| - n. Sets with no common difference are
 then linked only if both are linked with the pivot; the others meet in one of
@@ -55,6 +57,8 @@ SHARE = 1_000
 _GROWTH = 1.25
 #: Classes of weights relative to a pivot grow by this factor.
 _CLASS = 1.125
+#: Times that sets far from their pivot get another; in the last round all that are left take theirs.
+ROUNDS = 3
 
 
 @functools.lru_cache(maxsize=1)
@@ -219,9 +223,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_columns(rows, make, f"a {kind}, b {kind}", "pb")
 
 
-def _facing(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
-    """(a, salt, b, elements and more columns of pairs): b's set in rows of pairs (a, b), sorted so that a's
-    own set comes first, with b null. Pairs of an a that very many have are dealt over salts."""
+def _facing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, salt, b, elements): b's set in rows of pairs (a, b), sorted so that a's own set comes first, with b null. Pairs of an a that very many have are dealt over salts."""
     kind = dict(pairs.dtypes)["b"]
     many = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > 2 * SHARE))
     if many.isEmpty():
@@ -229,9 +232,9 @@ def _facing(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
     else:
         salt = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
         dealt = pairs.join(many, "a", "left").withColumn("salt", salt.cast("int"))
-    rows = dealt.join(sets.select(F.col("id").alias("b"), "elements"), "b").select("a", "salt", "b", "elements", *more)
+    rows = dealt.join(sets.select(F.col("id").alias("b"), "elements"), "b").select("a", "salt", "b", "elements")
     heads = dealt.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "elements"), "a")
-    heads = heads.select("a", "salt", F.lit(None).cast(kind).alias("b"), "elements", *[F.lit(None).cast(dict(pairs.dtypes)[c]).alias(c) for c in more])
+    heads = heads.select("a", "salt", F.lit(None).cast(kind).alias("b"), "elements")
     return rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
@@ -312,10 +315,11 @@ def _frequent(hard: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray]
 
 
 def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
-    """(how many segments must match with one element deleted, segments, and of each
-    signature its segment, z and hash) of a set's bands in which it passes over more
-    segments than slack. z = 0: the whole segment, z = 1: without one element, of
-    those that have several and aren't passed over. The first band has no signatures."""
+    """(how many segments must match with one element deleted, segments, which of them are
+    passed over, and of each signature its segment, z and hash) of a set's bands in which
+    it passes over more segments than slack. z = 0: the whole segment, z = 1: without one
+    element, of those that have several: also of those passed over, since a partner may
+    have the rest as a rare segment. The first band has no signatures."""
     out = []
     passed = np.array(common or [], np.int64).view(np.uint64)
     for band, m, slack in bands_of(len(s)):
@@ -328,10 +332,10 @@ def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
             continue
         sizes = np.diff(np.append(starts, len(s)))
         owner = np.repeat(np.arange(len(number)), sizes)
-        part = np.flatnonzero(((sizes > 1) & ~over)[owner]) if m else owner[:0]
+        part = np.flatnonzero((sizes > 1)[owner]) if m else owner[:0]
         less = _signature(sums[owner[part]] - mixed[part], number[owner[part]], band)
         whole = np.arange(len(number)) if m else owner[:0]
-        out.append((need, len(number), np.concatenate([whole, owner[part]]), np.repeat([0, 1], [len(whole), len(part)]), np.concatenate([sig[whole], less])))
+        out.append((need, len(number), over, np.concatenate([whole, owner[part]]), np.repeat([0, 1], [len(whole), len(part)]), np.concatenate([sig[whole], less])))
     return out
 
 
@@ -347,7 +351,7 @@ def _deletions(hard: DataFrame, common: int) -> DataFrame:
         return (_neighbourhoods(s, c) for s, c in zip(_stored(batch), batch.column("common").to_pylist(), strict=True))
 
     def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
-        found = [x[4] for bands in each(batch) for x in bands]
+        found = [x[-1] for bands in each(batch) for x in bands]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
     counts = _frequent(hard, hashes_of, common)
@@ -357,10 +361,10 @@ def _deletions(hard: DataFrame, common: int) -> DataFrame:
             rows, sigs, zs, choices, short = [], [], [], [], []
             for i, bands in enumerate(each(batch)):
                 enough = True
-                for need, segments, segment, z, sig in bands:
+                for need, segments, over, segment, z, sig in bands:
                     often = counts.of(sig)
                     cost = np.bincount(segment, minlength=segments)
-                    open_ = (np.bincount(segment[z == 1], minlength=segments) > 0) & (np.bincount(segment[often > 0], minlength=segments) == 0)
+                    open_ = ~over & (np.bincount(segment[z == 1], minlength=segments) > 0) & (np.bincount(segment[often > 0], minlength=segments) == 0)
                     best = np.flatnonzero(open_)
                     best = best[np.argsort(cost[best], kind="stable")][:need]
                     enough &= len(best) == need
@@ -426,57 +430,83 @@ class _Differences:
         return int(math.log(max(v, 1)) / math.log(_CLASS) + 1e-9)
 
 
-def _pivoted(hard: DataFrame, members: DataFrame, common: int) -> DataFrame:
-    """Candidate pairs (a, b) of a short set and another hard one (id, elements, bare,
-    short) that share a common signature, by their differences from its pivot, or that
-    both are bare, by their elements; and pivots with the sets linked with them.
-    members: (sig, id) of common signatures."""
-    kind = hard.schema["id"].dataType.simpleString()
-    asked = members.join(hard.select("id", "short"), "id")
-    asked = checkpointed(asked.join(asked.where("short").select("sig").distinct(), "sig", "left_semi"))
-    popular = asked.groupBy("id").agg(F.count("*").alias("n"))
-    pivots = asked.join(popular, "id").groupBy("sig").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("a"))
-    pairs = checkpointed(asked.join(pivots, "sig").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"), "short").distinct())
-    counts = _frequent(hard.select("elements"), lambda batch: np.concatenate([splitmix(s) for s in _stored(batch)]), common)
-
-    def make():
-        head, shown = [np.zeros(0, np.uint64)], _Differences(counts)
-
-        def step(batch: pa.RecordBatch) -> dict[str, list]:
-            paired = "b" in batch.schema.names
-            faced = _faced(batch, head) if paired else ((i, head[0], s) for i, s in enumerate(_stored(batch)))
-            group = np.asarray(batch.column("salted"))
-            on, at, out = [], [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
-            for i, pivot, s in faced:
-                linked, (probe, number, element, w, left) = shown.rows(pivot, s)
-                if linked:
-                    on.append(i)
-                at.append(np.full(len(left), i))
-                key = splitmix(element + splitmix(number.astype(np.uint64) + group[i : i + 1].view(np.uint64)))
-                for column, v in zip(out, (key.view(np.int64), probe, w, left), strict=True):
-                    column.append(v)
-            key, probe, w, left = (np.concatenate(c) for c in out)
-            row, fill = np.concatenate([np.concatenate(at), on]).astype(np.int64), np.zeros(len(on), np.int64)
-            where = pa.array(row)
-            return {
-                "key": pa.array(np.concatenate([key, fill]), mask=np.arange(len(row)) >= len(key)), "probe": np.concatenate([probe, fill]).astype(bool), "id": batch.column("b" if paired else "id").take(where),
-                "w": np.concatenate([w, fill]), "rest": np.concatenate([left, fill]), "short": batch.column("short").take(where),
-                "lead": batch.column("a").take(where) if paired else pa.nulls(len(row), batch.schema.field("id").type),
-            }
-
-        return step
-
-    schema = f"key long, probe boolean, id {kind}, w int, rest int, short boolean, lead {kind}"
-    shown = map_columns(_facing(pairs, hard, "short").withColumn("salted", F.xxhash64("a")), make, schema, "elements")
-    alone = hard.where("bare").select("id", "elements", "short", F.lit(0).cast("long").alias("salted"))
-    shown = checkpointed(shown.unionByName(map_columns(alone, make, schema, "elements")))
-    probes = shown.where("key IS NOT NULL AND probe").select("key", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"), F.col("short").alias("sx"))
-    index = shown.where("key IS NOT NULL AND NOT probe").drop("lead", "probe")
+#: What a row of _pivoted() says: a difference to be found, one that looks for others, a set linked with its pivot, one far from it.
+_INDEX, _PROBE, _LINKED, _FAR = range(4)
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(a, b): each set b of (sig, id) with the pivot a of its group, but for the pivot itself."""
+    leads = members.groupBy("sig").agg(F.min("id").alias("a"))
+    groups = components(members.join(leads, "sig").select("a", F.col("id").alias("b")))
+    placed = groups.withColumnRenamed("node", "id").join(members.groupBy("id").agg(F.count("*").alias("n")), "id")
+    pivots = placed.groupBy("component").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("a"))
+    return placed.join(pivots, "component").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
+
+
+def _pivoted(short: DataFrame, members: DataFrame, common: int) -> DataFrame:
+    """Candidate pairs (a, b) of short sets (id, elements, bare) that are in one group,
+    by their differences from its pivot, or that both are bare, by their elements; and
+    pivots with the sets linked with them. members: (sig, id) of common signatures.
+
+    Of linked sets neither is nearer to a pivot by more than a quarter of the other's size.
+    So those within the pivot's size have all partners among those that are within it less a
+    quarter of their own; all others go on to the next round, where they form groups anew."""
+    kind = short.schema["id"].dataType.simpleString()
+    counts = _frequent(short.select("elements"), lambda batch: np.concatenate([splitmix(s) for s in _stored(batch)]), common)
+    schema = f"key long, says tinyint, id {kind}, w int, rest int, lead {kind}"
+
+    def rows(facing: DataFrame, last: bool) -> DataFrame:
+        def make():
+            head, shown = [np.zeros(0, np.uint64)], _Differences(counts)
+
+            def step(batch: pa.RecordBatch) -> dict[str, list]:
+                paired = "b" in batch.schema.names
+                faced = _faced(batch, head) if paired else ((i, head[0], s) for i, s in enumerate(_stored(batch)))
+                group = np.asarray(batch.column("salted"))
+                linked, far, at, out = [], [], [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
+                for i, pivot, s in faced:
+                    apart = len(s) + len(pivot) - 2 * int(_inside(s, pivot).sum())
+                    if apart > len(pivot) and not last:
+                        far.append(i)
+                        if 4 * (apart - len(pivot)) > len(s):
+                            continue
+                    on, (probe, number, element, w, left) = shown.rows(pivot, s)
+                    if on:
+                        linked.append(i)
+                    at.append(np.full(len(left), i))
+                    key = splitmix(element + splitmix(number.astype(np.uint64) + group[i : i + 1].view(np.uint64)))
+                    for column, v in zip(out, (key.view(np.int64), probe, w, left), strict=True):
+                        column.append(v)
+                key, probe, w, left = (np.concatenate(c) for c in out)
+                more = np.repeat([_LINKED, _FAR], [len(linked), len(far)])
+                where, fill = pa.array(np.concatenate([np.concatenate(at), linked, far]).astype(np.int64)), np.zeros(len(more), np.int64)
+                return {
+                    "key": pa.array(np.concatenate([key, fill]), mask=np.arange(len(where)) >= len(key)), "says": np.concatenate([np.where(probe, _PROBE, _INDEX), more]).astype(np.int8),
+                    "id": batch.column("b" if paired else "id").take(where), "w": np.concatenate([w, fill]), "rest": np.concatenate([left, fill]),
+                    "lead": batch.column("a").take(where) if paired else pa.nulls(len(where), batch.schema.field("id").type),
+                }
+
+            return step
+
+        return map_columns(facing, make, schema, "elements")
+
+    shown = rows(short.where("bare").select("id", "elements", F.lit(0).cast("long").alias("salted")), True)
+    left = checkpointed(matching(members, checkpointed(short.select("id")), "id"))
+    for n in range(1, ROUNDS + 1):
+        pairs = checkpointed(_pivots(left))
+        found = checkpointed(rows(_facing(pairs, short).withColumn("salted", F.xxhash64("a")), n == ROUNDS))
+        shown = shown.unionByName(found)
+        far = checkpointed(found.where(F.col("says") == _FAR).select("id"))
+        if far.isEmpty():
+            break
+        left = checkpointed(matching(left, far, "id"))
+    shown = checkpointed(shown)
+    probes = shown.where(F.col("says") == _PROBE).select("key", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"))
+    index = shown.where(F.col("says") == _INDEX).select("key", "id", "w", "rest")
     enough = F.least("rx", "rest") * 18 >= F.col("wx") + F.col("w")
-    met = probes.join(index, "key").where((F.col("x") != F.col("id")) & enough & (F.col("sx") | F.col("short")))
-    found = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    linked = shown.where("key IS NULL").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-    return found.unionByName(linked).distinct()
+    met = probes.join(index, "key").where((F.col("x") != F.col("id")) & enough).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    linked = shown.where(F.col("says") == _LINKED).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    return met.unionByName(linked).distinct()
 
 
 def _compensated(hard: DataFrame, members: DataFrame, common: int) -> DataFrame:
@@ -488,9 +518,9 @@ def _compensated(hard: DataFrame, members: DataFrame, common: int) -> DataFrame:
     probes = each.where("chosen").select("sig", F.col("id").alias("a"), F.col("z").alias("za"))
     met = probes.join(each.select("sig", F.col("id").alias("b"), F.col("z").alias("zb")), "sig").where((F.col("a") != F.col("b")) & (F.col("za") + F.col("zb") == 1))
     found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    passing = checkpointed(hard.join(rows.groupBy("id").agg(F.max(F.col("sig").isNull()).alias("short")), "id"))
-    if not passing.where("short").isEmpty():
-        found = found.unionByName(_pivoted(passing, members, common))
+    short = checkpointed(rows.where(F.col("sig").isNull()).select("id").distinct())
+    if not short.isEmpty():
+        found = found.unionByName(_pivoted(checkpointed(matching(hard.drop("common"), short, "id")), members, common))
     return found.distinct()
 
 

@@ -84,6 +84,34 @@ def test_near_duplicates_of_documents(spark, sf):
         assert got == want
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_differences_are_few(spark, monkeypatch, far):
+    """Sets of one group stand against about one pivot each, however many segments they share."""
+    rng = random.Random(7)
+    bases = [[f"{x}{i}" for i in range(120)] for x in ("u", "v")]
+    rows = [(i, list(bases[far and i % 2])) for i in range(240)]
+    for i, words in rows:
+        for _ in range(3 + i % 4):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+    if far:  # what joins the groups
+        rows += [(1000 + i, [*bases[0][:60], *(f"y{i}-{j}" for j in range(9)), *bases[1][60:]]) for i in range(12)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    made, mapped = [], nearjoin.map_columns
+
+    def counted(df, make, schema, *text):
+        out = mapped(df, make, schema, *text)
+        if schema.startswith("key long"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearjoin, "map_columns", counted)
+    df = spark.createDataFrame(rows_of(rows), CLASHING)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearjoin.near_duplicates(df, common=2).collect()}
+    assert got == brute_components(rows)
+    print(made)
+    assert 0 < sum(made) < 80 * len(rows)
+
+
 def colliding():
     """Two texts that differ in one word: a Thue-Morse word of 1,024 letters and its complement, whose
     polynomial hashes modulo 2**64 are equal for any odd multiplier."""
