@@ -108,7 +108,6 @@ def test_differences_are_few(spark, monkeypatch, far):
     df = spark.createDataFrame(rows_of(rows), CLASHING)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearjoin.near_duplicates(df, common=2).collect()}
     assert got == brute_components(rows)
-    print(made)
     assert 0 < sum(made) < 80 * len(rows)
 
 
