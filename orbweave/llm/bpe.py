@@ -26,6 +26,10 @@ from orbweave.llm.common import gather, map_columns, resident, texts
 
 #: Pieces of up to so many bytes are merged together.
 WIDE = 64
+#: Texts are encoded in parts of about so many characters, since a part takes about 65 times as many bytes.
+ENCODED_CHARS = 500_000
+#: Of pieces that are merged together, padded to one width, about so many bytes: each takes about 80 bytes of memory.
+MERGED_BYTES = 160_000
 #: A worker remembers the ids of chunks, up to so many bytes of both and _EACH for each.
 REMEMBERED_BYTES, _EACH = 60_000_000, 150
 _NONE = np.int64(1) << np.int64(40)
@@ -209,8 +213,9 @@ class Vocabulary:
             elif piece:
                 short.setdefault(1 << (len(piece) - 1).bit_length(), []).append(at)
         for width, places in short.items():
-            for start in range(0, len(places), 20_000):
-                part = places[start : start + 20_000]
+            step = max(1, MERGED_BYTES // width)
+            for start in range(0, len(places), step):
+                part = places[start : start + step]
                 for at, ids in zip(part, self.merge_short([pieces[i] for i in part], width), strict=True):
                     out[at] = ids
         return out
@@ -226,8 +231,16 @@ class Vocabulary:
         """
         if not self.cuttable:
             return [self._encode_texts([t])[0] for t in batch]
-        if not batch:
-            return []
+        parts, size = [[]], 0
+        for text in batch:
+            size += len(text)
+            if size > ENCODED_CHARS and parts[-1]:
+                parts.append([])
+                size = len(text)
+            parts[-1].append(text)
+        return [ids for part in parts if part for ids in self._encode_part(part)]
+
+    def _encode_part(self, batch: list[str]) -> list[bytes]:
         place: dict[str, int] = defaultdict(itertools.count().__next__)
         each = [np.fromiter(map(place.__getitem__, t.split(" ")), np.int64) for t in batch]
         bounds, at, chunks = np.cumsum([0, *map(len, each)]), np.concatenate(each), list(place)
@@ -254,14 +267,15 @@ class Vocabulary:
         piece or two by CUTTABLE without a search for them; of these only the letters are remembered."""
         heads = [c.rstrip(_MARKS) for c in chunks]
         plain = [h.isalpha() for h in heads]
+        tails = ["" if h is c else c[len(h) :] for c, h in zip(chunks, heads, strict=True)]
         words = list({h for h, p in zip(heads, plain, strict=True) if p and h not in self.chunks})
-        marks = list({c[len(h) :] for c, h, p in zip(chunks, heads, plain, strict=True) if p})
+        marks = list({t for t, p in zip(tails, plain, strict=True) if p})
         rest = list({c for c, p in zip(chunks, plain, strict=True) if not p})
         own = dict(zip(words, self.encode_pieces([b" " + w.encode() for w in words]), strict=True))
         tail = dict(zip(marks, self.encode_pieces([m.encode() for m in marks]), strict=True))
         other = dict(zip(rest, self._encode_texts([c[1:] if c[:1] == " " else " " + c for c in rest]), strict=True))
         known = self.chunks
-        out = [(own[h] if h in own else known[h]) + tail[c[len(h) :]] if p else other[c] for c, h, p in zip(chunks, heads, plain, strict=True)]
+        out = [(own[h] if h in own else known[h]) + tail[t] if p else other[c] for c, h, t, p in zip(chunks, heads, tails, plain, strict=True)]
         for c, x in itertools.chain(own.items(), other.items()):
             self.room -= len(c) + len(x) + _EACH
             if self.room < 0:

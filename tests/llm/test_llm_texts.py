@@ -7,6 +7,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -374,3 +375,16 @@ def test_redaction_goes_through_arrow_alone(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
     assert [(r["doc_id"], r["more"]) for r in got.orderBy("doc_id").collect()] == [(1, [1, 2]), (2, None)] and "[SECRET]" in got.where("doc_id = 2").head()["text"] and got.columns == ["doc_id", "text", "more"]
+
+
+def test_encoding_in_parts_bounds_memory():
+    vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    batch = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 40))) for _ in range(100)) for _ in range(1300)]
+    vocab.room = -1  # nothing is remembered, so all that is taken is for the batch
+    tracemalloc.start()
+    got = vocab.encode(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [vocab.decode(x).decode() for x in got] == batch
+    assert peak < 80_000_000 + sum(map(len, got))
