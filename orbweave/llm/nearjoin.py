@@ -77,34 +77,50 @@ def bands(most: int = 1 << 33) -> list[tuple[int, int, int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def bands_of(size: int) -> list[tuple[int, int, int]]:
     """(number, segments, slack) of the bands that a set of that size is in."""
     return [(i, m, x) for i, (low, high, m, x) in enumerate(bands()) if low <= size <= high] if size else []
 
 
-def _segments(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a sorted set in one band: where its non-empty segments start, their
-    numbers, sums of mixed elements, and the mixed elements."""
-    mixed = splitmix(s + np.uint64(0x51ED270B0F1A2C35))
+def _numbers(s: np.ndarray, m: int) -> np.ndarray:
+    """Of each element, the number of its segment among m."""
+    return ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+
+
+def _mixed(s: np.ndarray) -> np.ndarray:
+    return splitmix(s + np.uint64(0x51ED270B0F1A2C35))
+
+
+def _segments(s: np.ndarray, mixed: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sorted set and its mixed elements in one band: where its non-empty
+    segments start, their numbers, and sums of mixed elements."""
     if m == 0:
-        return np.arange(len(s)), s, mixed, mixed
-    number = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        return np.arange(len(s)), s, mixed
+    number = _numbers(s, m)
     starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    return starts, number[starts], np.add.reduceat(mixed, starts), mixed
+    return starts, number[starts], np.add.reduceat(mixed, starts)
 
 
 def _signature(sums: np.ndarray, number: np.ndarray, band: int) -> np.ndarray:
     return splitmix(sums + splitmix(number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, bool]:
-    """A set's signatures in all its bands, and whether it has more empty segments than slack in one."""
-    found, bare = [], False
-    for band, m, slack in bands_of(len(s)):
-        _, number, sums, _ = _segments(s, band, m)
-        bare |= m > 0 and m - len(number) > slack
+def is_bare(s: np.ndarray) -> bool:
+    """Whether a sorted set has more empty segments than slack in one of its bands."""
+    for _, m, slack in bands_of(len(s)):
+        if m and (number := _numbers(s, m)).size and m - 1 - np.count_nonzero(number[1:] != number[:-1]) > slack:
+            return True
+    return False
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """A set's signatures in all its bands."""
+    found, mixed = [], _mixed(s)
+    for band, m, _ in bands_of(len(s)):
+        _, number, sums = _segments(s, mixed, m)
         found.append(_signature(sums, number, band))
-    return (np.concatenate(found) if found else s[:0]), bare
+    return np.concatenate(found) if found else s[:0]
 
 
 def _sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
@@ -136,7 +152,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             sets = _sets(batch, text_col)
-            return {"id": batch.column(id_col), "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "bare": [signatures(s)[1] for s in sets], "parity": [_parity(s) for s in sets]}
+            return {"id": batch.column(id_col), "n": [len(s) for s in sets], "digest": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "bare": [is_bare(s) for s in sets], "parity": [_parity(s) for s in sets]}
 
         return step
 
@@ -149,7 +165,7 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            found = [signatures(s)[0] for s in _sets(batch, "text")]
+            found = [signatures(s) for s in _sets(batch, "text")]
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             return {"sig": np.concatenate(found).view(np.int64), "id": batch.column("id").take(pa.array(row))}
 
@@ -321,9 +337,9 @@ def _neighbourhoods(s: np.ndarray, common: list[int] | None) -> list[tuple]:
     element, of those that have several: also of those passed over, since a partner may
     have the rest as a rare segment. The first band has no signatures."""
     out = []
-    passed = np.array(common or [], np.int64).view(np.uint64)
+    passed, mixed = np.array(common or [], np.int64).view(np.uint64), _mixed(s)
     for band, m, slack in bands_of(len(s)):
-        starts, number, sums, mixed = _segments(s, band, m)
+        starts, number, sums = _segments(s, mixed, m)
         sig = _signature(sums, number, band)
         over = np.isin(sig, passed)
         least = -(-len(s) * PERCENT // 100) - 1  # of a partner's shared elements, less one

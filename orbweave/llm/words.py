@@ -15,12 +15,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Texts are hashed in parts of about so many bytes.
 _PART = 1 << 20
+#: Runs are hashed in blocks of so many, so that the powers that a worker keeps are small.
+_BLOCK = 1 << 16
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """Powers of a base; those for parts of the usual size are kept."""
-    return _kept_powers(base, n) if n <= 2 * _PART else _made_powers(base, n)
+    """Powers of a base; those for blocks of the usual size are kept."""
+    return _kept_powers(base, n) if n <= 2 * _BLOCK else _made_powers(base, n)
 
 
 @functools.lru_cache(maxsize=8)
@@ -74,8 +76,19 @@ def run_hashes(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """The hash of each run of `length` consecutive words, from one of their hashes; runs may span texts."""
     if len(words) < length:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(words) - length + 1)
-    return _stretches(words, starts, starts + length, _MULTIPLIER + 2 * length + 2 * salt)
+    base, out = _MULTIPLIER + 2 * length + 2 * salt, np.empty(len(words) - length + 1, np.uint64)
+    for first in range(0, len(out), _BLOCK):  # a run's hash doesn't depend on where it starts
+        starts = np.arange(min(_BLOCK, len(out) - first))
+        out[first : first + _BLOCK] = _stretches(words[first : first + len(starts) + length - 1], starts, starts + length, base)
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes, sorted: for short arrays in a fraction of np.unique's time."""
+    out = np.sort(hashes)
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out if new.all() else out[new]
 
 
 def shingle_sets(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -85,7 +98,7 @@ def shingle_sets(texts: list[bytes], length: int) -> list[np.ndarray]:
     runs, out = run_hashes(words, length), []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= length:
-            out.append(np.unique(runs[a : b - length + 1]))
+            out.append(distinct(runs[a : b - length + 1]))
         else:
             out.append(run_hashes(words[a:b], b - a) if b > a else runs[:0])
     return out

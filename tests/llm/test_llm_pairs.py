@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import ann, nearjoin, substrings
+from orbweave.llm import ann, nearjoin, substrings, words
 from orbweave.llm.graph import components
 from orbweave.llm.words import word_hashes
 
@@ -282,3 +283,33 @@ def test_forest_is_bounded(monkeypatch):
     x = ann.unit(np.random.default_rng(1).normal(size=(3_000, 50)))
     forest = ann.grow(x, 4, 2)
     assert forest.planes.nbytes <= 40_000 and len(np.unique(forest.leaves_of(x)[:, 3])) > 10
+
+
+def test_sets_are_mixed_once_and_bare_ones_told_without(monkeypatch):
+    rng, mixed = np.random.default_rng(5), []
+    plain = nearjoin.splitmix
+    monkeypatch.setattr(nearjoin, "splitmix", lambda x: mixed.append(np.size(x)) or plain(x))
+    for n in (0, 1, 4, 17, 40, 200, 500, 3000):
+        for spread in (1, 1 << 6):
+            s = np.sort(rng.integers(0, (1 << 63) // spread, n).astype(np.uint64) * np.uint64(2))
+            segments = [(m, slack, len({int(x) * m >> 64 for x in (s >> np.uint64(32) << np.uint64(32)).tolist()})) for _, m, slack in nearjoin.bands_of(n)]
+            mixed.clear()
+            assert nearjoin.is_bare(s) == any(m and m - k > slack for m, slack, k in segments) and not mixed
+            found = nearjoin.signatures(s)
+            assert len(found) == sum(k if m else n for m, _, k in segments)
+            assert sum(mixed) <= n + 2 * len(found)
+
+
+def test_runs_in_blocks_are_as_over_the_whole():
+    hashes = np.random.default_rng(6).integers(0, 1 << 63, 300_000).astype(np.uint64)
+    starts = np.arange(len(hashes) - 19)
+    base = words._MULTIPLIER + 2 * 20 + 2 * 1
+    assert (words.run_hashes(hashes, 20, 1) == words._stretches(hashes, starts, starts + 20, base)).all()
+    assert (words.distinct(hashes % np.uint64(1000)) == np.arange(1000)).all() and not len(words.distinct(hashes[:0]))
+    words._kept_powers.cache_clear()
+    tracemalloc.start()
+    for length, salt in ((5, 0), (8, 0), (20, 1), (20, 2)):
+        words.run_hashes(hashes, length, salt)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 10_000_000  # of powers that a worker keeps; they were of the length of what was hashed
