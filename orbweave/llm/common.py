@@ -153,6 +153,18 @@ def map_stream(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch | None
     return bounded_batches(df).mapInArrow(run, out)
 
 
+def portions(batch: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in parts of about so many characters (one text at least)."""
+    start, total = 0, 0
+    for i, text in enumerate(batch):
+        if i > start and total + len(text) > chars:
+            yield batch[start:i]
+            start, total = i, 0
+        total += len(text)
+    if batch:
+        yield batch[start:]
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as the empty text."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import distinct_parts, map_columns, resident, texts
+from orbweave.llm.common import distinct_parts, map_columns, portions, resident, texts
 
 #: Labelled texts of each language that the probabilities are fitted on, about.
 SAMPLE_PER_LANGUAGE = 1000
@@ -27,6 +27,10 @@ SMOOTHING = 0.1
 WIDE = 64
 #: A worker remembers the scores of so many words at most.
 REMEMBERED, REMEMBERED_BYTES = 150_000, 32_000_000
+#: Texts are scored in parts of about so many characters, since a part takes about 30 times as many bytes.
+SCORED_CHARS = 500_000
+#: The forward passes over words that are scored together take about so many bytes.
+FORWARD_BYTES = 4_000_000
 #: Nats a byte that are added in the forward pass, to stay within the range of doubles.
 _LIFT = 6.0
 
@@ -49,17 +53,45 @@ class Pieces:
         for piece in self.index:
             for n in range(1, len(piece) + 1):
                 nodes.setdefault(piece[:n], len(nodes))
-        self.after = np.full((len(nodes), 256), -1, np.int32)
         self.piece = np.full(len(nodes), -1, np.int32)
+        children: list[list[int]] = [[] for _ in nodes]  # of each node: the bytes that go on from it
         for prefix, node in nodes.items():
             if prefix:
-                self.after[nodes[prefix[:-1]], prefix[-1]] = node
+                children[nodes[prefix[:-1]]].append(prefix[-1])
                 self.piece[node] = self.index.get(prefix, -1)
+        self._lay_out(nodes, children)
+
+    def _lay_out(self, nodes: dict[bytes, int], children: list[list[int]]) -> None:
+        """The steps from node to node as one array, in which the nodes' rows of 256 are laid over each
+        other so that no two steps share a place: a node's row starts at `base`, `owner` names the node of a step."""
+        self.base = np.zeros(len(nodes), np.int32)
+        taken, low = bytearray(512), 0
+        for node in sorted(range(len(nodes)), key=lambda n: -len(children[n])):
+            own = sorted(children[node])
+            if not own:
+                break
+            first, tries = taken.find(0, max(low, own[0])), 0
+            while any([taken[first - own[0] + b] for b in own]):
+                first, tries = taken.find(0, first + 1), tries + 1
+            if tries > 20:
+                low = first  # gaps before it are left alone
+            for b in own:
+                taken[first - own[0] + b] = 1
+            self.base[node] = first - own[0]
+            taken.extend(bytes(max(0, first + 768 - len(taken))))
+        self.next, self.owner = np.full(len(taken), -1, np.int32), np.full(len(taken), -1, np.int32)
+        for prefix, node in nodes.items():
+            if prefix:
+                before = nodes[prefix[:-1]]
+                at = self.base[before] + prefix[-1]
+                self.next[at], self.owner[at] = node, before
 
     def counts(self, batch: list[str]) -> np.ndarray:
-        ids = np.array([i for t in self.model.encode(batch, num_threads=1) for i in t], np.int64)
-        found = self.of_id[ids]
-        return np.bincount(found[found >= 0], minlength=len(self.index))
+        out = np.zeros(len(self.index), np.int64)
+        for text in batch:
+            found = self.of_id[np.array(self.model.encode(text), np.int64)]
+            out += np.bincount(found[found >= 0], minlength=len(self.index))
+        return out
 
 
 def pieces(path: str) -> Pieces:
@@ -129,7 +161,7 @@ class Scorer:
 
     def short(self, words: list[bytes], width: int) -> np.ndarray:
         """Forward passes over words of at most `width` bytes, side by side."""
-        after, piece, lifted = self.vocab.after, self.vocab.piece, self.lifted
+        base, owner, step, piece, lifted = self.vocab.base, self.vocab.owner, self.vocab.next, self.vocab.piece, self.lifted
         n, lengths = len(words), np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
         forward = np.zeros((width + 1, n, lifted.shape[1]))
@@ -138,9 +170,9 @@ class Scorer:
             rows = np.flatnonzero(lengths > start)
             node = np.zeros(len(rows), np.int32)
             for end in range(start, width):
-                node = after[node, flat[rows, end]]
-                on = (node >= 0) & (lengths[rows] > end)
-                rows, node = rows[on], node[on]
+                at = base[node] + flat[rows, end]
+                on = (owner[at] == node) & (lengths[rows] > end)
+                rows, node = rows[on], step[at[on]]
                 if not len(rows):
                     break
                 found = piece[node]
@@ -151,7 +183,7 @@ class Scorer:
 
     def long(self, word: bytes) -> np.ndarray:
         """A forward pass over one word, scaled at each byte."""
-        after, piece, lifted = self.vocab.after, self.vocab.piece, self.lifted
+        base, owner, step, piece, lifted = self.vocab.base, self.vocab.owner, self.vocab.next, self.vocab.piece, self.lifted
         pending: dict[int, np.ndarray] = {0: np.ones(lifted.shape[1])}
         scale = np.zeros(lifted.shape[1])
         for start in range(len(word)):
@@ -160,7 +192,8 @@ class Scorer:
             pending = {k: v / here for k, v in pending.items()}
             node = 0
             for end in range(start, len(word)):
-                node = after[node, word[end]]
+                at = base[node] + word[end]
+                node = step[at] if owner[at] == node else -1
                 if node < 0:
                     break
                 if piece[node] >= 0:
@@ -177,13 +210,17 @@ class Scorer:
             else:
                 by.setdefault(1 << (len(w) - 1).bit_length(), []).append(i)
         for width, places in by.items():
-            for start in range(0, len(places), 10_000):
-                part = places[start : start + 10_000]
+            each = max(1, FORWARD_BYTES // (8 * (width + 1) * max(1, out.shape[1])))
+            for start in range(0, len(places), each):
+                part = places[start : start + each]
                 out[part] = self.short([raw[i] for i in part], width)
         return out
 
     def totals(self, batch: list[str]) -> np.ndarray:
         """Log probabilities of whole texts, without the prior."""
+        return np.concatenate([self._totals(part) for part in portions(batch, SCORED_CHARS)])
+
+    def _totals(self, batch: list[str]) -> np.ndarray:
         bounds, at, words = distinct_parts(pc.utf8_split_whitespace(pa.array(batch, pa.large_string())))
         known, n = self.known, len(self.known)
         fresh = [w for w in words if w not in known]

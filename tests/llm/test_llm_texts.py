@@ -388,3 +388,30 @@ def test_encoding_in_parts_bounds_memory():
     tracemalloc.stop()
     assert [vocab.decode(x).decode() for x in got] == batch
     assert peak < 80_000_000 + sum(map(len, got))
+
+
+def test_language_worker_memory():
+    """The vocabulary's table holds its steps alone, and long batches are scored in parts, to the same sums."""
+    vocab = langid.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sum(x.nbytes for x in vars(vocab).values() if isinstance(x, np.ndarray)) < 4_000_000
+    prefixes = {piece[:n] for piece in vocab.index for n in range(1, len(piece) + 1)}
+    assert (vocab.owner >= 0).sum() == len(prefixes) == len(vocab.base) - 1
+    for word in random.Random(2).sample(sorted(vocab.index), 500):
+        node = 0
+        for byte in word:
+            at = vocab.base[node] + byte
+            assert vocab.owner[at] == node
+            node = vocab.next[at]
+        assert vocab.piece[node] == vocab.index[word]
+    rng = np.random.default_rng(4)
+    model = langid.Model(list("abcd"), rng.random((len(vocab.index), 4)) * 0.01, np.zeros(4))
+    draw = random.Random(8)
+    batch = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 20))) for _ in range(100)) for _ in range(3000)]
+    scorer = langid.Scorer(vocab, model)
+    tracemalloc.start()
+    got = scorer.totals(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fresh = langid.Scorer(vocab, model)
+    assert all((got[i] == fresh.totals([batch[i]])[0]).all() for i in range(0, len(batch), 100))
+    assert peak < 70_000_000
