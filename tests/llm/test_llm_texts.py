@@ -61,6 +61,25 @@ def test_bpe_remembers_words_without_their_marks(monkeypatch):
             assert asked.count(b" flurbington") == asked.count(" überquörk".encode()) == 1
 
 
+def test_bpe_forgets_rare_words_first(monkeypatch):
+    """A word of each part stays remembered, though more rare ones than fit came before it."""
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 200_000)
+    monkeypatch.setattr(bpe, "ENCODED_CHARS", 1)
+    vocab, enc, asked, rng = bpe.Vocabulary(MULTI, PATTERN), encoding(MULTI, PATTERN), [], random.Random(3)
+    merge = bpe.Vocabulary.encode_pieces
+    monkeypatch.setattr(bpe.Vocabulary, "encode_pieces", lambda self, pieces: asked.extend(pieces) or merge(self, pieces))
+    rare = ["".join(rng.choices(string.ascii_lowercase, k=12)) for _ in range(20_000)]
+    batch = [" ".join(rare[i : i + 200]) + " flurbington," * (i >= 4_000) for i in range(0, len(rare), 200)]
+    assert vocab.encode(batch) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in batch]
+    assert asked.count(b" flurbington") < 5 and len(vocab.place) < 3_000
+
+
+def test_bpe_lines():
+    rng, vocab, enc = random.Random(6), bpe.Vocabulary(MULTI, PATTERN), encoding(MULTI, PATTERN)
+    batch = ["".join(rng.choices(["a", "Über", "\n", "\n", " ", ". ", ",", "\t", "\r", "1", "'s", "\u0301", "\x1c", "\u2028"], k=rng.randint(1, 12))) for _ in range(20_000)]
+    assert vocab.encode(batch) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in batch]
+
+
 def test_bpe(docs, texts):
     enc = encoding(MULTI, PATTERN)
     got = by_id(bpe.encode_documents(docs, MULTI, PATTERN))
